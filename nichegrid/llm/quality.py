@@ -30,11 +30,13 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
-_logit = lambda p, n: np.log((p + 0.5 / n) / (1 - p + 0.5 / n))  # noqa: E731  smoothed by the length
+#: Pseudo-counts towards typical prose, so that short texts aren't judged by a few characters.
+PRIOR_BYTES, PRIOR_WORDS = 60.0, 12.0
+_logit = lambda count, n, typical, prior: np.log((count + prior * typical) / (n - count + prior * (1 - typical)))
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """FEATURES of each text, whole; shares are logits smoothed by the text's length, so that empty texts have values too."""
+    """FEATURES of each text, whole; shares are logits with pseudo-counts, so that empty texts have values too."""
     w = Words(texts)
     n = len(texts)
     size = np.diff(w.at)
@@ -48,11 +50,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
         each = np.unique(own, return_counts=True)[1]
         distinct[i], top[i] = len(each), each.max()
         pairs[i] = len(own) - 1 - len(np.unique(own[:-1] * np.uint64(3) + own[1:])) if len(own) > 1 else 0
-    bytes_, some = np.maximum(size, 1), np.maximum(words, 1)
-    out = [np.log1p(words), np.log1p(chars / some), _logit((counts[:, 1] + counts[:, 2]) / bytes_, bytes_), _logit(counts[:, 2] / bytes_, bytes_)]
-    out += [_logit(counts[:, k] / bytes_, bytes_) for k in (3, 4)]
-    out += [_logit(distinct / some, some), _logit(top / some, some), _logit(pairs / some, some)]
-    out += [_logit(np.minimum(counts[:, k] / some, 1), some) for k in (5, 6, 7)]
+        byte = lambda k, typical: _logit(counts[:, k].sum(1), size, typical, PRIOR_BYTES)
+    word = lambda count, typical: _logit(np.minimum(count, words), words, typical, PRIOR_WORDS)
+    out = [np.log1p(words), np.log((chars + 5 * PRIOR_WORDS) / (words + PRIOR_WORDS)), byte([1, 2], 0.8), byte([2], 0.02), byte([3], 0.02), byte([4], 0.01)]
+    out += [word(distinct, 0.8), word(np.maximum(top - 1, 0), 0.03), word(pairs, 0.02)]
+    out += [word(counts[:, 5], 0.005), word(counts[:, 6], 0.08), word(counts[:, 7], 0.02)]
     return np.stack(out, 1).astype(float)
 
 
