@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.llm import media, mixing, quality, topk, urlrules
+from nichegrid.llm import media, minhash, mixing, quality, suffixes, topk, urlrules
 from nichegrid.llm.common import table
 
 RULES = (
@@ -23,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,12 +44,18 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_embedded", F.size("embedded").cast("long")).drop("embedded")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents"), 400, with_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_exact_topk": op7_exact_topk,
     "op8_media_columns": op8_media_columns,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
