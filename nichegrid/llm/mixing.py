@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import WORD
+from nichegrid.llm.common import WORD, cut
 
 
 def words_in(text: Column) -> Column:
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, shares: Sequence[float] = (5, 2, 1), total: float = 1.5
     """
     text = F.col("text")
     key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(text)
-    rows = docs.select("doc_id", "source", words_in(text).alias("size"), key.alias("key"))
+    rows = cut(docs.select("doc_id", "source", words_in(text).alias("size"), key.alias("key")))  # each text is read once
     # 1 - exp(-key) is nearly uniform, whatever the number of documents: its ranges are about equally large
     spot = lambda n: F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * n)
     fine = rows.groupBy("source", spot(F.lit(1 << 12)).alias("fine")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
@@ -76,7 +76,8 @@ def mix(docs: DataFrame, shares: Sequence[float] = (5, 2, 1), total: float = 1.5
     ends = fine.select("source", "fine", "words", ahead.alias("ahead")).withColumnRenamed("source", "_s")
     # the range in which the rest ends: its index and what the ranges before it take
     ends = goal.join(ends, F.col("source").eqNullSafe(F.col("_s"))).where((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("words"))).select("_s", "fine", "ahead")
-    goal = goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s")
+    # written, so that the next join shuffles both sides and Spark can split a large source's rows
+    goal = cut(goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s"))
     rows = rows.withColumn("at", spot(F.lit(1 << 12))).join(goal, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     last = F.coalesce(F.col("at") == F.col("fine"), F.lit(False))
     within = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
