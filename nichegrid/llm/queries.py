@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.llm import chaining, media, minhash, mixing, quality, suffixes, topk, urlrules
+from nichegrid.llm import chaining, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
 from nichegrid.llm.common import table
 
+#: Vocabulary files of public tokenizers.
+BPE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = (
     urlrules.Rule("com", "/", "allow"),
     urlrules.Rule("example.com", "/en/", "block"),
@@ -31,6 +34,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BPE_RANKS)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,15 +59,21 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, sf_dir, "documents"), 400, with_bytes=False)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_token_packing": op4_token_packing,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_exact_topk": op7_exact_topk,
     "op8_media_columns": op8_media_columns,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
