@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.operators import agreement, composition, features, graph, mixing
+from nichegrid.functions.lineage import written
+from nichegrid.operators import agreement, clustering, composition, delaunay, features, graph, layout, mixing, vectors
 from nichegrid.sources.cohorts import customers, infer, parts, sample_index
 
 K = 3
@@ -126,6 +127,81 @@ def knn_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.nearest(parts(spark, sf_dir), 2).select("patient", "source", "target", "distance", F.col("rank").cast("long").alias("rank")))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _knn_vectors(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _rounded(vectors.nearest(_vectors(spark, sf_dir), 5, metric).select("source", "target", "distance", F.col("rank").cast("long").alias("rank")))
+
+
+def knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 10 nearest neighbours the first 16 dimensions keep."""
+    rows = _vectors(spark, sf_dir)
+    low = rows.select("id", F.slice("vector", 1, 16).alias("vector"))
+    return _rounded(agreement.overlap(vectors.nearest(rows, 10), vectors.nearest(low, 10), 10))
+
+
+def fuzzy_simplicial_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(vectors.fuzzy_graph(written(vectors.nearest(_vectors(spark, sf_dir), 14))))
+
+
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.principal_components(_vectors(spark, sf_dir), 2)
+    return _rounded(out.select("id", F.get("projection", 0).alias("dim_1"), F.get("projection", 1).alias("dim_2")))
+
+
+def gmm_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.gaussian_mixture(_vectors(spark, sf_dir), 10)[0]
+
+
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans(_vectors(spark, sf_dir), 10, seed=42)
+
+
+def _neighbour_graph(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    rows = _vectors(spark, sf_dir)
+    return written(clustering.neighbour_graph(vectors.nearest(rows, k))), rows.select(F.col("id").alias("node"))
+
+
+def community_niches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.communities(*_neighbour_graph(spark, sf_dir, 8))
+
+
+def knn_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.components(*_neighbour_graph(spark, sf_dir, 1))
+
+
+def umap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = layout.umap(_vectors(spark, sf_dir), epochs=10)
+    return _rounded(out.select("node", F.get("p", 0).alias("dim_1"), F.get("p", 1).alias("dim_2")))
+
+
+def merged_niches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("niche"))
+    return clustering.merge_smallest(labels, vectors.nearest(_vectors(spark, sf_dir), 20))
+
+
+def delaunay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(delaunay.delaunay(customers(spark, sf_dir)))
+
+
+def spatial_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(delaunay.network(customers(spark, sf_dir)))
+
+
+def permutation_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    return _rounded(mixing.zscores(written(edges), nodes, 20))
+
+
+def network_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide statistics of every sample, without random labellings."""
+    nodes, edges = _graph(spark, sf_dir)
+    labels = [r["phenotype"] for r in mixing.vocabulary(nodes).orderBy("idx").collect()]  # one row a phenotype
+    return mixing.network_statistics(written(edges), nodes, labels)
+
+
 def entry_query(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return mixing.assortativity(edges, nodes)
 
@@ -171,6 +247,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attribute_kinds": attribute_kinds,
     "inferred_types": inferred_types,
     "feature_classes": feature_classes,
+    **{f"knn_vectors_{m}": _knn_vectors(m) for m in vectors.METRICS},
+    "knn_overlap": knn_overlap,
+    "fuzzy_simplicial_set": fuzzy_simplicial_set,
+    "pca_projection": pca_projection,
+    "gmm_diag": gmm_diag,
+    "kmeans": kmeans,
+    "community_niches": community_niches,
+    "knn_components": knn_components,
+    "umap_layout": umap_layout,
+    "merged_niches": merged_niches,
+    "delaunay_edges": delaunay_edges,
+    "spatial_network": spatial_network,
+    "permutation_zscores": permutation_zscores,
+    "network_statistics": network_statistics,
 }
 
 _NODES = """nodes AS (
@@ -219,6 +309,19 @@ SELECT h.patient, h.node_id, v.phenotype, round(avg(CASE WHEN n.phenotype = v.ph
 FROM h{order} h JOIN nodes n ON n.patient = h.patient AND n.node_id = h.member CROSS JOIN vocab v GROUP BY ALL"""
 
 
+_DISTANCE = {
+    "euclidean": "list_distance(a.v, b.v)",
+    "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2])))",
+    "cosine": "1 - list_cosine_similarity(a.v, b.v)",
+}
+
+
+def _knn_sql(metric: str, k: int, vector: str = "CAST(embedding AS DOUBLE[])") -> str:
+    return f"""v AS (SELECT vec_id AS id, {vector} AS v FROM embeddings),
+d AS (SELECT a.id AS source, b.id AS target, {_DISTANCE[metric]} AS distance FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target) AS rank FROM d QUALIFY rank <= {k})"""
+
+
 _C2 = "CAST(n AS DOUBLE) * (n - 1) / 2"
 ORACLE_SQL: dict[str, str] = {
     "sample_index": f"WITH {_NODES} SELECT patient, count(*) AS n_nodes FROM nodes GROUP BY patient",
@@ -296,5 +399,22 @@ SELECT point, CAST(arg_min(key, (distance, key)) AS BIGINT) AS key, round(min(di
 UNION ALL SELECT 'p_size', count(DISTINCT p_size), count(DISTINCT p_size) <= 32 AND bool_and(p_size % 1 = 0) FROM part
 UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice), count(DISTINCT p_retailprice) <= 32 AND bool_and(p_retailprice % 1 = 0) FROM part""",
     "inferred_types": "SELECT count(*) AS n_rows, 'bigint' AS c_custkey, 'string' AS c_name, 'bigint' AS c_nationkey, 'double' AS c_acctbal, 'string' AS c_mktsegment FROM customer",
+    **{f"knn_vectors_{m}": f"WITH {_knn_sql(m, 5)} SELECT source, target, round(distance, 6) AS distance, rank FROM near" for m in vectors.METRICS},
+    "knn_overlap": f"""WITH high AS (WITH {_knn_sql("euclidean", 10)} SELECT source, target FROM near), low AS (WITH {_knn_sql("euclidean", 10, "CAST(embedding AS DOUBLE[])[1:16]")} SELECT source, target FROM near)
+SELECT round(count(l.source) / (10.0 * count(DISTINCT h.source)), 6) AS share FROM high h LEFT JOIN low l ON h.source = l.source AND h.target = l.target""",
+    "knn_components": f"""WITH RECURSIVE {_knn_sql("euclidean", 1)}, ways AS (SELECT source AS a, target AS b FROM near UNION SELECT target, source FROM near),
+reach(node, other) AS (SELECT id, id FROM v UNION SELECT r.node, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    "merged_niches": f"""WITH {_knn_sql("euclidean", 20)}, s AS (SELECT CAST(label AS BIGINT) AS niche, count(*) AS n FROM embeddings GROUP BY 1), gone AS (SELECT arg_min(niche, (n, niche)) AS g FROM s),
+first AS (SELECT source, arg_min(t.label, (distance, target)) AS to_ FROM near JOIN embeddings f ON f.vec_id = source JOIN embeddings t ON t.vec_id = target, gone WHERE f.label = g AND t.label <> g GROUP BY source),
+votes AS (SELECT to_, count(*) AS n FROM first GROUP BY 1), into_ AS (SELECT arg_max(to_, (n, -to_)) AS i FROM votes)
+SELECT vec_id AS id, CAST(CASE WHEN label = g THEN coalesce(i, label) ELSE label END AS BIGINT) AS niche FROM embeddings, gone, into_""",
+    "delaunay_edges": f"""WITH {_NODES}, t AS (
+  SELECT a.patient, a.node_id AS i, b.node_id AS j, c.node_id AS k, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy
+  FROM nodes a JOIN nodes b ON a.patient = b.patient AND a.node_id < b.node_id JOIN nodes c ON c.patient = a.patient AND b.node_id < c.node_id),
+o AS (SELECT *, 2 * (bx * cy - by_ * cx) AS det, bx * bx + by_ * by_ AS b2, cx * cx + cy * cy AS c2 FROM t),
+circles AS (SELECT patient, i, j, k, ax + (cy * b2 - by_ * c2) / det AS ux, ay + (bx * c2 - cx * b2) / det AS uy, ((cy * b2 - by_ * c2) / det) ** 2 + ((bx * c2 - cx * b2) / det) ** 2 AS r2 FROM o WHERE det <> 0),
+empty AS (SELECT * FROM circles c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.patient = c.patient AND n.node_id NOT IN (c.i, c.j, c.k) AND (n.x - c.ux) ** 2 + (n.y - c.uy) ** 2 < c.r2 * (1 - 1e-9)))
+SELECT DISTINCT patient, unnest([i, i, j]) AS source, unnest([j, k, k]) AS target FROM empty""",
     "feature_classes": "SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS first FROM part GROUP BY 1, 2",
 }
