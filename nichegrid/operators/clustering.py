@@ -218,3 +218,43 @@ def neighbour_graph(near: DataFrame) -> DataFrame:
 def ranked_labels(labels: DataFrame) -> DataFrame:
     """(niche, n) by falling size."""
     return labels.groupBy("niche").agg(F.count("*").alias("n")).select("niche", "n", F.row_number().over(W.orderBy(F.col("n").desc(), "niche")).alias("place"))
+
+
+def spectral(vectors: DataFrame, k: int, seed: int = 0, gamma: float = 1.0, most: int = 4096, rounds: int = 60) -> DataFrame:
+    """(id, niche): k-means on the leading eigenvectors of the normalised affinity exp(-gamma d**2) of all pairs of rows.
+
+    More than `most` rows are an error, as the affinity has a cell for each pair. The pairs stay distributed: each round
+    of subspace iteration is a join of cells with the current vectors and a sum by row; only the k by k products come
+    to the driver.
+    """
+    rows = written(vectors.select("id", F.col("vector").cast("array<double>").alias("v")))
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"spectral clustering takes {most} rows at most, not {n}")
+    k = min(k, n)
+    d2 = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    cells = written(rows.join(rows.select(F.col("id").alias("j"), F.col("v").alias("w"))).select(F.col("id").alias("i"), "j", F.exp(-gamma * d2).alias("w")))
+    degree = written(cells.groupBy("i").agg(F.sum("w").alias("d")))
+    cells = cells.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
+    cells = written(cells.select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("dj"))).alias("w")))
+    start = F.array(*(F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "i"), F.lit(1 << 20)).cast("double") / (1 << 20) - 0.5 for c in range(k)))
+    now = written(degree.select("i", start.alias("q")))
+
+    def orthonormal(df: DataFrame) -> DataFrame:
+        """The columns of q made orthonormal by the Cholesky factor of their products."""
+        r = df.agg(*(F.sum(F.get("q", a) * F.get("q", b)).alias(f"{a}_{b}") for a in range(k) for b in range(a + 1))).first()
+        g = np.array([[r[f"{max(a, b)}_{min(a, b)}"] for b in range(k)] for a in range(k)])
+        inverse = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(k))).T
+        return df.select("i", F.array(*(sum((F.get("q", a) * float(inverse[a, b]) for a in range(b + 1)), F.lit(0.0)) for b in range(k))).alias("q"))
+
+    now = written(orthonormal(now))
+    for _ in range(rounds):
+        old = now
+        product = cells.join(now.select(F.col("i").alias("j"), "q"), "j").groupBy("i").agg(*(F.sum(F.col("w") * F.get("q", c)).alias(f"q{c}") for c in range(k)))
+        now = written(orthonormal(written(product.select("i", F.array(*(F.col(f"q{c}") for c in range(k))).alias("q")))))
+        moved = now.join(old.select("i", F.col("q").alias("p")), "i").agg(F.max(F.aggregate(F.zip_with("q", "p", lambda x, y: F.abs(F.abs(x) - F.abs(y))), F.lit(0.0), lambda s, x: F.greatest(s, x)))).first()[0]
+        if moved is not None and moved < 1e-6:
+            break
+    length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
+    unit = now.select(F.col("i").alias("id"), F.transform("q", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))).alias("vector"))
+    return relabelled(written(kmeans(unit, k, seed)))
