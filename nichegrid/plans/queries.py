@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nichegrid.functions import scalars
 from nichegrid.functions.lineage import written
 from nichegrid.operators import agreement, clustering, composition, delaunay, features, graph, layout, mixing, vectors
-from nichegrid.sources.cohorts import customers, infer, parts, sample_index
+from nichegrid.sources.cohorts import cohort, customers, infer, parts, sample_index
 
 K = 3
 THRESHOLD = 500.0
@@ -131,6 +132,13 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
+def embedding_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the given labels fit the neighbour graph of the vectors."""
+    near = clustering.neighbour_graph(vectors.nearest(_vectors(spark, sf_dir), 5))
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("node"), F.col("label").alias("niche"))
+    return _rounded(clustering.modularity(near, labels))
+
+
 def _knn_vectors(metric: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _rounded(vectors.nearest(_vectors(spark, sf_dir), 5, metric).select("source", "target", "distance", F.col("rank").cast("long").alias("rank")))
 
@@ -202,6 +210,37 @@ def network_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.network_statistics(written(edges), nodes, labels)
 
 
+def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's label as its place in the vocabulary."""
+    nodes = customers(spark, sf_dir)
+    return nodes.join(mixing.vocabulary(nodes), "phenotype", "left").select("key", F.col("idx").alias("code"))
+
+
+def balance_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values brought to colour scales."""
+    rows = customers(spark, sf_dir)
+    return _rounded(rows.select("key", scalars.two_slope(F.col("y"), -1000.0, 0.0, 9700.0).alias("two_slope"), scalars.symmetric_log(F.col("y"), 100.0, 10000.0).alias("symmetric_log")))
+
+
+def mixing_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean mixing matrix over patients without its diagonal; a cell that a patient lacks counts as 0."""
+    nodes, edges = _graph(spark, sf_dir)
+    n = nodes.select(F.countDistinct("patient").alias("n_patients"))
+    cells = mixing.mixing_matrix(edges, nodes, normalized=True).where("a <> b").groupBy("a", "b").agg(F.sum("value").alias("value")).crossJoin(n)
+    return _rounded(cells.select("a", "b", (F.col("value") / F.col("n_patients")).alias("value")))
+
+
+def degree_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return graph.degrees(nodes, edges).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+def event_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abundance by event type: the user's remainder is the phenotype."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    nodes = cohort(rows, "event_type", "event_id", "cast(cast(ts as timestamp) as double) / 1e6", "value", "user_id % 8")
+    return _rounded(mixing.abundance(nodes))
+
+
 def entry_query(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return mixing.assortativity(edges, nodes)
 
@@ -261,6 +300,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spatial_network": spatial_network,
     "permutation_zscores": permutation_zscores,
     "network_statistics": network_statistics,
+    "label_codes": label_codes,
+    "balance_colours": balance_colours,
+    "mixing_heatmap": mixing_heatmap,
+    "degree_histogram": _on_graph(degree_histogram),
+    "event_cohort": event_cohort,
+    "embedding_modularity": embedding_modularity,
 }
 
 _NODES = """nodes AS (
@@ -416,5 +461,16 @@ o AS (SELECT *, 2 * (bx * cy - by_ * cx) AS det, bx * bx + by_ * by_ AS b2, cx *
 circles AS (SELECT patient, i, j, k, ax + (cy * b2 - by_ * c2) / det AS ux, ay + (bx * c2 - cx * b2) / det AS uy, ((cy * b2 - by_ * c2) / det) ** 2 + ((bx * c2 - cx * b2) / det) ** 2 AS r2 FROM o WHERE det <> 0),
 empty AS (SELECT * FROM circles c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.patient = c.patient AND n.node_id NOT IN (c.i, c.j, c.k) AND (n.x - c.ux) ** 2 + (n.y - c.uy) ** 2 < c.r2 * (1 - 1e-9)))
 SELECT DISTINCT patient, unnest([i, i, j]) AS source, unnest([j, k, k]) AS target FROM empty""",
+    "label_codes": f"WITH {_NODES}, v AS (SELECT phenotype, row_number() OVER (ORDER BY phenotype) - 1 AS idx FROM (SELECT DISTINCT phenotype FROM nodes)) SELECT CAST(key AS BIGINT) AS key, idx AS code FROM nodes LEFT JOIN v ON v.phenotype = nodes.phenotype",
+    "balance_colours": f"""WITH {_NODES} SELECT CAST(key AS BIGINT) AS key, round(CASE WHEN y <= 0 THEN (y + 1000) / 2000 ELSE 0.5 + y / 19400 END, 6) AS two_slope,
+round(CASE WHEN abs(y) <= 100 THEN y / 100 ELSE sign(y) * (1 + ln(abs(y) / 100)) END / (1 + ln(100.0)), 6) AS symmetric_log FROM nodes""",
+    "mixing_heatmap": f"WITH {_EDGES} SELECT a, b, round(sum(value) / (SELECT count(DISTINCT patient) FROM nodes), 6) AS value FROM shares WHERE a <> b GROUP BY ALL",
+    "degree_histogram": f"WITH {_EDGES}, d AS (SELECT n.patient, n.node_id, count(e.source) AS degree FROM nodes n LEFT JOIN both_ways e ON e.patient = n.patient AND e.source = n.node_id GROUP BY ALL) SELECT degree, count(*) AS n FROM d GROUP BY degree",
+    "event_cohort": "WITH c AS (SELECT event_type AS patient, CAST(user_id % 8 AS VARCHAR) AS phenotype, count(*) AS n FROM events GROUP BY ALL) SELECT patient, phenotype, n, round(n / sum(n) OVER (PARTITION BY patient), 6) AS share FROM c",
+    "embedding_modularity": f"""WITH {_knn_sql("euclidean", 5)}, e AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM near),
+l AS (SELECT x.label AS na, y.label AS nb FROM e JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS m, CAST(count(*) FILTER (na = nb) AS DOUBLE) AS w FROM l),
+k AS (SELECT n, CAST(count(*) AS DOUBLE) AS k FROM (SELECT na AS n FROM l UNION ALL SELECT nb FROM l) GROUP BY n)
+SELECT round(any_value(w / m) - sum(k * k) / any_value(4 * m * m), 6) AS modularity FROM k, m""",
     "feature_classes": "SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS first FROM part GROUP BY 1, 2",
 }
