@@ -198,16 +198,40 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside.crossJoin(squares).select((F.col("within") / F.col("m") - resolution * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def merge_smallest(labels: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, niche): the smallest niche (ties: the lowest) given to the niche that most of its rows' nearest outside
-    neighbours have, from labels (id, niche) and neighbours (source, target, distance)."""
+def merge_smallest(labels: DataFrame, vectors: DataFrame, voters: int = 20, percent: float = 25.0, ratio: float = 0.1, threshold: float | None = None, force: bool = False) -> tuple[DataFrame, bool]:
+    """(labels (id, niche), whether anything merged): the smallest niche (of equals the lowest) dissolved into a neighbour.
+
+    It is dissolved if it has fewer rows than `threshold`, by default `ratio` times the `percent`-th percentile of the
+    niches' sizes, or if forced. Each of its rows finds the nearest row outside (of equals the lower niche); the
+    `voters` rows that are nearest to the outside vote with that row's niche, and of equal votes the lower niche wins.
+    Only the smallest niche's rows are compared with all others.
+    """
     sizes = labels.groupBy("niche").agg(F.count("*").alias("n"))
-    smallest = sizes.agg(F.min_by("niche", F.struct("n", "niche")).alias("gone"))
-    ends = near.join(labels.select(F.col("id").alias("source"), F.col("niche").alias("from")), "source").join(labels.select(F.col("id").alias("target"), F.col("niche").alias("to")), "target")
-    outside = ends.crossJoin(smallest).where((F.col("from") == F.col("gone")) & (F.col("to") != F.col("gone")))
-    first = outside.groupBy("source").agg(F.min_by("to", F.struct("distance", "target")).alias("to"))
-    votes = first.groupBy("to").agg(F.count("*").alias("n")).agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("into"))
-    return labels.crossJoin(smallest).crossJoin(votes).select("id", F.when(F.col("niche") == F.col("gone"), F.coalesce("into", "niche")).otherwise(F.col("niche")).alias("niche"))
+    s = sizes.agg(F.min_by("niche", F.struct("n", "niche")).alias("gone"), F.min("n").alias("least"), F.count("*").alias("k"), F.percentile("n", F.lit(percent / 100)).alias("p")).first()
+    if s["k"] < 2 or not force and s["least"] >= (s["p"] * ratio if threshold is None else threshold):
+        return labels, False
+    rows = labels.join(vectors.select("id", F.col("vector").cast("array<double>").alias("v")), "id")
+    inside = rows.where(F.col("niche") == s["gone"]).select("id", "v")
+    outside = rows.where(F.col("niche") != s["gone"]).select(F.col("niche").alias("to"), F.col("v").alias("w"))
+    d2 = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    nearest_ = inside.crossJoin(outside).select("id", d2.alias("d"), "to").groupBy("id").agg(F.min(F.struct("d", "to")).alias("m"))
+    votes = nearest_.select("m.*").orderBy("d", "to").limit(max(1, min(voters, s["least"]))).groupBy("to").agg(F.count("*").alias("n"))
+    into = votes.agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("into")).first()["into"]
+    return labels.select("id", F.when(F.col("niche") == s["gone"], F.lit(into)).otherwise(F.col("niche")).alias("niche")), True
+
+
+def merge_until(labels: DataFrame, vectors: DataFrame, niches: int | None = None, force: bool = False, **options) -> DataFrame:
+    """Merges the smallest niche again and again, until none is small enough or `niches` are left; numbered without gaps.
+    With force, merging goes on past the size threshold until `niches` are left."""
+    now, going = labels.select("id", "niche"), True
+    while going:
+        if niches is not None and now.select("niche").distinct().count() <= niches:
+            break
+        if force and niches is None:
+            raise ValueError("forced merging needs a number of niches")
+        now, going = merge_smallest(now, vectors, force=force, **options)
+        now = written(now)
+    return relabelled(now)
 
 
 def neighbour_graph(near: DataFrame) -> DataFrame:

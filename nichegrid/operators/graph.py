@@ -123,6 +123,22 @@ def length_percentile(edges: DataFrame, nodes: DataFrame, q: float) -> DataFrame
     return lengths(edges, nodes).where(~F.isnan("length")).groupBy(*SAMPLE).agg(F.percentile("length", F.lit(q / 100)).alias("length"))
 
 
+def trim_by_percentile(edges: DataFrame, nodes: DataFrame, q: float | None = None) -> DataFrame:
+    """The edges shorter than the q-th percentile of their sample's lengths; without q, than the percentile that its number
+    of nodes gives."""
+    sized = lengths(edges, nodes)
+    counts = nodes.groupBy(*(F.col(c).alias(f"_{c}") for c in SAMPLE)).agg(F.count("*").alias("_n"))
+    sized = sized.join(counts, sized["patient"].eqNullSafe(counts["_patient"]) & sized["sample"].eqNullSafe(counts["_sample"]))
+    share = F.lit(q) if q is not None else F.greatest(F.lit(0.0), adaptive_percent(F.col("_n")))
+    # percentiles need a constant share, so that the two lengths around it are taken by rank
+    own = W.partitionBy(*SAMPLE)
+    ranked = sized.select(*SAMPLE, "source", "target", "length", (F.row_number().over(own.orderBy("length")) - 1).alias("_r"), (share / 100 * (F.count("*").over(own) - 1)).alias("_at"))
+    low = F.max(F.when(F.col("_r") == F.floor("_at"), F.col("length"))).over(own)
+    high = F.max(F.when(F.col("_r") == F.ceil("_at"), F.col("length"))).over(own)
+    cut = low + (high - low) * (F.col("_at") - F.floor("_at"))
+    return ranked.select(*SAMPLE, "source", "target", "length", cut.alias("_cut")).where(F.col("length") < F.col("_cut")).select(*SAMPLE, "source", "target")
+
+
 def relink(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, least: int, shortest_only: bool) -> DataFrame:
     """edges with under-connected nodes linked anew.
 

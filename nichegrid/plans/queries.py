@@ -187,7 +187,7 @@ def umap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_niches(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("niche"))
-    return clustering.merge_smallest(labels, vectors.nearest(_vectors(spark, sf_dir), 20))
+    return clustering.merge_smallest(labels, _vectors(spark, sf_dir), force=True)[0]
 
 
 def delaunay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_lengths": _on_graph(lambda n, e: graph.lengths(e, n)),
     "edge_length_percentile": _on_graph(lambda n, e: graph.length_percentile(e, n, PERCENTILE)),
     "global_trim": _on_graph(lambda n, e: graph.shorter(e, n, THRESHOLD)),
+    "size_adaptive_trim": _on_graph(lambda n, e: graph.trim_by_percentile(e, n)),
     "degree_summary": _on_graph(graph.degree_summary),
     "under_connected": _on_graph(lambda n, e: graph.under_connected(n, graph.shorter(e, n, THRESHOLD), K)),
     "relink_knn": _on_graph(relink_knn),
@@ -383,6 +384,10 @@ SELECT patient, source, target, round(distance, 6) AS distance, rank FROM near W
     "edge_lengths": f"WITH {_EDGES} SELECT patient, source, target, round(length, 6) AS length FROM lengths",
     "edge_length_percentile": f"WITH {_EDGES} SELECT patient, round(quantile_cont(length, {PERCENTILE / 100}), 6) AS length FROM lengths GROUP BY patient",
     "global_trim": f"WITH {_EDGES} SELECT * FROM trimmed",
+    "size_adaptive_trim": f"""WITH {_EDGES}, n AS (SELECT patient, count(*) AS n FROM nodes GROUP BY patient),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY l.patient ORDER BY length) - 1 AS r, greatest(0.0, 1 - 2 / sqrt(n)) * (count(*) OVER (PARTITION BY l.patient) - 1) AS place FROM lengths l JOIN n ON n.patient = l.patient),
+c AS (SELECT patient, max(CASE WHEN r = floor(place) THEN length END) AS lo, max(CASE WHEN r = ceil(place) THEN length END) AS hi, any_value(place - floor(place)) AS f FROM r GROUP BY patient)
+SELECT r.patient, source, target FROM r JOIN c ON c.patient = r.patient WHERE length < lo + (hi - lo) * f""",
     "degree_summary": f"""WITH {_EDGES}, d AS (SELECT n.patient, n.node_id, count(e.source) AS degree FROM nodes n LEFT JOIN both_ways e ON e.patient = n.patient AND e.source = n.node_id GROUP BY ALL)
 SELECT patient, round(avg(degree), 6) AS mean_degree, min(degree) AS min_degree, max(degree) AS max_degree FROM d GROUP BY patient""",
     "under_connected": f"""WITH {_EDGES} SELECT n.patient, n.node_id, count(e.source) AS degree FROM nodes n LEFT JOIN trimmed_ways e ON e.patient = n.patient AND e.source = n.node_id GROUP BY ALL HAVING count(e.source) < {K}""",
@@ -450,10 +455,11 @@ SELECT round(count(l.source) / (10.0 * count(DISTINCT h.source)), 6) AS share FR
     "knn_components": f"""WITH RECURSIVE {_knn_sql("euclidean", 1)}, ways AS (SELECT source AS a, target AS b FROM near UNION SELECT target, source FROM near),
 reach(node, other) AS (SELECT id, id FROM v UNION SELECT r.node, w.b FROM reach r JOIN ways w ON w.a = r.other)
 SELECT node, min(other) AS component FROM reach GROUP BY node""",
-    "merged_niches": f"""WITH {_knn_sql("euclidean", 20)}, s AS (SELECT CAST(label AS BIGINT) AS niche, count(*) AS n FROM embeddings GROUP BY 1), gone AS (SELECT arg_min(niche, (n, niche)) AS g FROM s),
-first AS (SELECT source, arg_min(t.label, (distance, target)) AS to_ FROM near JOIN embeddings f ON f.vec_id = source JOIN embeddings t ON t.vec_id = target, gone WHERE f.label = g AND t.label <> g GROUP BY source),
+    "merged_niches": """WITH s AS (SELECT CAST(label AS BIGINT) AS niche, count(*) AS n FROM embeddings GROUP BY 1), gone AS (SELECT arg_min(niche, (n, niche)) AS g, min(n) AS least FROM s),
+d AS (SELECT a.vec_id AS id, b.label AS to_, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN gone ON a.label = g JOIN embeddings b ON b.label <> g),
+m AS (SELECT id, arg_min(to_, (d, to_)) AS to_, min(d) AS d FROM d GROUP BY id), first AS (SELECT to_ FROM m ORDER BY d, to_ LIMIT 20),
 votes AS (SELECT to_, count(*) AS n FROM first GROUP BY 1), into_ AS (SELECT arg_max(to_, (n, -to_)) AS i FROM votes)
-SELECT vec_id AS id, CAST(CASE WHEN label = g THEN coalesce(i, label) ELSE label END AS BIGINT) AS niche FROM embeddings, gone, into_""",
+SELECT vec_id AS id, CAST(CASE WHEN label = g THEN i ELSE label END AS BIGINT) AS niche FROM embeddings, gone, into_""",
     "delaunay_edges": f"""WITH {_NODES}, t AS (
   SELECT a.patient, a.node_id AS i, b.node_id AS j, c.node_id AS k, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy
   FROM nodes a JOIN nodes b ON a.patient = b.patient AND a.node_id < b.node_id JOIN nodes c ON c.patient = a.patient AND b.node_id < c.node_id),

@@ -67,6 +67,11 @@ def test_fuzzy_graph_and_layout(rows):
 
 
 def test_merge_smallest(spark):
-    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 2), (4, 2)], "id long, niche long")
-    near = spark.createDataFrame([(2, 3, 1.0), (2, 0, 2.0)], "source long, target long, distance double")
-    assert {r["id"]: r["niche"] for r in clustering.merge_smallest(labels, near).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2}
+    at = {0: (0.0, 0), 1: (1.0, 0), 2: (4.0, 1), 3: (5.5, 2), 4: (6.0, 2)}
+    labels = spark.createDataFrame([(i, n) for i, (_, n) in at.items()], "id long, niche long")
+    places = spark.createDataFrame([(i, [x]) for i, (x, _) in at.items()], "id long, vector array<double>")
+    merged, done = clustering.merge_smallest(labels, places, force=True)
+    assert done and {r["id"]: r["niche"] for r in merged.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2}
+    assert clustering.merge_smallest(labels, places)[1] is False
+    assert {r["niche"] for r in clustering.merge_until(labels, places, niches=1, force=True).collect()} == {0}
+    assert {r["id"]: r["niche"] for r in clustering.merge_until(labels, places, threshold=2.0).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1}
