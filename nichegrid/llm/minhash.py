@@ -7,26 +7,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nichegrid.llm.common import cut
 from nichegrid.llm.textkit import Words, pieces
 
-#: Coordinates of a signature, and how many must agree. At a similarity of 0.8, fewer agree once in 600,000 pairs.
-COORDINATES, AGREE = 64, 35
+#: Coordinates of a signature, and how many must agree: at a similarity of 0.8, fewer agree once in 110,000 pairs.
+COORDINATES, AGREE = 128, 82
+#: The first coordinates and how many of them must agree, to tell early which documents can have a partner at all: fewer
+#: agree once in 800,000 pairs.
+EARLY, EARLY_AGREE = 64, 35
 _rng = np.random.default_rng(97)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """For each coordinate, 32 bits that tell its least shingle; shingles must not be empty."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        np.minimum(least, ((shingles[i : i + 4096, None] ^ _XOR) * _TIMES).min(0), out=least)
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """For each coordinate, 32 bits of the hash of the shingle that comes first in its order; shingles must not be empty."""
+    best, least = np.zeros(COORDINATES, np.uint64), np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        some = shingles[i : i + 1024]
+        order = (some[:, None] ^ _XOR) * _TIMES
+        at = order.argmin(0)
+        value = order[at, np.arange(COORDINATES)]
+        less = value < least
+        best[less], least[less] = some[at[less]], value[less]
+    return (best >> np.uint64(32)).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -37,14 +44,62 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
             for b in pieces(whole, "text"):
                 w = Words(b.column("text"))
                 sets = [w.shingles(i, words) for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "n", "mark", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "n", "mark", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, f"id {docs.schema[id_col].dataType.simpleString()}, n long, mark binary, sig array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, f"id {docs.schema[id_col].dataType.simpleString()}, n long, mark binary, sig binary")
 
 
-def agreements(a: Column, b: Column) -> Column:
-    """In how many coordinates two signatures agree."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _rows(c: pa.Array) -> np.ndarray:
+    """Signatures as a matrix."""
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
+def postings(reps: DataFrame, coordinates: int) -> DataFrame:
+    """(rep, token): the first (coordinate, value) pairs of each signature."""
+
+    def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sig = _rows(b.column("sig"))[:, :coordinates]
+            token = (np.arange(coordinates, dtype=np.int64) << 32) | sig
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), coordinates)), pa.array(token.ravel())], ["rep", "token"])
+
+    return reps.select("rep", "sig").mapInArrow(tokens, "rep long, token long")
+
+
+def shared_postings(reps: DataFrame, coordinates: int) -> DataFrame:
+    """(token, rep, df): the postings in lists of more than one document, with the lists' lengths."""
+    tokens = postings(reps, coordinates)
+    # aggregates are written before they are joined, so that Spark can split a hot token's rows
+    return tokens.join(cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")).hint("merge"), "token")
+
+
+def prefixes(own: DataFrame) -> DataFrame:
+    """(rep, reach, token, before) from (rep, reach, own), a document's shared pairs, rarest first.
+
+    Only the first len(own) - AGREE + 1 pairs are given. `before` marks, as bits, the coordinates that don't agree with
+    any document whose first common pair this is: those of pairs that come earlier or that nobody shares.
+    """
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at, tokens, marks = [], [], []
+            for i, pairs in enumerate(b.column("own")):
+                token = pairs.values.field("token").to_numpy()
+                place = (token >> 32).astype(int)
+                gone = np.ones(COORDINATES, bool)
+                gone[place] = False
+                n = len(token) - AGREE + 1
+                mark = np.repeat(gone[None], n, 0)
+                for k in range(1, n):
+                    mark[k:, place[k - 1]] = True
+                at += [i] * n
+                tokens.append(token[:n])
+                marks.append(np.packbits(mark, 1).view(np.int64))
+            own = pa.array(at, pa.int64())
+            bits = np.concatenate(marks) if marks else np.zeros((0, COORDINATES // 64), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(own), b.column("reach").take(own), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(COORDINATES // 64))], ["rep", "reach", "token", *(f"m{k}" for k in range(COORDINATES // 64))])
+
+    return own.mapInArrow(rows, "rep long, reach long, token long" + "".join(f", m{k} long" for k in range(COORDINATES // 64)))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -75,7 +130,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of ids whose full sets are similar enough."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.hint("merge"), "id", "left_semi")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -85,7 +140,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_c
 
     known = texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
     known = cut(known)
-    rows = pairs.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    rows = pairs.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b").join(known.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -107,11 +162,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     union; a component is what links connect, named after its smallest id, which is kept.
 
     - Rows with equal sets form a class at once; the work goes on between class representatives.
-    - Every representative is posted under its (coordinate, value) pairs. Two signatures that agree in AGREE of
-      COORDINATES pairs must share one of the COORDINATES - AGREE + 1 rarest of each (prefix merging), so pairs that
-      nobody shares count against a document's prefix and long posting lists are skipped.
+    - Every representative is posted under its first EARLY (coordinate, value) pairs; those with fewer than EARLY_AGREE
+      pairs that others have too are done. The rest are posted under all COORDINATES pairs, and those with fewer than
+      AGREE shared pairs are done too.
+    - Two signatures that agree in AGREE pairs share one of the COORDINATES - AGREE + 1 rarest of each. Pairs that nobody
+      shares are the rarest, so few others are left to merge, and long posting lists are skipped.
     - In each list, every document is first tried with the list's most widely shared document; confirmed links merge
-      components; only documents in one list that are still in different components are tried with each other.
+      components; only documents in one list that are still in different components are tried with each other, if the
+      coordinates that can't agree any more leave room for AGREE others.
     - Tried pairs must agree in AGREE coordinates and fit in size, and then pass on their full sets.
 
     Texts without words, null ones too, have an empty set and link with nothing. A null id has a null component, is
@@ -124,29 +182,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = rows.where(fit).groupBy("mark").agg(F.min("id").alias("rep"))
     reps = rows.where(fit).select(F.col("id").alias("rep"), "mark", "n", "sig").join(classes, ["rep", "mark"], "left_semi").dropDuplicates(["rep", "mark"])
     # an id with several texts is in several classes; its name stands for the first of them
-    reps = cut(reps.select("rep", "n", "sig"))
-    tokens = reps.select("rep", F.posexplode("sig")).select("rep", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("reach"))
-    prefix = own.where(F.size("own") >= AGREE).select("rep", "reach", F.explode(F.slice("own", F.lit(1), F.size("own") - AGREE + 1)).alias("t")).select("rep", "reach", F.col("t.token").alias("token"))
-    posted = cut(prefix)
-    hubs = posted.groupBy("token").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"), F.count("*").alias("k")).where("k > 1").select("token", "hub")
+    reps = cut(reps.select(F.col("rep").cast("long").alias("rep"), "n", "sig"))
+    able = cut(shared_postings(reps, EARLY).groupBy("rep").agg(F.count("*").alias("k")).where(F.col("k") >= EARLY_AGREE).select("rep"))
+    reps = cut(reps.join(able.hint("merge"), "rep", "left_semi"))
+    own = shared_postings(reps, COORDINATES).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("reach")).where(F.size("own") >= AGREE)
+    posted = cut(prefixes(own).join(reps.select("rep", "n").hint("merge"), "rep"))
+    hubs = cut(posted.groupBy("token").agg(F.max(F.struct("reach", (-F.col("rep")).alias("x"))).alias("h")).select("token", (-F.col("h.x")).alias("hub")))
 
     def alike(pairs: DataFrame) -> DataFrame:
         x, y = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-        small, large = F.least("na", "nb") * 100, F.greatest("na", "nb") * percent
-        return pairs.join(y, "b").join(x, "a").where((small >= large) & (agreements(F.col("sa"), F.col("sb")) >= AGREE)).select("a", "b", agreements(F.col("sa"), F.col("sb")).alias("same"))
+        near = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+        def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                same = (_rows(b.column("sa")) == _rows(b.column("sb"))).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same.astype(np.int64))], ["a", "b", "same"]).filter(pa.array(same >= AGREE))
+
+        return near.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, same long")
 
     stars = posted.join(hubs, "token").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     tried = alike(stars)
     first = tried.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
     links = cut(_confirmed(cut(first), docs, words, percent, id_col, text_col))
     found = components(links)
-    placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
+    masks = [f"m{k}" for k in range(COORDINATES // 64)]
+    placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", *masks, F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     open_ = cut(placed.join(mixed, "token", "left_semi"))
-    left, right = (open_.select("token", F.col("rep").alias(r), F.col("c").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    across = left.join(right, "token").where("ca < cb").select("a", "b").distinct()
+    left, right = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "c", "n", *masks))) for x in "ab")
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    apart = sum((F.bit_count(F.col(f"{m}a").bitwiseOR(F.col(f"{m}b"))) for m in masks), F.lit(0))
+    can_agree = apart <= COORDINATES - AGREE  # holds at the first pair that two similar documents have in common
+    across = left.join(right, (left["token"] == right["token"]) & (F.col("ca") < F.col("cb")) & sizes & can_agree).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
     more = cut(alike(across).select("a", "b"))
     if more.isEmpty():
         whole = found
@@ -160,7 +227,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, without those whose component has a smaller id, one for each id."""
-    found = near_duplicates(docs, words, percent, id_col, text_col)
+    found = cut(near_duplicates(docs, words, percent, id_col, text_col))
     dropped = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
-    return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    left = docs.join(dropped.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")
+    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return left
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows without id all stay
+    return left.withColumn("_alone", alone).dropDuplicates([id_col, "_alone"]).drop("_alone")
