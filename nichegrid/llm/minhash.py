@@ -73,35 +73,6 @@ def shared_postings(reps: DataFrame, coordinates: int) -> DataFrame:
     return tokens.join(cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")).hint("merge"), "token")
 
 
-def prefixes(own: DataFrame) -> DataFrame:
-    """(rep, reach, token, before) from (rep, reach, own), a document's shared pairs, rarest first.
-
-    Only the first len(own) - AGREE + 1 pairs are given. `before` marks, as bits, the coordinates that don't agree with
-    any document whose first common pair this is: those of pairs that come earlier or that nobody shares.
-    """
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            at, tokens, marks = [], [], []
-            for i, pairs in enumerate(b.column("own")):
-                token = pairs.values.field("token").to_numpy()
-                place = (token >> 32).astype(int)
-                gone = np.ones(COORDINATES, bool)
-                gone[place] = False
-                n = len(token) - AGREE + 1
-                mark = np.repeat(gone[None], n, 0)
-                for k in range(1, n):
-                    mark[k:, place[k - 1]] = True
-                at += [i] * n
-                tokens.append(token[:n])
-                marks.append(np.packbits(mark, 1).view(np.int64))
-            own = pa.array(at, pa.int64())
-            bits = np.concatenate(marks) if marks else np.zeros((0, COORDINATES // 64), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(own), b.column("reach").take(own), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(COORDINATES // 64))], ["rep", "reach", "token", *(f"m{k}" for k in range(COORDINATES // 64))])
-
-    return own.mapInArrow(rows, "rep long, reach long, token long" + "".join(f", m{k} long" for k in range(COORDINATES // 64)))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b): the smallest node that links lead to.
 
@@ -155,6 +126,37 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_c
     return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _across(open_: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of the open documents (id, c) of different components c that can be similar enough.
+
+    A join on the rarest shingles of full sets: two similar sets share one of the n - ceil(percent * n) + 1 rarest of
+    each, and from the first that they share on, enough of both must be left. Shingles that no other open document has
+    come first; a document of which more than the rest is of that kind has no partner. Nothing similar is lost.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(open_.select("id").hint("merge"), "id", "left_semi")
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in pieces(whole, "text"):
+                w = Words(b.column("text"))
+                sets = [w.shingles(i, words) for i in range(b.num_rows)]
+                sizes = np.array([len(x) for x in sets])
+                own = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(own), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "shingle"])
+
+    shingles = cut(texts.mapInArrow(spread, "id long, n long, shingle long"))
+    often = cut(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    own = shingles.join(often.hint("merge"), "shingle").groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    last = F.col("n") - F.ceil(F.col("n") * percent / 100) - alone + 1
+    first = own.where(last > 0).join(open_, "id").select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), last.cast("int"))["shingle"]).alias("at", "shingle"))
+    first = cut(first.select("id", "c", "n", "shingle", (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
+    a, b = (first.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "left"))) for x in "ab")
+    fits = (F.col("c_a") < F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    fits = fits & (F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -168,8 +170,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     - Two signatures that agree in AGREE pairs share one of the COORDINATES - AGREE + 1 rarest of each. Pairs that nobody
       shares are the rarest, so few others are left to merge, and long posting lists are skipped.
     - In each list, every document is first tried with the list's most widely shared document; confirmed links merge
-      components; only documents in one list that are still in different components are tried with each other, if the
-      coordinates that can't agree any more leave room for AGREE others.
+      components; only documents in lists that still hold several components go on, to an exact join on the rarest
+      shingles of their full sets.
     - Tried pairs must agree in AGREE coordinates and fit in size, and then pass on their full sets.
 
     Texts without words, null ones too, have an empty set and link with nothing. A null id has a null component, is
@@ -186,7 +188,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     able = cut(shared_postings(reps, EARLY).groupBy("rep").agg(F.count("*").alias("k")).where(F.col("k") >= EARLY_AGREE).select("rep"))
     reps = cut(reps.join(able.hint("merge"), "rep", "left_semi"))
     own = shared_postings(reps, COORDINATES).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("reach")).where(F.size("own") >= AGREE)
-    posted = cut(prefixes(own).join(reps.select("rep", "n").hint("merge"), "rep"))
+    posted = cut(own.select("rep", "reach", F.explode(F.slice("own", F.lit(1), F.size("own") - AGREE + 1)["token"]).alias("token")))
     hubs = cut(posted.groupBy("token").agg(F.max(F.struct("reach", (-F.col("rep")).alias("x"))).alias("h")).select("token", (-F.col("h.x")).alias("hub")))
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -205,16 +207,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = tried.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
     links = cut(_confirmed(cut(first), docs, words, percent, id_col, text_col))
     found = components(links)
-    masks = [f"m{k}" for k in range(COORDINATES // 64)]
-    placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", *masks, F.coalesce("component", "rep").alias("c"))
+    placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    open_ = cut(placed.join(mixed, "token", "left_semi"))
-    left, right = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "c", "n", *masks))) for x in "ab")
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = sum((F.bit_count(F.col(f"{m}a").bitwiseOR(F.col(f"{m}b"))) for m in masks), F.lit(0))
-    can_agree = apart <= COORDINATES - AGREE  # holds at the first pair that two similar documents have in common
-    across = left.join(right, (left["token"] == right["token"]) & (F.col("ca") < F.col("cb")) & sizes & can_agree).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
-    more = cut(alike(across).select("a", "b"))
+    open_ = cut(placed.join(mixed.hint("merge"), "token", "left_semi").select(F.col("rep").alias("id"), "c").distinct())
+    more = cut(_across(open_, docs, words, percent, id_col, text_col))
     if more.isEmpty():
         whole = found
     else:
