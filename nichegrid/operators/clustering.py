@@ -141,13 +141,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, sweeps: int = 6, levels: int = 3) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, sweeps: int = 1000, levels: int = 64) -> DataFrame:
     """(node, niche): communities of a weighted graph (a, b, weight) that raise modularity with a resolution.
 
     Level by level, nodes move to the neighbouring community with the largest gain: in a sweep only the half of the
     nodes that a hash of (seed, sweep, node) picks moves, so that neighbours don't swap places. Then communities that
-    aren't connected are split, each becomes a node of the next level, and links within it a loop. Every sweep is a
-    few joins and aggregates over the links; only counts come to the driver.
+    aren't connected are split, each becomes a node of the next level, and links within it a loop. Sweeps go on until no
+    node of either half has a move that helps, levels until the number of nodes stops shrinking; sweeps and levels are
+    guards, and reaching one is an error. Every sweep is a few joins and aggregates over the links; only counts come to
+    the driver.
     """
     links = written(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
     total = links.agg(F.sum("w")).first()[0]
@@ -160,7 +162,6 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
         ways = written(links.select("a", "b", "w").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
         degree = written(level_nodes.join(ways.select("a", F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w")).alias("w")).groupBy("a").agg(F.sum("w").alias("k")), F.col("node") == F.col("a"), "left").select("node", F.coalesce("k", F.lit(0.0)).alias("k")))
         own = written(degree.select("node", "k", F.col("node").alias("c")))
-        quiet = 0
         for sweep in range(sweeps):
             weight = own.groupBy("c").agg(F.sum("k").alias("kc"))
             to = ways.where("a <> b").join(own.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
@@ -170,13 +171,13 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
             gain = F.col("w") - F.lit(resolution / (2 * total)) * F.col("k") * others
             best = options.select("a", "to", "now", F.round(gain, 12).alias("gain")).groupBy("a").agg(F.max(F.struct("gain", (F.col("to") == F.col("now")).alias("here"), (-F.col("to")).alias("x"))).alias("m"))
             turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(sweep), "a"), F.lit(2)) == 0
-            moves = best.where(turn & ~F.col("m.here")).select(F.col("a").alias("node"), (-F.col("m.x")).alias("new"))
-            moved = written(own.join(moves, "node", "left"))
-            n = moved.where("new is not null").count()
-            own = moved.select("node", "k", F.coalesce("new", "c").alias("c"))
-            quiet = quiet + 1 if not n else 0
-            if quiet == 2:  # both halves had a turn
+            best = written(best.where(~F.col("m.here")))
+            if best.isEmpty():
                 break
+            moves = best.where(turn).select(F.col("a").alias("node"), (-F.col("m.x")).alias("new"))
+            own = written(own.join(moves, "node", "left").select("node", "k", F.coalesce("new", "c").alias("c")))
+        else:
+            raise RuntimeError(f"nodes still move after {sweeps} sweeps of level {level}")
         inside = ways.join(own.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(own.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
         parts = components(inside.where("ca = cb and a < b").select("a", "b"), level_nodes)
         merged = parts.agg(F.count("*").alias("n"), F.countDistinct("component").alias("k")).first()
@@ -186,6 +187,8 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
         up = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
         links = written(up.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
         level_nodes = written(parts.select(F.col("component").alias("node")).distinct())
+    else:
+        raise RuntimeError(f"the number of nodes still shrinks after {levels} levels")
     return relabelled(place.select("node", F.col("c").alias("niche")))
 
 

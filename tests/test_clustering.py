@@ -1,3 +1,5 @@
+import collections
+
 import numpy as np
 import pytest
 
@@ -44,6 +46,18 @@ def test_communities_of_cliques(spark):
     assert m == pytest.approx(30 / 32 - (22**2 + 21**2 + 21**2) / (4 * 32**2), abs=0.01)
 
 
+def test_communities_move_and_merge_to_the_end(spark):
+    n = 256
+    ring = [(i, (i + 1) % n) for i in range(n)]
+    graph = spark.createDataFrame([(min(e), max(e), 1.0) for e in ring], "a long, b long, weight double")
+    got = {r["node"]: r["niche"] for r in clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05).collect()}
+    size, links = collections.Counter(got.values()), collections.Counter(frozenset((got[a], got[b])) for a, b in ring)
+    # no two communities are left whose union has a higher modularity
+    assert all(c <= 0.05 * 4 * size[min(p)] * size[max(p)] / (2 * n) + 1e-9 for p, c in links.items() if len(p) == 2)
+    with pytest.raises(RuntimeError):
+        clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, sweeps=1)
+
+
 def test_principal_components(rows):
     x = np.array([r["vector"] for r in rows.orderBy("id").collect()])
     got = np.array([r["projection"] for r in clustering.principal_components(rows, 2).orderBy("id").collect()])
