@@ -181,7 +181,7 @@ def knn_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def umap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = layout.umap(_vectors(spark, sf_dir), epochs=10)
+    out = layout.umap(_vectors(spark, sf_dir))
     return _rounded(out.select("node", F.get("p", 0).alias("dim_1"), F.get("p", 1).alias("dim_2")))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from nichegrid.operators import agreement, clustering, layout, vectors
+from nichegrid.plans import queries
 
 
 def blobs(spark, k=3, n=25, far=12.0, d=2):
@@ -80,6 +81,19 @@ def test_fuzzy_graph_and_layout(rows):
     assert all(np.allclose(again[r["node"]], r["p"], atol=1e-6) for r in places.collect())
 
 
+def test_layout_query_takes_all_rounds(spark, tmp_path, monkeypatch):
+    taken = []
+    monkeypatch.setattr(layout, "optimize", lambda graph, place, epochs, *rest, **more: taken.append(epochs) or place)
+    rows = [(i, [float(i), float(i * i % 7)]) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.umap_layout(spark, str(tmp_path)).count() == 20
+    near = spark.createDataFrame([(0, 1, 1.0)], "source long, target long, distance double")
+    monkeypatch.setattr(layout, "nearest", lambda *a: near)
+    monkeypatch.setattr(layout, "fuzzy_graph", lambda df: df)
+    layout.umap(spark.range(10_001).selectExpr("id", "array(cast(id as double), cast(id % 7 as double)) as vector"))
+    assert taken == [500, 200]
+
+
 def test_merge_smallest(spark):
     at = {0: (0.0, 0), 1: (1.0, 0), 2: (4.0, 1), 3: (5.5, 2), 4: (6.0, 2)}
     labels = spark.createDataFrame([(i, n) for i, (_, n) in at.items()], "id long, niche long")
