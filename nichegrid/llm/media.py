@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nichegrid.llm.common import arrow
 from nichegrid.llm.textkit import pieces
 
 # Fixed values of the public formats: the bytes that begin a file, where they stand in it, and its media type.
@@ -231,10 +232,10 @@ def media(docs: DataFrame, rate: int = 8000, id_col: str = "doc_id", text_col: s
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for b in pieces(whole, "the_text", 4 << 20):
+            for b in pieces(whole, "the_text", 1 << 20):
                 rows = [one(x or b"") for x in b.column("the_text").cast(pa.large_binary()).to_pylist()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), *columns], names)
 
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_type string, media_bytes long, media_sha256 string, embedded array<struct<start: long, end: long, type: string>>, feature string" + ", media binary" * with_bytes
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("the_text")).mapInArrow(batches, schema).withColumnRenamed("id", id_col)
+    return arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("the_text")), batches, schema).withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import cut
+from nichegrid.llm.common import arrow, cut
 from nichegrid.llm.textkit import Words, pieces
 
 #: Coordinates of a signature, and how many must agree: at a similarity of 0.8, fewer agree once in 110,000 pairs.
@@ -46,7 +46,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 sets = [w.shingles(i, words) for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "n", "mark", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, f"id {docs.schema[id_col].dataType.simpleString()}, n long, mark binary, sig binary")
+    return arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), batches, f"id {docs.schema[id_col].dataType.simpleString()}, n long, mark binary, sig binary")
 
 
 def _rows(c: pa.Array) -> np.ndarray:
@@ -63,7 +63,7 @@ def postings(reps: DataFrame, coordinates: int) -> DataFrame:
             token = (np.arange(coordinates, dtype=np.int64) << 32) | sig
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), coordinates)), pa.array(token.ravel())], ["rep", "token"])
 
-    return reps.select("rep", "sig").mapInArrow(tokens, "rep long, token long")
+    return arrow(reps.select("rep", "sig"), tokens, "rep long, token long")
 
 
 def shared_postings(reps: DataFrame, coordinates: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_c
                 w = Words(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([w.shingles(i, words).tobytes() for i in range(b.num_rows)], pa.binary())], ["id", "set"])
 
-    known = texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
+    known = arrow(texts, sets, "id long, set binary").dropDuplicates(["id"])
     known = cut(known)
     rows = pairs.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b").join(known.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
 
@@ -123,7 +123,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_c
                 fits.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return arrow(rows.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
 def _across(open_: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -144,7 +144,7 @@ def _across(open_: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
                 own = pa.array(np.repeat(np.arange(b.num_rows), sizes))
                 yield pa.RecordBatch.from_arrays([b.column("id").take(own), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "shingle"])
 
-    shingles = cut(texts.mapInArrow(spread, "id long, n long, shingle long"))
+    shingles = cut(arrow(texts, spread, "id long, n long, shingle long"))
     often = cut(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     own = shingles.join(often.hint("merge"), "shingle").groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
     alone = F.col("n") - F.size("own")
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 same = (_rows(b.column("sa")) == _rows(b.column("sb"))).sum(1)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same.astype(np.int64))], ["a", "b", "same"]).filter(pa.array(same >= AGREE))
 
-        return near.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, same long")
+        return arrow(near.select("a", "b", "sa", "sb"), compare, "a long, b long, same long")
 
     stars = posted.join(hubs, "token").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     tried = alike(stars)

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nichegrid.llm.common import arrow
 from nichegrid.llm.textkit import pieces
 
 #: The split rule of the byte-level BPE vocabularies; a fixed value of theirs.
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, ranks: str, end_id: int | None = 50256, pad_id: int =
         held = count = 0
         id_type = pa.int64()
         for whole in it:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text"):
                 id_type = b.schema.field("id").type
                 for key, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     ids = tokens.encode(text) + last if text else last
@@ -155,7 +156,7 @@ def pack(docs: DataFrame, ranks: str, end_id: int | None = 50256, pad_id: int =
             yield rows(window, count, id_type)
 
     schema = f"pack long, n_tokens long, ids binary, lengths array<int>, positions binary, doc_ids array<{out_kind}>, parts array<int>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, schema)
+    return arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), batches, schema)
 
 
 def unpack(packs: DataFrame, kind: str = "<u2", end_id: int | None = 50256) -> DataFrame:
@@ -168,7 +169,7 @@ def unpack(packs: DataFrame, kind: str = "<u2", end_id: int | None = 50256) -> D
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.schema.field("doc_ids").type.value_type), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "part", "ids"])
 
     id_kind = packs.schema["doc_ids"].dataType.elementType.simpleString()
-    each = packs.mapInArrow(parts, f"doc_id {id_kind}, part int, ids array<int>")
+    each = arrow(packs, parts, f"doc_id {id_kind}, part int, ids array<int>")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]))
     ids = F.slice("ids", F.lit(1), F.size("ids") - 1) if end_id is not None else F.col("ids")
     return each.groupBy("doc_id").agg(joined.alias("ids")).select("doc_id", ids.alias("ids"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import cut, held_out
-from nichegrid.llm.textkit import Words, pieces
+from nichegrid.llm.common import arrow, cut, held_out
+from nichegrid.llm.textkit import Words, pieces, stretches
 
 FEATURES = ("log_words", "log_word_length", "letters", "capitals", "digits", "marks", "distinct_words", "top_word", "repeated_pairs", "pipes_and_symbols", "sentence_ends", "lines")
 
@@ -40,8 +40,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
     w = Words(texts)
     n = len(texts)
     size = np.diff(w.at)
-    owner = np.repeat(np.arange(n), size)
-    counts = np.bincount(owner * 8 + _KIND[w.raw], minlength=8 * n).reshape(n, 8) if n else np.zeros((0, 8))
+    counts = np.zeros((n, 8))
+    for a, z in stretches(w.raw, w.at):  # a long text lies in many
+        own = np.searchsorted(w.at, [a, z - 1], "right") - 1
+        owner = np.repeat(np.arange(own[1] - own[0] + 1), np.diff(np.clip(w.at[own[0] : own[1] + 2], a, z)))
+        counts[own[0] : own[1] + 1] += np.bincount(owner * 8 + _KIND[w.raw[a:z]], minlength=8 * (own[1] - own[0] + 1)).reshape(-1, 8)
     words = np.diff(w.firsts)
     chars = np.bincount(np.repeat(np.arange(n), words), weights=w.ends - w.starts, minlength=n)
     distinct, top, pairs = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -69,7 +72,7 @@ def features(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(keep))), flat], [*keep, "stats"])
 
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("the_text"))
-    return rows.mapInArrow(batches, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", stats array<double>")
+    return arrow(rows, batches, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -130,7 +133,7 @@ def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.1, id_col: str =
 
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     rows = stats.select(F.col(id_col).alias("id"), "stats").join(known, "id").select("stats", "label")
-    found = rows.mapInArrow(sums, "label long, at long, x double").groupBy("label", "at").agg(F.sum("x").alias("x")).collect()  # 2 * (1 + d + d*d) numbers
+    found = arrow(rows, sums, "label long, at long, x double").groupBy("label", "at").agg(F.sum("x").alias("x")).collect()  # 2 * (1 + d + d*d) numbers
     total = np.zeros((2, 1 + d + d * d))
     for r in found:
         total[r["label"], r["at"]] = r["x"]
@@ -145,7 +148,7 @@ def score(stats: DataFrame, model: Discriminant, keep: tuple[str, ...] = ("doc_i
             x = np.array(b.column("stats").flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.scores(x))], [*keep, "score"])
 
-    return stats.mapInArrow(batches, ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    return arrow(stats, batches, ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrink: float = 0.1) -> DataFrame:
@@ -171,4 +174,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrink
             for b in pieces(whole, "text"):
                 yield b.filter(pa.array(model.scores(statistics(b.column("text"))) >= threshold))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return arrow(docs, batches, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import cut
+from nichegrid.llm.common import arrow, cut
 from nichegrid.llm.textkit import mix, pieces, powers
 
 SPACE = 0x2581
@@ -321,14 +321,14 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
     def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(shared.value)
         for whole in it:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text"):
                 texts = b.column("text").to_pylist()
                 ids = e.texts(texts)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 ok = [e.v.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids))), pa.array(ok, pa.bool_())], ["id", "n_tokens", "ids", "round_trip"])
 
-    short = base.where(F.length("text") <= giant).mapInArrow(small, schema)
+    short = arrow(base.where(F.length("text") <= giant), small, schema)
     # a part repeats the characters after it that a piece from it can reach
     long = base.where(F.length("text") > giant).withColumn("key", F.xxhash64("id", "text"))
     parts = long.select("id", "key", F.length("text").alias("total"), "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("no"))
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
             m = [shared.value.transfer(*part(r)).tobytes() for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("no"), pa.array(m, pa.binary())], ["id", "key", "no", "m"])
 
-    gathered = parts.mapInArrow(transfers, f"id {kind}, key long, no int, m binary").groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("no", "m"))).alias("ms"))
+    gathered = arrow(parts, transfers, f"id {kind}, key long, no int, m binary").groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("no", "m"))).alias("ms"))
 
     def scanned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -360,7 +360,7 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("key").take(at), *(pa.array(x, pa.int32()) for x in c)], ["id", "key", "no", "before", "after"])
 
     v_longest = v.longest
-    borders = gathered.mapInArrow(scanned, f"id {kind}, key long, no int, before int, after int").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("no").alias("_no"), "before", "after")
+    borders = arrow(gathered, scanned, f"id {kind}, key long, no int, before int, after int").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("no").alias("_no"), "before", "after")
     placed = parts.join(borders, (F.col("key") == F.col("_key")) & (F.col("no") == F.col("_no")) & F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "_key", "_no")
 
     def traced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +376,7 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
                 out.append((ids, b"".join(map(v.spelled.__getitem__, ids.tolist())) == whole))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("no"), pa.array([x for x, _ in out], pa.list_(pa.int32())), pa.array([x for _, x in out], pa.bool_())], ["id", "key", "no", "ids", "ok"])
 
-    done = placed.mapInArrow(traced, f"id {kind}, key long, no int, ids array<int>, ok boolean")
+    done = arrow(placed, traced, f"id {kind}, key long, no int, ids array<int>, ok boolean")
     # rows that repeat an id and its text have each part several times over
     whole = done.groupBy("id", "key", "no").agg(F.min("ids").alias("ids"), F.bool_and("ok").alias("ok"), F.count("*").alias("times"))
     whole = whole.groupBy("id", "key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"), F.bool_and("ok").alias("ok"), F.first("times").alias("times"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import cut
+from nichegrid.llm.common import arrow, cut
 from nichegrid.llm.textkit import buffers, mix, pieces, powers, prefix_hashes, span_hashes
 
 CORE, HOT, PIECE = 64, 200, 21
@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 own = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("k").take(own), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(np.array(c[3], np.uint64).view(np.int64)), pa.array(c[4], pa.binary())], ["id", "k", "pos", "lo", "hi", "core", "uni"])
 
-    found = cut(base.mapInArrow(find, f"id {kind}, k long, pos long, lo int, hi int, core long, uni binary"))
+    found = cut(arrow(base, find, f"id {kind}, k long, pos long, lo int, hi int, core long, uni binary"))
     # aggregates are written before they are joined, so that Spark can split a hot key's rows
     kinds = found.groupBy("core", "uni").agg(F.count("*").alias("n"))
     cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("core", "kinds")
@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     same = lambda a, b: (a["k"] == b["k"]) & a["id"].eqNullSafe(b["id"])
     joined = base.join(rest, same(base, rest)).select(base["id"], base["k"], "text", "own")
-    near = cut(joined.mapInArrow(contexts, f"id {kind}, k long, pos long, lo int, hi int, core long, kinds long, context binary"))
+    near = cut(arrow(joined, contexts, f"id {kind}, k long, pos long, lo int, hi int, core long, kinds long, context binary"))
     spans = f"id {kind}, k long, start long, end long"
     few = near.where(F.col("kinds") <= HOT).repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _settle(it, length), spans)
 
@@ -322,4 +322,4 @@ def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 1 + len(types)])
 
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_bytes
-    return rows.mapInArrow(remove, schema).withColumnRenamed("id", id_col)
+    return arrow(rows, remove, schema).withColumnRenamed("id", id_col)

@@ -60,7 +60,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about `most` bytes of text each; one longer text is a slice of its own."""
     if not batch.num_rows:
         return
@@ -72,26 +72,63 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         start = end
 
 
+def stretches(raw: np.ndarray, at: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Borders of consecutive stretches of the bytes of some texts, of about `most` bytes, that cut no word."""
+    start, n = 0, len(raw)
+    while start < n:
+        end = min(n, start + most)
+        while end < n and not _SPACE[raw[end - 1]]:
+            space = np.flatnonzero(_SPACE[raw[end : end + most]])
+            border = at[np.searchsorted(at, end)]  # the last one is n
+            end = min(int(border), end + int(space[0]) + 1 if len(space) else min(n, end + most))
+            if end == border:
+                break
+        yield start, end
+        start = end
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """Hashes of the words of a stretch; a stretch longer than usual is mostly one word, which is hashed in parts."""
+    size = (ends - starts).astype(np.uint64) * np.uint64(_BASE)
+    step = 1 << 19
+    if len(raw) <= step:
+        return mix(span_hashes(prefix_hashes(_FOLD[raw] if fold else raw), starts, ends) + size)
+    out = np.zeros(len(starts), np.uint64)
+    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        for a in range(s, e, step):
+            part = raw[a : min(e, a + step)]
+            out[i] += prefix_hashes(_FOLD[part] if fold else part)[-1] * np.uint64(pow(_BASE, a - s, 1 << 64))
+    return mix(out + size)
+
+
 class Words:
-    """Borders and hashes of the words of some texts; words are separated by ASCII white space."""
+    """Borders and hashes of the words of some texts; words are separated by ASCII white space.
+
+    The bytes are worked off in stretches, so that a very long text takes some bytes a word and not a byte.
+    """
 
     def __init__(self, texts: pa.Array, fold: bool = True, hashes: bool = True):
         """fold: A-Z count as a-z. firsts[i]:firsts[i+1] are the words of text i."""
-        raw, self.at = buffers(texts)
-        self.raw = raw
-        inside = ~_SPACE[raw]
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[self.at] = True
-        before = np.empty(len(raw), bool)
-        before[:1], before[1:] = True, ~inside[:-1]
-        self.starts = np.flatnonzero(inside & (before | edge[:-1]))
-        after = np.empty(len(raw), bool)
-        after[-1:], after[:-1] = True, ~inside[1:]
-        self.ends = np.flatnonzero(inside & (after | edge[1:])) + 1
-        self.firsts = np.searchsorted(self.starts, self.at)
+        self.raw, self.at = buffers(texts)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+        for a, z in stretches(self.raw, self.at):
+            raw = self.raw[a:z]
+            inside = ~_SPACE[raw]
+            new = np.empty(len(raw) + 1, bool)  # whether a place begins a text or follows white space
+            new[0] = new[-1] = True
+            np.logical_not(inside[:-1], out=new[1:-1])
+            after = np.empty(len(raw) + 1, bool)  # whether a place is white space or begins a text
+            np.logical_not(inside, out=after[:-1])
+            after[-1] = True
+            border = self.at[np.searchsorted(self.at, a) : np.searchsorted(self.at, z, "right")] - a
+            new[border] = after[border] = True
+            starts = np.flatnonzero(inside & new[:-1])
+            ends = np.flatnonzero(inside & after[1:]) + 1
+            found.append((starts + a, ends + a, _word_hashes(raw, starts, ends, fold) if hashes else None))
+        self.starts, self.ends = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         if hashes:
-            prefix = prefix_hashes(_FOLD[raw] if fold else raw)
-            self.hashes = mix(span_hashes(prefix, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64) * np.uint64(_BASE))
+            self.hashes = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64)
+        self.firsts = np.searchsorted(self.starts, self.at)
 
     def shingles(self, text: int, n: int) -> np.ndarray:
         """Sorted distinct hashes of the n-word sequences of one text; of all its words if they are fewer."""

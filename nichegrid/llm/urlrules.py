@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import lower_ascii
+from nichegrid.llm.common import arrow, lower_ascii
 
 #: Stands between host and path in canonical URLs and in patterns; a symbol that no text has.
 BORDER = 256
@@ -139,4 +139,4 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_co
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("key"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    return rows.mapInArrow(batches, f"key {kind}, host string, path string, rule string, verdict string").withColumnRenamed("key", id_col)
+    return arrow(rows, batches, f"key {kind}, host string, path string, rule string, verdict string").withColumnRenamed("key", id_col)
