@@ -4,12 +4,14 @@ Each string (window) of `length` bytes is represented by one anchor inside it: t
 CORE bytes, the leftmost of equals. Equal windows have their anchors at the same offset, so they meet under the hash
 of the anchor's core, wherever they start. What an anchor stands for is a run of windows [pos - hi, pos - lo].
 
-1. Anchors whose whole run of windows recurs are settled by counting 128-bit hashes, without any text.
-2. The rest of a core's anchors, with their contexts, are suffix-sorted by prefix hashes (`common`, `sorted_suffixes`);
-   neighbours in the two sorted orders bound what each anchor can share, and the windows within the bounds are told
-   equal by hash and compared byte by byte.
-3. Cores with more than HOT different contexts don't go to one task: their runs are cut into pieces and then single
-   windows, which are counted by 128-bit hashes.
+1. Anchors with equal contexts (all bytes that their windows cover) are a class; two members stand for it.
+2. The contexts of a core's classes are suffix-sorted by prefix hashes (`common`, `sorted_suffixes`), from the anchor to
+   the right and to the left; neighbours in the two sorted orders bound what each can share, and the windows within
+   the bounds are told equal by hash and compared byte by byte.
+3. A core with more than GROUP classes is split by more of the text: its runs of windows are cut into narrower ones, and
+   those that agree in the bytes that all their windows cover are a group of their own, again and again, down to single
+   windows.
+4. What is found for a class holds for all its members.
 """
 
 from __future__ import annotations
@@ -20,16 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichegrid.llm.common import arrow, cut
 from nichegrid.llm.textkit import buffers, mix, pieces, powers, prefix_hashes, span_hashes
 
-CORE, HOT, PIECE = 64, 200, 21
+#: Bytes of an anchor's core, and classes of a core that one task sorts at most.
+CORE, GROUP = 64, 2000
 _INDEX = np.uint64((1 << 26) - 1)
 #: Window starts handled at once; the index must fit beside a hash.
-_STRETCH = 1 << 24
+_STRETCH = 1 << 18
 
 
 def runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,17 +170,19 @@ def shared_windows(contexts: list[bytes], lo: np.ndarray, hi: np.ndarray, group:
     return index[new], a[new], a[np.append(new[1:] - 1, len(a) - 1)] if len(a) else a
 
 
+_FOUND = "core long, uni binary, first int, last int"
+
+
 def _settle(it: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans (id, k, start, end) from contexts sorted by core; a core's rows may cross batches."""
+    """Rows of _FOUND, shared windows of classes by offset, from contexts sorted by core; a core's rows may cross batches."""
 
     def solved(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         core = t["core"].to_numpy()
         group = np.cumsum(np.concatenate([[0], core[1:] != core[:-1]]))
         i, a, z = shared_windows(t["context"].to_pylist(), t["lo"].to_numpy().astype(np.int64), t["hi"].to_numpy().astype(np.int64), group, length)
-        pos = t["pos"].to_numpy()[i]
-        rows = t.take(pa.array(i))
-        return pa.RecordBatch.from_arrays([rows["id"].combine_chunks(), rows["k"].combine_chunks(), pa.array(pos - z), pa.array(pos - a + length)], ["id", "k", "start", "end"])
+        rows = t.select(["core", "uni"]).take(pa.array(i))
+        return pa.RecordBatch.from_arrays([rows["core"].combine_chunks(), rows["uni"].combine_chunks(), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["core", "uni", "first", "last"])
 
     rest: pa.Table | None = None
     for b in it:
@@ -193,12 +198,47 @@ def _settle(it: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatc
         yield solved(rest)
 
 
-def _pieces_of(context: bytes, lo: int, hi: int, length: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """(number, lo, hi, hash of what its windows all cover, hash of all they cover) of pieces of a run of windows."""
-    for q in range(lo // PIECE, hi // PIECE + 1):
-        a, z = max(lo, q * PIECE), min(hi, q * PIECE + PIECE - 1)
-        inner = context[hi - q * PIECE : hi + length - (q * PIECE + PIECE - 1)]
-        yield q, a, z, xxhash.xxh3_128_digest(b"%d:" % q + inner), xxhash.xxh3_128_digest(b"%d,%d:" % (a, z) + context[hi - z : hi - a + length])
+def _pieces_of(context: bytes, lo: int, hi: int, length: int, width: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(group, lo, hi, class, context) of the parts of a run of windows, `width` offsets each: a group has the bytes that
+    all windows of such a part cover, a class all that they cover."""
+    for q in range(lo // width, hi // width + 1):
+        a, z = max(lo, q * width), min(hi, q * width + width - 1)
+        inner = context[max(0, hi - q * width) : hi + length - (q * width + width - 1)]
+        own = context[hi - z : hi - a + length]
+        yield xxhash.xxh3_64_intdigest(b"%d,%d:" % (width, q) + inner) - (1 << 63), a, z, xxhash.xxh3_128_digest(b"%d,%d:" % (a, z) + own), own
+
+
+def _sorted_out(reps: DataFrame, length: int, width: int) -> DataFrame:
+    """Rows of _FOUND for all classes (core, uni, lo, hi, kinds, context), of which repeated ones have two rows. kinds is
+    how many classes the core has."""
+    # the anchor's place in a context follows from hi, so that equal contexts are equal suffixes
+    few = arrow(reps.where(F.col("kinds") <= GROUP).repartition("core").sortWithinPartitions("core"), lambda it: _settle(it, length), _FOUND)
+    many = reps.where(F.col("kinds") > GROUP)
+    if width == 1 or many.isEmpty():
+        return few
+    narrow = -(-width // 4)
+
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(i, *p) for i, (c, lo, hi) in enumerate(zip(b.column("context").to_pylist(), b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)) for p in _pieces_of(c, lo, hi, length, narrow)]
+            i, core, lo, hi, uni, own = zip(*rows, strict=True) if rows else [[]] * 6
+            at = pa.array(i, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("core").take(at), b.column("uni").take(at), pa.array(core, pa.int64()), pa.array(uni, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(own, pa.binary())], ["of_core", "of_uni", "core", "uni", "lo", "hi", "context"])
+
+    split = cut(arrow(many, parts, "of_core long, of_uni binary, core long, uni binary, lo int, hi int, context binary"))
+    one = F.struct("context", "of_core", "of_uni")
+    classes = cut(split.groupBy("core", "uni").agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(one)["context"].alias("one"), F.max(one)["context"].alias("two")))
+    found = _sorted_out(_standing(classes, F.col("one"), F.col("two"), "context"), length, narrow)
+    mapped = split.select("core", "uni", "of_core", "of_uni").distinct().join(found.hint("merge"), ["core", "uni"])
+    return few.union(mapped.select(F.col("of_core").alias("core"), F.col("of_uni").alias("uni"), "first", "last"))
+
+
+def _standing(classes: DataFrame, one: Column, two: Column, name: str) -> DataFrame:
+    """The classes of cores that could share something, with kinds; `name` is one's row and, if the class repeats, two's."""
+    # written before the join, so that Spark can split a hot core's rows
+    cores = cut(classes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("core", "kinds"))
+    both = F.when(F.col("n") > 1, F.array(one, two)).otherwise(F.array(one))
+    return classes.join(cores.hint("merge"), "core").select("core", "uni", "lo", "hi", "kinds", F.explode(both).alias(name))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,25 +253,22 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         for whole in it:
             for b in pieces(whole, "text"):
                 raw, at = buffers(b.column("text"))
-                view, rows, owner = memoryview(raw), [], []
+                view, owner, rows = memoryview(raw), [], []
                 for i in np.flatnonzero(np.diff(at) >= length).tolist():
-                    some = list(anchors(view[at[i] : at[i + 1]], length))
-                    rows += some
-                    owner += [i] * len(some)
+                    own: dict[tuple, list[int]] = {}  # a class that recurs in a text is one row
+                    for p, lo, hi, h, uni in anchors(view[at[i] : at[i + 1]], length):
+                        own.setdefault((h, uni, lo, hi), []).append(p)
+                    rows += [(*c, places) for c, places in own.items()]
+                    owner += [i] * len(own)
                 c = list(zip(*rows, strict=True)) or [[]] * 5
                 own = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("k").take(own), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(np.array(c[3], np.uint64).view(np.int64)), pa.array(c[4], pa.binary())], ["id", "k", "pos", "lo", "hi", "core", "uni"])
-
-    found = cut(arrow(base, find, f"id {kind}, k long, pos long, lo int, hi int, core long, uni binary"))
-    # aggregates are written before they are joined, so that Spark can split a hot key's rows
-    kinds = found.groupBy("core", "uni").agg(F.count("*").alias("n"))
-    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("core", "kinds")
-    counted = cut(kinds.join(cores, "core"))
-    state = found.join(counted, ["core", "uni"])
-    whole = state.where("n > 1").select("id", "k", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
-    # one anchor stands for those of a kind that recurs: the other kinds may share some of its windows
-    stand_in = state.where("n > 1 and kinds > 1").groupBy("core", "uni").agg(F.min(F.struct("k", "id", "pos", "lo", "hi", "kinds")).alias("x")).select("core", "x.*")
-    rest = state.where("n = 1").select("id", "k", "pos", "lo", "hi", "core", "kinds").unionByName(stand_in).groupBy("id", "k").agg(F.collect_list(F.struct("pos", "lo", "hi", "core", "kinds")).alias("own"))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("k").take(own), pa.array(np.array(c[0], np.uint64).view(np.int64)), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64()))], ["id", "k", "core", "uni", "lo", "hi", "places"])
+
+    found = cut(arrow(base, find, f"id {kind}, k long, core long, uni binary, lo int, hi int, places array<long>"))
+    place = lambda at: F.struct("k", "id", F.element_at("places", at).alias("pos"))
+    classes = cut(found.groupBy("core", "uni").agg(F.sum(F.size("places")).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(place(1)).alias("one"), F.max(place(-1)).alias("two")))
+    reps = _standing(classes, F.col("one"), F.col("two"), "x").select("x.*", "core", "uni", "lo", "hi", "kinds")
+    wanted = reps.groupBy("id", "k").agg(F.collect_list(F.struct("pos", "lo", "hi", "core", "uni", "kinds")).alias("own"))
 
     def contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for all_ in it:
@@ -242,47 +279,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 pos, lo, hi = (each.field(i).to_numpy() for i in range(3))
                 start = at[parent.to_numpy()] + pos
                 cut_ = [view[s:e] for s, e in zip((start - hi).tolist(), (start - lo + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("id").take(parent), b.column("k").take(parent), *(each.field(i) for i in range(5)), pa.array(cut_, pa.binary())], ["id", "k", "pos", "lo", "hi", "core", "kinds", "context"])
+                yield pa.RecordBatch.from_arrays([each.field(3), each.field(4), each.field(1), each.field(2), each.field(5), pa.array(cut_, pa.binary())], ["core", "uni", "lo", "hi", "kinds", "context"])
 
     same = lambda a, b: (a["k"] == b["k"]) & a["id"].eqNullSafe(b["id"])
-    joined = base.join(rest, same(base, rest)).select(base["id"], base["k"], "text", "own")
-    near = cut(arrow(joined, contexts, f"id {kind}, k long, pos long, lo int, hi int, core long, kinds long, context binary"))
-    spans = f"id {kind}, k long, start long, end long"
-    few = near.where(F.col("kinds") <= HOT).repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _settle(it, length), spans)
-
-    def piece_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = [(i, *p) for i, (c, lo, hi) in enumerate(zip(b.column("context").to_pylist(), b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)) for p in _pieces_of(c, lo, hi, length)]
-            i, _, a, z, inner, outer = zip(*rows, strict=True) if rows else [[]] * 6
-            own = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in ("id", "k", "pos")), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(inner, pa.binary()), pa.array(outer, pa.binary())], ["id", "k", "pos", "lo", "hi", "core", "uni"])
-
-    def window_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = [(i, a, xxhash.xxh3_128_digest(b"%d:" % a + c[full - a : full - a + length])) for i, (c, full, lo, hi) in enumerate(zip(*(b.column(x).to_pylist() for x in ("context", "full", "lo", "hi")), strict=True)) for a in range(lo, hi + 1)]
-            i, a, w = zip(*rows, strict=True) if rows else [[]] * 3
-            own = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(x).take(own) for x in ("id", "k", "pos")), pa.array(a, pa.int32()), pa.array(w, pa.binary())], ["id", "k", "pos", "a", "window"])
-
-    parts = [whole, few]
-    hot = near.where(F.col("kinds") > HOT)
-    if not hot.isEmpty():
-        cutup = cut(hot.mapInArrow(piece_rows, f"id {kind}, k long, pos long, lo int, hi int, core binary, uni binary"))
-        kinds = cutup.groupBy("core", "uni").agg(F.count("*").alias("n"))
-        cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("core", "kinds")
-        counted = cut(kinds.join(cores, "core"))
-        state = cut(cutup.join(counted, ["core", "uni"]))
-        stand_in = state.where("n > 1 and kinds > 1").groupBy("core", "uni").agg(F.min(F.struct("id", "k", "pos", "lo", "hi")).alias("x")).select("x.*")
-        parts.append(state.where("n > 1").select("id", "k", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end")))
-        open_ = state.where("n = 1").select("id", "k", "pos", "lo", "hi").unionByName(stand_in).select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-        rows = hot.join(open_, (hot["k"] == F.col("_k")) & (hot["pos"] == F.col("_pos")) & hot["id"].eqNullSafe(F.col("_id"))).select("id", "k", "pos", F.col("hi").alias("full"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "context")
-        windows = cut(rows.mapInArrow(window_rows, f"id {kind}, k long, pos long, a int, window binary"))
-        twice = cut(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
-        parts.append(windows.join(twice, "window").select("id", "k", (F.col("pos") - F.col("a")).alias("start"), (F.col("pos") - F.col("a") + length).alias("end")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = base.join(wanted, same(base, wanted)).select("text", "own")
+    near = cut(arrow(joined, contexts, "core long, uni binary, lo int, hi int, kinds long, context binary"))
+    shared = cut(_sorted_out(near, length, length - CORE + 1).distinct())
+    spans = found.join(shared.hint("merge"), ["core", "uni"]).select("id", "k", F.explode("places").alias("pos"), "first", "last")
+    return spans.groupBy("id", "k").agg(F.collect_set(F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + length).alias("end"))).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -296,11 +300,12 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for every row of docs.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, text[, spans, kept]) for every row of docs.
 
     Texts are UTF-8 bytes; strings never cross texts. Every byte is removed that is covered by a string of `length`
     bytes which also starts at any other place, in the same text or another row's, judged on the input. Spans are the
-    maximal removed runs; `kept` is what is left. Null and empty texts, and those shorter than `length`, lose nothing;
+    maximal removed runs; `kept` is what is left, `text` the same without the bytes of characters that a removal tore.
+    A text may be very long: it is hashed by stretches of 256 KB, and copied once or twice where bytes go. Null and empty texts, and those shorter than `length`, lose nothing;
     rows that repeat a text lose all of it, if it is long enough. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -316,10 +321,10 @@ def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     text = text or b""
                     gone = merged(np.stack([own.values.field(i).to_numpy() for i in (0, 1)], 1)) if own.is_valid else np.zeros((0, 2), np.int64)
                     kept = b"".join(text[s:e] for s, e in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(text)], strict=True))
-                    out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in gone.tolist()] if with_bytes else None, kept if with_bytes else None))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()][: 6 if with_bytes else 4]
+                    out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), [{"start": s, "end": e} for s, e in gone.tolist()] if with_bytes else None, kept if with_bytes else None))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()][: 7 if with_bytes else 5]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 1 + len(types)])
+                yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans", "kept"][: 1 + len(types)])
 
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_bytes
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_bytes
     return arrow(rows, remove, schema).withColumnRenamed("id", id_col)

@@ -27,9 +27,10 @@ def result(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [200, 2])
-def test_against_brute_force(docs, texts, hot, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("group", [2000, 2])
+def test_against_brute_force(docs, texts, group, monkeypatch):
+    """Also with cores that are split down to single windows."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
     assert result(suffixes.repeated_bytes(docs, 400)) == brute(texts.items(), 400)
     assert result(suffixes.repeated_bytes(docs, 150)) == brute(texts.items(), 150)
 
