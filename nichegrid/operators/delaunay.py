@@ -1,9 +1,8 @@
-"""Delaunay graphs from Voronoi cells, each clipped from nearby nodes only.
+"""Delaunay graphs from Voronoi cells.
 
 Two nodes are linked if their Voronoi cells share a border of positive length; so where four nodes or more lie on an
 empty circle, the diagonals aren't edges. A cell is complete once every further node is twice as far as its farthest
-corner. Cells are clipped from 16 nearest nodes first, then from four times as many, and those of the outer nodes from
-their whole sample; each round is one join for all samples.
+corner.
 """
 
 from __future__ import annotations
@@ -17,101 +16,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nichegrid.functions.lineage import written
-from nichegrid.operators.graph import SAMPLE, lengths, nearest, relink, shorter
+from nichegrid.operators import plane
+from nichegrid.operators.graph import SAMPLE, TILE, largest_sample, lengths, near_rows, nearest, relink, shorter
 
-_FAR = 1e4
+_EDGES = "patient string, sample string, source long, target long"
+_CELLS = "patient string, sample string, node_id long, x double, y double, complete boolean, corners array<struct<x: double, y: double, w: double>>, near array<struct<distance: double, target: long, tx: double, ty: double>>, edges array<long>"
 
 
-def cell(x: float, y: float, others: np.ndarray) -> tuple[list[int], float]:
-    """The indices of the others whose bisectors bound the cell of (x, y), and the distance of its farthest corner.
+def _cells(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """Rows of _CELLS from (patient, sample, node_id, x, y, near): the cells that near's nodes leave, with those of near
+    that have a border. whole: near is all that could cut the cell."""
 
-    others must be sorted by distance. Coordinates are taken relative to the node and to the others' extent, so that a
-    border counts as positive if it is longer than a 1e-9th of that.
-    """
-    rel = others - (x, y)
-    scale = float(np.abs(rel).max(initial=0.0)) or 1.0
-    rel = rel / scale
-    square = (rel**2).sum(1)
-    corners = np.array([[-_FAR, -_FAR], [_FAR, -_FAR], [_FAR, _FAR], [-_FAR, _FAR]])
-    owners = [-1, -1, -1, -1]  # of the border from each corner to the next
-    reach = 2 * _FAR * _FAR
-    for i, (p, s) in enumerate(zip(rel, square, strict=True)):
-        if s == 0:
-            continue
-        if s > 4 * reach * (1 + 1e-9):
-            break
-        side = corners @ p - s / 2  # positive: nearer to the other node
-        inside = side <= 1e-12 * max(1.0, s)
-        if inside.all():
-            continue
-        if not inside.any():
-            break
-        kept, kept_owners, n = [], [], len(corners)
-        for j in range(n):
-            k = (j + 1) % n
-            if inside[j]:
-                kept.append(corners[j])
-                kept_owners.append(owners[j])
-                if not inside[k]:
-                    kept.append(corners[j] + (corners[k] - corners[j]) * (side[j] / (side[j] - side[k])))
-                    kept_owners.append(i)
-            elif inside[k]:
-                kept.append(corners[j] + (corners[k] - corners[j]) * (side[j] / (side[j] - side[k])))
-                kept_owners.append(owners[j])
-        corners, owners = np.array(kept), kept_owners
-        reach = float((corners**2).sum(1).max())
-    border = np.sqrt(((np.roll(corners, -1, 0) - corners) ** 2).sum(1))
-    return [o for o, b in zip(owners, border, strict=True) if o >= 0 and b > 1e-9], reach**0.5 * scale
-
-
-def _clipped(candidates: DataFrame, whole: bool) -> DataFrame:
-    """(patient, sample, node_id, complete, edges) from rows with x, y and `near`, an array of (distance, target, x, y)."""
-
-    def clip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            done, edges = [], []
-            near = b.column("near")
-            for x, y, own in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), near, strict=True):
-                d, target, ox, oy = (own.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                order = np.lexsort((target, d))
-                found, reach = cell(x, y, np.stack([ox[order], oy[order]], 1))
-                done.append(whole or bool(len(d) and d.max() >= 2 * reach))
-                edges.append(sorted({int(target[order[i]]) for i in found}))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*SAMPLE, "node_id")), pa.array(done, pa.bool_()), pa.array(edges, pa.list_(pa.int64()))], [*SAMPLE, "node_id", "complete", "edges"])
-
-    return candidates.mapInArrow(clip, "patient string, sample string, node_id long, complete boolean, edges array<long>")
+            own = b.column("near")
+            n = len(own)
+            at = np.array(own.offsets) - own.offsets[0].as_py() if n else np.zeros(1, np.int64)
+            owner, each = np.repeat(np.arange(n), np.diff(at)), own.flatten()
+            distance, target, tx, ty = (each.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x, y = b.column("x").to_numpy(), b.column("y").to_numpy()
+            order = np.lexsort((target, distance, owner))
+            cells, reach, far = plane.Cells(n), np.full(n, np.inf), np.zeros(n)
+            for r in range(int(np.diff(at).max(initial=0))):
+                live = np.flatnonzero(np.diff(at) > r)
+                place = order[at[live] + r]
+                far[live] = distance[place]
+                near = distance[place] < 2 * reach[live]
+                live, place = live[near], place[near]
+                changed = cells.cut(live, tx[place] - x[live], ty[place] - y[live], place)
+                reach[changed] = cells.reach(changed)
+            of, to = plane.neighbours(cells, lambda i, j: (float(tx[j]), float(ty[j])) if j >= 0 else (float(x[i]), float(y[i])))
+            edges = [target[to[a:z]].tolist() for a, z in zip(*(np.searchsorted(of, np.arange(n), side) for side in ("left", "right")), strict=True)]
+            done = (far >= 2 * reach) | whole
+            corners = [[{"x": v[0], "y": v[1], "w": v[2]} for v in cells.corners[i, : cells.sizes[i]].tolist()] if not done[i] else [] for i in range(n)]
+            kept = [[{"distance": distance[j], "target": target[j], "tx": tx[j], "ty": ty[j]} for j in cells.owners[i, : cells.sizes[i]].tolist() if j >= 0] if not done[i] else [] for i in range(n)]
+            schema = b.schema
+            struct = schema.field("near").type
+            corner = pa.list_(pa.struct([(c, pa.float64()) for c in "xyw"]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*SAMPLE, "node_id", "x", "y")), pa.array(done, pa.bool_()), pa.array(corners, corner), pa.array(kept, struct), pa.array(edges, pa.list_(pa.int64()))], [*SAMPLE, "node_id", "x", "y", "complete", "corners", "near", "edges"])
+
+    return rows.mapInArrow(batches, _CELLS)
+
+
+def _in_tiles(nodes: DataFrame, tile: int, largest: int) -> DataFrame:
+    """Edges of samples that don't fit a task: cells of 16 and of 128 nearest nodes, then, for the outer nodes, of the
+    nearest node that still cuts them, again and again. Each round is a join for all samples, over open nodes only."""
+    prefixed = lambda *names: [F.col(c).alias(f"_{c}") for c in names]
+    own = F.col("patient").eqNullSafe(F.col("_patient")) & F.col("sample").eqNullSafe(F.col("_sample"))
+    open_, edges = nodes.select(*SAMPLE, "node_id", "x", "y"), []
+    for k in (16, 128):
+        mark = open_.select(*prefixed(*SAMPLE, "node_id"), F.lit(True).alias("asked"))
+        asked = nodes.join(mark, own & (F.col("node_id") == F.col("_node_id")), "left").select(*SAMPLE, "node_id", "x", "y", F.coalesce("asked", F.lit(False)).alias("asked"))
+        near = near_rows(asked, k, tile, largest).groupBy(*prefixed(*SAMPLE, "source")).agg(F.collect_list(F.struct("distance", "target", "tx", "ty")).alias("near"))  # k entries
+        rows = open_.join(near, own & (F.col("node_id") == F.col("_source"))).select(*open_.columns, "near")
+        cells = written(_cells(rows))
+        edges.append(cells.where("complete").select(*SAMPLE, "node_id", "edges"))
+        open_ = written(cells.where("not complete").select(*SAMPLE, "node_id", "x", "y"))
+    cells = cells.where("not complete")
+    place = nodes.select(*prefixed(*SAMPLE), F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    dx, dy = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
+    square = dx * dx + dy * dy
+    while not cells.isEmpty():
+        size = lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]) * F.sqrt(square) + v["w"] * square
+        cuts = F.exists("corners", lambda v: v["x"] * dx + v["y"] * dy - v["w"] * square / 2 > 4e-11 * size(v)) & (square > 0)
+        known = F.exists("near", lambda p: p["target"] == F.col("target"))
+        pairs = cells.join(place, own).where(cuts & ~known)
+        next_ = pairs.groupBy(*prefixed(*SAMPLE, "node_id")).agg(F.min(F.struct(F.sqrt(square).alias("distance"), "target", "tx", "ty")).alias("more"))
+        state = written(cells.join(next_, own & (F.col("node_id") == F.col("_node_id")), "left").select(*cells.columns, "more"))
+        edges.append(state.where("more is null").select(*SAMPLE, "node_id", "edges"))
+        rows = state.where("more is not null").select(*SAMPLE, "node_id", "x", "y", F.concat("near", F.array("more")).alias("near"))
+        cells = written(_cells(rows).withColumn("complete", F.lit(False)))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    ends = out.select(*SAMPLE, "node_id", F.explode("edges").alias("other"))
+    return ends.select(*SAMPLE, F.least("node_id", "other").alias("source"), F.greatest("node_id", "other").alias("target")).distinct()
 
 
-def delaunay(nodes: DataFrame, first: int = 16) -> DataFrame:
+def delaunay(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """The untrimmed Delaunay edges of every sample; nodes of one place have none between each other.
 
-    A sample of two nodes has their edge, nodes on a line are a path. A coordinate that isn't finite is an error.
+    A sample of two nodes has their edge, nodes on a line are a path. A coordinate that isn't finite is an error. A
+    sample of at most `tile` nodes is one task's, larger ones go tile by tile.
     """
     bad = nodes.where(F.isnan("x") | F.isnan("y") | F.isnull("x") | F.isnull("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf"))).limit(1).collect()
     if bad:
         raise ValueError(f"coordinates must be finite: node {bad[0]['node_id']} of {bad[0]['patient']}")
-    place = nodes.select(*(F.col(c).alias(f"_{c}") for c in SAMPLE), F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    open_ = nodes.select(*SAMPLE, "node_id", "x", "y")
-    cells = None
-    for k in (first, 4 * first):
-        near = nearest(nodes, k)
-        joined = near.join(place, near["patient"].eqNullSafe(place["_patient"]) & near["sample"].eqNullSafe(place["_sample"]) & (near["target"] == place["target"])).select(*SAMPLE, F.col("source").alias("node_id"), "distance", near["target"], "tx", "ty")
-        lists = joined.groupBy(*(F.col(c).alias(f"_{c}") for c in (*SAMPLE, "node_id"))).agg(F.collect_list(F.struct("distance", "target", "tx", "ty")).alias("near"))
-        rows = open_.join(lists, open_["patient"].eqNullSafe(F.col("_patient")) & open_["sample"].eqNullSafe(F.col("_sample")) & (open_["node_id"] == F.col("_node_id"))).select(*open_.columns, "near")
-        got = written(_clipped(rows, whole=False))
-        done = got.where("complete")
-        cells = done if cells is None else cells.union(done)
-        rest = got.where("not complete").select(*(F.col(c).alias(f"_{c}") for c in (*SAMPLE, "node_id")))
-        open_ = written(open_.join(rest, open_["patient"].eqNullSafe(F.col("_patient")) & open_["sample"].eqNullSafe(F.col("_sample")) & (open_["node_id"] == F.col("_node_id")), "left_semi"))
-        if open_.isEmpty():
-            break
-    else:
-        dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-        pairs = open_.join(place, open_["patient"].eqNullSafe(F.col("_patient")) & open_["sample"].eqNullSafe(F.col("_sample")) & (open_["node_id"] != F.col("target")))
-        rows = pairs.groupBy(*open_.columns).agg(F.collect_list(F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), "target", "tx", "ty")).alias("near"))
-        cells = cells.union(_clipped(rows, whole=True))
-    ends = cells.select(*SAMPLE, "node_id", F.explode("edges").alias("other"))
-    return ends.select(*SAMPLE, F.least("node_id", "other").alias("source"), F.greatest("node_id", "other").alias("target")).distinct()
+    largest = largest_sample(nodes)
+    nodes = nodes.select(*SAMPLE, "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if largest > tile:
+        return _in_tiles(nodes, tile, largest)
+
+    def whole(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node_id")
+        pairs = plane.delaunay(t.column("x").to_numpy(), t.column("y").to_numpy())
+        first, second = pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
+        return pa.table([*(t.column(c).take(first) for c in (*SAMPLE, "node_id")), t.column("node_id").take(second)], names=["patient", "sample", "source", "target"])
+
+    return nodes.groupBy(*SAMPLE).applyInArrow(whole, _EDGES)
 
 
 def trim_adaptively(edges: DataFrame, nodes: DataFrame, n_edges: int = 3, ratio: float = 2.0, least: float = 0.0) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichegrid.functions.lineage import written
+from nichegrid.operators import plane
 
 SAMPLE = ("patient", "sample")
+#: Nodes of a sample, or of a tile of one, that one task holds.
+TILE = 1 << 17
 
 
 def same_sample(a: DataFrame, b: DataFrame) -> Column:
@@ -39,51 +46,81 @@ def lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select(*edges.columns, F.sqrt(dx * dx + dy * dy).alias("length"))
 
 
-def nearest(nodes: DataFrame, k: int, small: int = 4096) -> DataFrame:
+_NEAR = "patient string, sample string, source long, target long, distance double, rank long, tx double, ty double"
+
+
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(c).to_numpy() for c in names]
+
+
+def _rows(t: pa.Table, of: np.ndarray, other: pa.Table, to: np.ndarray, distance: np.ndarray, rank: np.ndarray) -> pa.Table:
+    """Rows of _NEAR from places in two tables of nodes."""
+    at, to = pa.array(of), pa.array(to)
+    columns = [t.column(c).take(at) for c in (*SAMPLE, "node_id")], [other.column(c).take(to) for c in ("node_id", "x", "y")]
+    return pa.table([*columns[0], columns[1][0], pa.array(distance), pa.array(rank + 1), *columns[1][1:]], names=[c.split()[0] for c in _NEAR.split(", ")])
+
+
+def largest_sample(nodes: DataFrame) -> int:
+    return nodes.groupBy(*SAMPLE).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def tiled(nodes: DataFrame, tile: int, largest: int) -> DataFrame:
+    """nodes with strip and row: parts of each sample of about `tile` nodes, by quantiles of x and then of y."""
+    parts = max(1, math.ceil((largest / tile) ** 0.5))
+    steps = F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1)))
+    above = lambda c, bounds: F.size(F.filter(bounds, lambda b: b < F.col(c)))
+    cuts = nodes.groupBy(*(F.col(c).alias(f"_{c}") for c in SAMPLE)).agg(F.percentile_approx("x", steps).alias("bounds"))
+    own = F.col("patient").eqNullSafe(F.col("_patient")) & F.col("sample").eqNullSafe(F.col("_sample"))
+    out = nodes.join(cuts, own).select(*nodes.columns, above("x", F.col("bounds")).alias("strip"))
+    cuts = out.groupBy(*(F.col(c).alias(f"_{c}") for c in (*SAMPLE, "strip"))).agg(F.percentile_approx("y", steps).alias("bounds"))
+    return out.join(cuts, own & (F.col("strip") == F.col("_strip"))).select(*out.columns, above("y", F.col("bounds")).alias("row"))
+
+
+def near_rows(nodes: DataFrame, k: int, tile: int, largest: int) -> DataFrame:
+    """Rows of _NEAR for the nodes whose column `asked` is true, or for all if there is none."""
+    asked = "asked" in nodes.columns
+    places = [*SAMPLE, "node_id", "x", "y", *["asked"] * asked]
+    nodes = nodes.select(*(F.col(c).cast("double").alias(c) if c in ("x", "y") else c for c in places))
+
+    def own(t: pa.Table) -> pa.Table:
+        x, y, ids = _columns(t, "x", "y", "node_id")
+        return _rows(t, *_swapped(plane.nearest(x, y, ids, k, t.column("asked").to_numpy() if asked else None), t))
+
+    if largest <= tile:
+        return nodes.groupBy(*SAMPLE).applyInArrow(own, _NEAR)
+    place = [*SAMPLE, "strip", "row"]
+    placed = written(tiled(nodes, tile, largest))
+    first = written(placed.groupBy(*place).applyInArrow(own, _NEAR))
+    reach = first.groupBy(*(F.col(c).alias(f"_{c}") for c in (*SAMPLE, "source"))).agg(F.max("distance").alias("far"), F.count("*").alias("n"))
+    own_sample = F.col("patient").eqNullSafe(F.col("_patient")) & F.col("sample").eqNullSafe(F.col("_sample"))
+    rows = placed.where("asked") if asked else placed
+    rows = rows.join(reach, own_sample & (F.col("node_id") == F.col("_source")), "left").select(*placed.columns, F.when(F.coalesce("n", F.lit(0)) >= k, F.col("far")).otherwise(float("inf")).alias("far"))
+    boxes = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in place)).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    dx, dy = (F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1")) for c in "xy")
+    further = ((F.col("strip") != F.col("_strip")) | (F.col("row") != F.col("_row"))) & (dx * dx + dy * dy <= F.col("far") * F.col("far") * (1 + 1e-12))
+    queries = rows.join(boxes, own_sample & further).select(*SAMPLE, F.col("_strip").alias("strip"), F.col("_row").alias("row"), "node_id", "x", "y")
+
+    def across(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _rows(a, *_swapped(plane.nearest(*_columns(a, "x", "y", "node_id"), k, others=tuple(_columns(b, "x", "y", "node_id"))), b))
+
+    searched = placed.select(*(F.col(c).alias(c) for c in (*place, "node_id", "x", "y")))
+    second = queries.groupBy(*place).cogroup(searched.groupBy(*place)).applyInArrow(across, _NEAR)
+    order = W.partitionBy(*SAMPLE, "source").orderBy("distance", "target")
+    return first.unionByName(second).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _swapped(found: tuple[np.ndarray, ...], other: pa.Table) -> tuple:
+    of, to, distance, rank = found
+    return of, other, to, distance, rank
+
+
+def nearest(nodes: DataFrame, k: int, tile: int = TILE) -> DataFrame:
     """(patient, sample, source, target, distance, rank): each node's k nearest others in its sample, ties to the lower id.
 
-    Samples of at most `small` nodes are compared pair by pair. Larger ones go through grids: a node meets those of the
-    3 x 3 cells around it, and is settled if its k-th neighbour is nearer than the border of these cells; the others
-    go on with cells four times as wide.
+    A sample of at most `tile` nodes is one task's; only k rows a node leave it. Larger ones are cut into tiles of about
+    that size: every node searches its own tile and then those that its k-th neighbour's distance reaches into.
     """
-    sizes = nodes.groupBy(*SAMPLE).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    within = W.partitionBy(*SAMPLE, "source").orderBy("distance", "target")
-    ranked = lambda pairs: pairs.select(*SAMPLE, "source", "target", "distance", F.row_number().over(within).alias("rank")).where(F.col("rank") <= k)
-    a = nodes.select(*SAMPLE, F.col("node_id").alias("source"), "x", "y")
-    b = nodes.select(*(F.col(c).alias(f"_{c}") for c in SAMPLE), F.col("node_id").alias("target"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    other = F.col("patient").eqNullSafe(F.col("_patient")) & F.col("sample").eqNullSafe(F.col("_sample")) & (F.col("source") != F.col("target"))
-    if largest <= small:
-        return ranked(a.join(b, other).select(*SAMPLE, "source", "target", F.sqrt(dx * dx + dy * dy).alias("distance")))
-    wide = F.greatest(F.sqrt((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / F.col("n") * (k + 1)), F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / F.col("n"), F.lit(1e-12))
-    grid = sizes.select(*(F.col(c).alias(f"g_{c}") for c in SAMPLE), "x0", "y0", wide.alias("w"), F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("span"))
-    on_grid = lambda df, p, s: df.join(grid, df[p].eqNullSafe(grid["g_patient"]) & df[s].eqNullSafe(grid["g_sample"])).drop("g_patient", "g_sample")
-    a, b = on_grid(a, "patient", "sample"), on_grid(b, "_patient", "_sample")
-    done, scale = None, 1
-    while True:
-        cell = lambda c, c0: F.floor((F.col(c) - F.col(c0)) / (F.col("w") * scale))  # noqa: B023, E731
-        near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        left = a.select("*", cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy"))
-        right = b.select("*", near.alias("c")).select("_patient", "_sample", "target", "_x", "_y", (cell("_x", "x0") + F.col("c.i")).alias("_cx"), (cell("_y", "y0") + F.col("c.j")).alias("_cy"))
-        pairs = left.join(right, other & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")))
-        got = ranked(pairs.select(*SAMPLE, "source", "target", F.sqrt(dx * dx + dy * dy).alias("distance")))
-        side = F.col("w") * scale
-        inner = F.least(F.col("x") - F.col("x0") - (F.col("cx") - 1) * side, F.col("x0") + (F.col("cx") + 2) * side - F.col("x"), F.col("y") - F.col("y0") - (F.col("cy") - 1) * side, F.col("y0") + (F.col("cy") + 2) * side - F.col("y"))
-        reach = got.groupBy(*SAMPLE, "source").agg(F.max("distance").alias("far"), F.count("*").alias("found"))
-        everything = F.col("w") * scale >= F.col("span")
-        r = reach.select(*(F.col(c).alias(f"r_{c}") for c in (*SAMPLE, "source")), "far", "found")
-        state = left.join(r, left["patient"].eqNullSafe(r["r_patient"]) & left["sample"].eqNullSafe(r["r_sample"]) & (left["source"] == r["r_source"]), "left")
-        settled = everything | ((F.coalesce("found", F.lit(0)) >= k) & (F.col("far") < inner))
-        keep = state.where(settled).select(*(F.col(c).alias(f"s_{c}") for c in (*SAMPLE, "source")))
-        part = got.join(keep, got["patient"].eqNullSafe(keep["s_patient"]) & got["sample"].eqNullSafe(keep["s_sample"]) & (got["source"] == keep["s_source"]), "left_semi")
-        part = written(part)
-        done = part if done is None else done.union(part)
-        a = state.where(~settled).select(*a.columns)
-        a = written(a)
-        if a.isEmpty():
-            return done
-        scale *= 4
+    return near_rows(nodes, k, tile, largest_sample(nodes)).select(*SAMPLE, "source", "target", "distance", F.col("rank").cast("int").alias("rank"))
 
 
 def knn_edges(nodes: DataFrame, k: int) -> DataFrame:

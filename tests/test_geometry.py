@@ -1,9 +1,11 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nichegrid.operators import delaunay, graph
+from nichegrid.operators import delaunay, graph, plane
 
 NODES = "patient string, sample string, node_id long, x double, y double, phenotype string"
 
@@ -35,16 +37,37 @@ def empty_circles(points):
     return out
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(-1000, 1000), st.integers(-1000, 1000)), min_size=3, max_size=14, unique=True))
-def test_cells_are_mutual_and_planar(points):
-    edges = set()
-    for i, p in enumerate(points):
-        others = [j for j in range(len(points)) if j != i]
-        others.sort(key=lambda j: (points[j][0] - p[0]) ** 2 + (points[j][1] - p[1]) ** 2)
-        found, _ = delaunay.cell(*map(float, p), np.array([points[j] for j in others], float))
-        edges |= {(min(i, others[j]), max(i, others[j])) for j in found}
-    assert len(edges) <= 3 * len(points) - 6 or len(points) == 3 and len(edges) <= 3
+def positive_borders(points):
+    """Pairs whose bisector has a stretch of positive length that is nearest to them, in exact arithmetic."""
+    out = set()
+    for i, a in enumerate(points):
+        for j, b in enumerate(points[:i]):
+            (ax, ay), (bx, by) = (map(Fraction, p) for p in (a, b))
+            mx, my, dx, dy = (ax + bx) / 2, (ay + by) / 2, ay - by, bx - ax
+            low, high, free = None, None, True
+            for k, c in enumerate(points):
+                if k in (i, j):
+                    continue
+                cx, cy = map(Fraction, c)
+                slope = 2 * (dx * (cx - ax) + dy * (cy - ay))
+                room = cx * cx + cy * cy - ax * ax - ay * ay - 2 * (mx * (cx - ax) + my * (cy - ay))
+                if slope == 0:
+                    free = free and room >= 0
+                elif slope > 0:
+                    high = room / slope if high is None else min(high, room / slope)
+                else:
+                    low = room / slope if low is None else max(low, room / slope)
+            if free and (low is None or high is None or low < high):
+                out.add((j, i))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), min_size=1, max_size=14, unique=True))
+def test_lattice_points_exactly(points):
+    """Many of these lie on common circles and lines."""
+    p = np.array(points, float)
+    assert {tuple(e) for e in plane.delaunay(p[:, 0], p[:, 1]).tolist()} == positive_borders(points)
 
 
 def test_delaunay_against_empty_circles(spark):
@@ -59,16 +82,31 @@ def test_degenerate_samples(spark):
     assert d([(0, 0), (3, 4)]) == {(0, 1)}
     assert d([(0, 0), (2, 2), (1, 1), (5, 5)]) == {(0, 2), (1, 2), (1, 3)}
     assert d([(0, 0), (0, 1), (1, 0), (1, 1)]) == {(0, 1), (0, 2), (1, 3), (2, 3)}  # no diagonals
+    assert d([(0, 0), (1, 1e-5), (2, 0)]) == {(0, 1), (0, 2), (1, 2)}  # a nearly straight border
     with pytest.raises(ValueError):
         d([(0, 0), (float("nan"), 1)])
 
 
-def test_grid_search_agrees_with_pairs(spark):
+def far_apart():
     rng = np.random.default_rng(2)
-    points = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(200, 30, (100, 2)), [[1e4, -1e4], [5, 5], [5, 5], [5, 5]]])
+    return np.concatenate([rng.normal(0, 1, (500, 2)), rng.normal(200, 30, (600, 2)), [[1e7, -1e7], [5, 5], [5, 5], [5, 5]]])
+
+
+def test_tiles_agree_with_pairs(spark):
+    """Points with outliers and equal ones: by tiles, by leaves of one task, and pair by pair."""
+    points = far_apart()
     nodes = nodes_of(spark, points)
     pick = lambda df: {(r["source"], r["target"], r["rank"]) for r in df.collect()}
-    assert pick(graph.nearest(nodes, 4, small=10)) == pick(graph.nearest(nodes, 4))
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), r + 1) for i, row in enumerate(d) for r, j in enumerate(np.argsort(row, kind="stable")[:4])}
+    assert pick(graph.nearest(nodes, 4)) == want
+    assert pick(graph.nearest(nodes, 4, tile=150)) == want
+
+
+def test_delaunay_by_tiles(spark):
+    nodes = nodes_of(spark, far_apart()[400:700])
+    assert edges_of(delaunay.delaunay(nodes, tile=60)) == edges_of(delaunay.delaunay(nodes))
 
 
 def test_adaptive_trim_and_relink(spark):
