@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -141,16 +143,120 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, sweeps: int = 1000, levels: int = 64) -> DataFrame:
+#: Nodes of a graph whose communities one task finds; larger ones take some Spark jobs a sweep.
+ONE_TASK = 1 << 16
+
+
+def moved(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int, iterations: int = 2) -> np.ndarray:
+    """The community of each of n nodes of a weighted graph, each edge (a, b) given once.
+
+    Nodes, in an order shuffled by the seed, move to the neighbouring community with the largest gain in modularity, and
+    neighbours of those that moved are looked at again, until the queue is empty. Communities are then refined: their
+    nodes start alone and join a part of their community that they are linked with, so that parts are connected; parts
+    become nodes, which begin in their communities, until nothing shrinks.
+    """
+    total = float(w.sum())
+    label = np.arange(n)
+    rng = np.random.default_rng(seed)
+    if not total:
+        return label
+
+    def level(size: int, x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[list[list[tuple[int, float]]], np.ndarray]:
+        near: list[list[tuple[int, float]]] = [[] for _ in range(size)]
+        degree = np.zeros(size)
+        for i, j, u in zip(x.tolist(), y.tolist(), v.tolist(), strict=True):
+            degree[i] += u
+            degree[j] += u
+            if i != j:
+                near[i].append((j, u))
+                near[j].append((i, u))
+        return near, degree
+
+    def move(near: list, degree: list[float], own: list[int], within: list[int] | None) -> bool:
+        """within: a node may only join a part of its own community, and only while it is alone."""
+        weight: dict[int, float] = {}
+        count: dict[int, int] = {}
+        for i, c in enumerate(own):
+            weight[c] = weight.get(c, 0.0) + degree[i]
+            count[c] = count.get(c, 0) + 1
+        queue = deque(rng.permutation(len(own)).tolist())
+        waiting, changed = [True] * len(own), False
+        while queue:
+            i = queue.popleft()
+            waiting[i] = False
+            c, k = own[i], degree[i]
+            if within is not None and count[c] > 1:
+                continue
+            links: dict[int, float] = {}
+            for j, u in near[i]:
+                if within is None or within[j] == within[i]:
+                    links[own[j]] = links.get(own[j], 0.0) + u
+            price = resolution * k / (2 * total)
+            best, gain = c, links.get(c, 0.0) - price * (weight[c] - k)
+            for to, u in links.items():
+                new = u - price * (weight[to] - (k if to == c else 0.0))
+                if new > gain + 1e-12:
+                    best, gain = to, new
+            if best != c:
+                changed = True
+                weight[c] -= k
+                weight[best] += k
+                count[c] -= 1
+                count[best] += 1
+                own[i] = best
+                if within is None:
+                    for j, _ in near[i]:
+                        if own[j] != best and not waiting[j]:
+                            waiting[j] = True
+                            queue.append(j)
+        return changed
+
+    for _ in range(iterations):
+        x, y, v, of = a, b, w, np.arange(n)
+        own = label.tolist()
+        while True:
+            size = len(own)
+            near, degree = level(size, x, y, v)
+            move(near, degree.tolist(), own, None)
+            part = list(range(size))
+            move(near, degree.tolist(), part, own)
+            names, new = np.unique(part, return_inverse=True)
+            label = np.array(own)[of]
+            if len(names) == size:
+                break
+            of = new[of]
+            pairs, back = np.unique(np.stack([np.minimum(new[x], new[y]), np.maximum(new[x], new[y])], 1), axis=0, return_inverse=True)
+            v = np.bincount(back.ravel(), weights=v, minlength=len(pairs))
+            x, y = pairs[:, 0], pairs[:, 1]
+            community = np.zeros(len(names), np.int64)
+            community[new] = own
+            own = np.unique(community, return_inverse=True)[1].tolist()
+        label = np.unique(label, return_inverse=True)[1]
+    return label
+
+
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, sweeps: int = 1000, levels: int = 64, one_task: int = ONE_TASK) -> DataFrame:
     """(node, niche): communities of a weighted graph (a, b, weight) that raise modularity with a resolution.
 
-    Level by level, nodes move to the neighbouring community with the largest gain: in a sweep only the half of the
+    A graph of at most `one_task` nodes is one task's, node by node (`moved`). A larger one goes level by level: nodes
+    move to the neighbouring community with the largest gain; in a sweep only the half of the
     nodes that a hash of (seed, sweep, node) picks moves, so that neighbours don't swap places. Then communities that
     aren't connected are split, each becomes a node of the next level, and links within it a loop. Sweeps go on until no
     node of either half has a move that helps, levels until the number of nodes stops shrinking; sweeps and levels are
     guards, and reaching one is an error. Every sweep is a few joins and aggregates over the links; only counts come to
     the driver.
     """
+    if nodes.count() <= one_task:
+        rows = edges.select("a", "b", F.col("weight").cast("double").alias("w")).union(nodes.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w")))
+
+        def solve(t: pa.Table) -> pa.Table:
+            t = t.select(["a", "b", "w"])
+            ids = np.unique(t.filter(pc.is_null(t["b"]))["a"].to_numpy())
+            links = t.filter(pc.is_valid(t["b"])).sort_by([("a", "ascending"), ("b", "ascending")])
+            a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
+            return pa.table([ids, moved(len(ids), a, b, links["w"].to_numpy(), resolution, seed)], names=["node", "niche"])
+
+        return relabelled(written(rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(solve, "node long, niche long")))
     links = written(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
     total = links.agg(F.sum("w")).first()[0]
     place = nodes.select("node", F.col("node").alias("c"))

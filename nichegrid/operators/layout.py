@@ -1,9 +1,13 @@
-"""A low-dimensional layout of a fuzzy neighbour graph, epoch by epoch as Spark jobs."""
+"""A low-dimensional layout of a fuzzy neighbour graph: rounds of forces, in one task for graphs that fit one, else as Spark
+jobs."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichegrid.functions.lineage import written
@@ -45,21 +49,76 @@ def _clip(c: Column) -> Column:
     return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
 
 
-def optimize(graph: DataFrame, place: DataFrame, epochs: int, a: float, b: float, dimensions: int = 2, negatives: int = 5, rate: float = 1.0, seed: int = 42) -> DataFrame:
+#: Nodes of a graph that one task lays out; larger ones take some Spark jobs a round.
+ONE_TASK = 1 << 16
+
+
+def draw(seed: int, epoch: int, i: np.ndarray, j: np.ndarray, count: int, n: int) -> np.ndarray:
+    """A number below n for each edge, drawn by hashing (seed, epoch, edge, count)."""
+    h = (i.astype(np.uint64) << np.uint64(32)) ^ j.astype(np.uint64) ^ np.uint64(((seed << 40) ^ (epoch << 8) ^ count) & ((1 << 64) - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of a public 64-bit mixer
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return (h % np.uint64(n)).astype(np.int64)
+
+
+def rounds(p: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray, epochs: int, a: float, b: float, negatives: int, rate: float, seed: int) -> np.ndarray:
+    """Places after all rounds over edges in both directions, each sorted by i."""
+    n, d = p.shape
+    share = weight / max(float(weight.max(initial=0.0)), 1e-300)
+
+    def add(g: np.ndarray, at: np.ndarray, force: np.ndarray) -> None:
+        force = np.clip(force, -4, 4)
+        for k in range(d):
+            g[:, k] += np.bincount(at, weights=force[:, k], minlength=n)
+
+    for epoch in range(epochs):
+        due = np.floor(share * (epoch + 1)) > np.floor(share * epoch)
+        own, other = i[due], j[due]
+        g = np.zeros_like(p)
+        apart = p[own] - p[other]
+        d2 = (apart * apart).sum(1)
+        safe = np.where(d2 > 0, d2, 1.0)
+        add(g, own, np.where(d2 > 0, -2 * a * b * safe ** (b - 1) / (1 + a * safe**b), 0.0)[:, None] * apart)
+        for count in range(negatives):
+            other = draw(seed, epoch, own, j[due], count, n)
+            some = other != own
+            apart = p[own[some]] - p[other[some]]
+            d2 = (apart * apart).sum(1)
+            add(g, own[some], (2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, None] * apart)
+        p = p + rate * (1 - epoch / epochs) * g
+    return p
+
+
+def optimize(graph: DataFrame, place: DataFrame, epochs: int, a: float, b: float, dimensions: int = 2, negatives: int = 5, rate: float = 1.0, seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
     """(node, p) after `epochs` rounds over (a, b, weight) edges from places (node, p).
 
     In a round all forces are taken at the round's start. An edge pulls its ends in a share of rounds that is its weight
     over the largest; each end is then pushed off `negatives` other nodes, which a hash of (seed, round, edge, count)
-    picks. A round is three joins and one aggregation; nothing but counts comes to the driver.
+    picks. A graph of at most `one_task` nodes (k edges each) is one task's. For a larger one, a round is three joins
+    and one aggregation, with draws of another hash; nothing but counts comes to the driver.
     """
     n = place.count()
-    if n < 2:
+    if n < 2 or not epochs:
         return place
+    if n <= one_task:
+        both = graph.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("weight").alias("w")).union(graph.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("weight").alias("w")))
+        rows = both.select("i", "j", "w", F.lit(None).cast("array<double>").alias("p")).union(place.select(F.col("node").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("w"), "p"))
+
+        def laid(t: pa.Table) -> pa.Table:
+            nodes = t.filter(pc.is_valid(t["p"])).sort_by("i")
+            edges = t.filter(pc.is_null(t["p"])).sort_by([("i", "ascending"), ("j", "ascending")])
+            ids = nodes["i"].to_numpy()
+            p = np.array(nodes["p"].combine_chunks().flatten()).reshape(len(ids), -1)
+            i, j = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("i", "j"))
+            out = rounds(p, i, j, edges["w"].to_numpy(), epochs, a, b, negatives, rate, seed)
+            return pa.table([nodes["i"], pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64()))], names=["node", "p"])
+
+        return written(rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: laid(t.select(["i", "j", "w", "p"])), "node long, p array<double>"))
     top = graph.agg(F.max("weight")).first()[0] or 1.0
-    order = written(place.select("node", "p").repartition("node"))
-    ranks = written(order.select("node", (F.row_number().over(_by_node()) - 1).alias("rank")))
+    now = written(place.select("node", "p"))
+    ranks = written(ranked(now.select("node")))
     ends = written(graph.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").union(graph.select(F.col("b").alias("i"), F.col("a").alias("j"), "weight")))
-    now = order
     for epoch in range(epochs):
         alpha = rate * (1 - epoch / epochs)
         share = F.col("weight") / F.lit(top)
@@ -67,7 +126,7 @@ def optimize(graph: DataFrame, place: DataFrame, epochs: int, a: float, b: float
         live = ends.where(due)
         at = lambda name: now.select(F.col("node").alias(name), F.col("p").alias(f"p{name}"))  # noqa: B023, E731
         pulled = live.select("i", "j").join(at("j"), "j").select("i", "pj", F.lit(True).alias("pull"))
-        draws = live.select("i", "j", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("draw"))
+        draws = live.where(F.lit(negatives > 0)).select("i", "j", F.explode(F.sequence(F.lit(1), F.lit(max(1, negatives)))).alias("draw"))
         picks = draws.select("i", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "i", "j", "draw"), F.lit(n)).alias("rank"))
         places = now.join(ranks, "node").select("rank", F.col("node").alias("other"), F.col("p").alias("pj"))
         pushed = picks.join(places, "rank").where("i <> other").select("i", "pj", F.lit(False).alias("pull"))
@@ -83,10 +142,13 @@ def optimize(graph: DataFrame, place: DataFrame, epochs: int, a: float, b: float
     return now
 
 
-def _by_node():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("node")
+def ranked(nodes: DataFrame) -> DataFrame:
+    """(node, rank) from 0 in an order by hash: ranks within parts after the parts' running sizes."""
+    part = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(4096)).alias("part"))
+    sizes = part.groupBy("part").agg(F.count("*").alias("n"))  # 4,096 rows at most
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("node")) - 1
+    return part.select("node", "part", place.alias("place")).join(before, "part").select("node", (F.col("before") + F.col("place")).alias("rank"))
 
 
 def umap(vectors: DataFrame, neighbours: int = 15, dimensions: int = 2, metric: str = "euclidean", min_dist: float = 0.1, epochs: int | None = None, seed: int = 42) -> DataFrame:

@@ -27,7 +27,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = customers(spark, sf_dir)
-    return nodes, graph.knn_edges(nodes, K)
+    return nodes, written(graph.knn_edges(nodes, K))  # queries use the edges in both directions
 
 
 def _on_graph(f: Callable[[DataFrame, DataFrame], DataFrame], digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:

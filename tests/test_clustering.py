@@ -36,27 +36,29 @@ def test_spectral_finds_blobs(rows, spark):
         clustering.spectral(rows, 3, most=10)
 
 
-def test_communities_of_cliques(spark):
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_communities_of_cliques(spark, one_task):
     edges = [(a + 5 * c, b + 5 * c, 1.0) for c in range(3) for a in range(5) for b in range(a)] + [(0, 5, 1.0), (5, 10, 1.0)]
     graph = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in edges], "a long, b long, weight double")
     nodes = spark.range(16).withColumnRenamed("id", "node")
-    got = {r["node"]: r["niche"] for r in clustering.communities(graph, nodes).collect()}
+    got = {r["node"]: r["niche"] for r in clustering.communities(graph, nodes, one_task=one_task).collect()}
     assert len({got[i] for i in range(15)}) == 3 and all(len({got[5 * c + i] for i in range(5)}) == 1 for c in range(3))
     assert got[15] not in {got[i] for i in range(15)}
     m = clustering.modularity(graph, spark.createDataFrame(list(got.items()), "node long, niche long")).first()["modularity"]
     assert m == pytest.approx(30 / 32 - (22**2 + 21**2 + 21**2) / (4 * 32**2), abs=0.01)
 
 
-def test_communities_move_and_merge_to_the_end(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_communities_move_and_merge_to_the_end(spark, one_task):
     n = 256
     ring = [(i, (i + 1) % n) for i in range(n)]
     graph = spark.createDataFrame([(min(e), max(e), 1.0) for e in ring], "a long, b long, weight double")
-    got = {r["node"]: r["niche"] for r in clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05).collect()}
+    got = {r["node"]: r["niche"] for r in clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, one_task=one_task).collect()}
     size, links = collections.Counter(got.values()), collections.Counter(frozenset((got[a], got[b])) for a, b in ring)
     # no two communities are left whose union has a higher modularity
     assert all(c <= 0.05 * 4 * size[min(p)] * size[max(p)] / (2 * n) + 1e-9 for p, c in links.items() if len(p) == 2)
     with pytest.raises(RuntimeError):
-        clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, sweeps=1)
+        clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, sweeps=1, one_task=0)
 
 
 def test_principal_components(rows):
@@ -81,6 +83,15 @@ def test_fuzzy_graph_and_layout(rows):
     assert all(np.allclose(again[r["node"]], r["p"], atol=1e-6) for r in places.collect())
 
 
+def test_layout_in_one_task_and_in_jobs(rows):
+    """Without pushes both take the same rounds; draws come from different hashes."""
+    near = vectors.fuzzy_graph(vectors.nearest(rows.select("id", "vector"), 6))
+    place = layout.start(rows.select("id", "vector"))
+    one, jobs = ({r["node"]: r["p"] for r in layout.optimize(near, place, 3, 1.6, 0.9, negatives=n, one_task=t).collect()} for n, t in ((0, 1000), (0, 0)))
+    assert all(np.allclose(one[i], jobs[i]) for i in one) and len(one) == 75
+    assert layout.optimize(near, place, 2, 1.6, 0.9, one_task=0).count() == 75
+
+
 def test_layout_query_takes_all_rounds(spark, tmp_path, monkeypatch):
     taken = []
     monkeypatch.setattr(layout, "optimize", lambda graph, place, epochs, *rest, **more: taken.append(epochs) or place)
