@@ -2,8 +2,8 @@
 
 A text is the sequence of its characters after a leading space, with U+2581 for spaces. The encoding is the
 segmentation into pieces of the vocabulary with the highest sum of scores. A character without piece costs as much as
-the worst piece and 10 more, and is written as its UTF-8 bytes. For a vocabulary of the BPE kind the scores are merge
-ranks; the segmentation maximises their sum all the same, it does not replay the merges.
+the worst piece and 10 more, and is written as its UTF-8 bytes. For a vocabulary of the BPE kind, whose scores are merge
+ranks, a piece's score is its log-probability under a Zipf-Mandelbrot law of its rank; merges aren't replayed.
 
 Giant documents are split into chunks. A boundary's state is by how many characters the piece on it reaches into the
 next chunk. Each chunk gives a matrix of best scores from state to state; these are combined associatively in the
@@ -29,6 +29,8 @@ SPACE = 0x2581
 #: Stands for a U+2581 of the text itself, which is not a space; no piece has it.
 LITERAL = 0x110000
 NEVER = -1e300
+#: Ranks are as probable as 1 / (rank + FLAT): flat among the first, Zipf's law among the later ones.
+FLAT = 1000
 _SPLIT = re.compile(" *[^ ]+| +")
 
 
@@ -38,6 +40,15 @@ def _hashes(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def log_probabilities(scores: list[float | None]) -> list[float | None]:
+    """The scores, or, if they are ranks (different whole numbers down from 0 or less), log-probabilities of the ranks."""
+    used = [s for s in scores if s is not None]
+    if len(used) < 2 or len(set(used)) < len(used) or any(s > 0 or s != int(s) for s in used):
+        return scores
+    total = np.log(np.sum(1 / (FLAT - np.array(used))))
+    return [None if s is None else float(-np.log(FLAT - s) - total) for s in scores]
+
+
 @dataclass
 class Vocabulary:
     """Pieces with their scores (None: not for encoding), by id."""
@@ -57,7 +68,7 @@ class Vocabulary:
         n = sp.get_piece_size()
         texts = [sp.id_to_piece(i) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
-        scores = [None if special[i] or sp.get_score(i) <= -1e8 else sp.get_score(i) for i in range(n)]
+        scores = log_probabilities([None if special[i] or sp.get_score(i) <= -1e8 else sp.get_score(i) for i in range(n)])
         return Vocabulary(texts, scores, {int(t[3:5], 16): i for i, t in enumerate(texts) if sp.is_byte(i)}, sp.unk_id())
 
     @cached_property
@@ -83,6 +94,11 @@ class Vocabulary:
         """For the upper 20 bits of a hash, where its keys begin."""
         return np.searchsorted(self.tables[0], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int64)
 
+    @cached_property
+    def deepest(self) -> int:
+        """The most keys in one slot."""
+        return int(np.diff(np.append(self.slots, len(self.tables[0]))).max())
+
     @cached_property
     def word_cuts(self) -> bool:
         """Whether no piece has a space after another character: then pieces never cross into the next word."""
@@ -121,7 +137,7 @@ class Vocabulary:
             h = (prefix[at + k] - prefix[at]) * back[at]
             slot = self.slots[(h >> np.uint64(44)).astype(np.int64)]
             hit = np.full(len(at), -1)
-            for _ in range(8):  # more than 8 keys under one slot of a million don't occur in vocabularies of this size
+            for _ in range(self.deepest):
                 ok = (slot < len(keys)) & (hit < 0)
                 some = np.flatnonzero(ok)
                 same = keys[slot[some]] == h[some]

@@ -69,3 +69,22 @@ def test_edge_cases(odd, empty, spark):
     assert sp.encode(empty, SENTENCEPIECE_MODEL).collect() == []
     twice = spark.createDataFrame([(1, "ab " * 200), (1, "ab " * 200), (None, "ab " * 200)], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in sp.encode(twice, SENTENCEPIECE_MODEL, giant=100, chunk=50).collect()) == ["1", "1", "None"]
+
+
+def test_ids_against_the_models_own_encoder(vocabulary):
+    """No more ids than replayed merges give, and mostly the same words."""
+    import sentencepiece
+    from pyarrow import parquet
+
+    own = sentencepiece.SentencePieceProcessor(model_file=SENTENCEPIECE_MODEL)
+    texts = [t for t in parquet.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
+    words = sorted({w for t in texts for w in t.split()})
+    got, want = sp.Encoder(vocabulary).texts(words), [own.encode(w, num_threads=1) for w in words]
+    assert sum(map(len, got)) <= sum(map(len, want))
+    assert sum(a.tolist() == b for a, b in zip(got, want)) > 0.6 * len(words)
+
+
+def test_log_probabilities():
+    assert sp.log_probabilities([None, -0.5, -2.0]) == [None, -0.5, -2.0]
+    got = sp.log_probabilities([None, 0.0, -1.0, -2.0])
+    assert got[0] is None and got[1] > got[2] > got[3] and np.exp(got[1:]).sum() == pytest.approx(1)
