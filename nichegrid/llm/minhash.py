@@ -73,7 +73,7 @@ def shared_postings(reps: DataFrame, coordinates: int) -> DataFrame:
     return tokens.join(cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")).hint("merge"), "token")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b): the smallest node that links lead to.
 
     Alternating large-star and small-star steps: every node points its neighbours to the smallest one, until
@@ -81,9 +81,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
