@@ -43,6 +43,12 @@ def finite_or_error(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"{found[0]['_column']} isn't finite in {found[0].asDict()}")
 
 
+def column_means(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, mean) of numeric columns, over the values that aren't NaN or null."""
+    means = df.agg(*(F.avg(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(columns)))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("mean")) for i, c in enumerate(columns)))).alias("x")).select("x.*")
+
+
 def relabelled(labels: DataFrame, column: str = "niche") -> DataFrame:
     """labels with the column replaced by ranks among its sorted distinct values, from 0."""
     from pyspark.sql import Window as W

@@ -128,7 +128,7 @@ class NicheConfig:
     metric: str = "euclidean"
     n_neighbors: int = 15
     dimensions: int = 2
-    epochs: int = 50
+    epochs: int | None = None
     min_dist: float = 0.0
     clusterer: str = "leiden"
     k_cluster: int = 8
@@ -156,7 +156,7 @@ class NicheConfig:
         whole = lambda key, default, least: _number(d.get(key, default), f"niches: {key}", least, True)
         return NicheConfig(
             columns, whole("order", 1, 0), STATISTICS[stats], truth(d.get("reduce", True)),
-            metric if metric in METRICS else "euclidean", max(2, whole("n_neighbors", 15, 0)), whole("dimensions", 2, 1), whole("epochs", 50, 0), _number(d.get("min_dist", 0.0), "niches: min_dist", 0),
+            metric if metric in METRICS else "euclidean", max(2, whole("n_neighbors", 15, 0)), whole("dimensions", 2, 1), None if d.get("epochs") is None else whole("epochs", None, 0), _number(d.get("min_dist", 0.0), "niches: min_dist", 0),
             clusterer if clusterer in CLUSTERERS else "leiden", whole("k_cluster", 8, 1), whole("n_clusters", 15, 1), _number(d.get("resolution", 0.005), "niches: resolution", 0),
             expand(how) if how == "all" or how in NORMALIZATIONS else ("total",), whole("seed", 42, 0), truth(d.get("per_sample", False)),
             {k: v for k, v in d.items() if k not in NicheConfig.__dataclass_fields__},

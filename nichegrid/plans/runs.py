@@ -10,18 +10,20 @@ import fcntl
 import itertools
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichegrid.operators import agreement
 from nichegrid.operators.graph import SAMPLE
+from nichegrid.plans import steps
 from nichegrid.plans.config import NicheConfig
-from nichegrid.plans.steps import niches
 
 
 class Register:
@@ -83,7 +85,7 @@ def grid(base: NicheConfig, axes: dict[str, list[Any]]) -> list[NicheConfig]:
     return [replace(base, **dict(zip(names, values, strict=True))) for values in itertools.product(*(axes[n] for n in names))]
 
 
-def steps(start: float, stop: float, count: int, scale: str = "linear", whole: bool = False) -> list[float]:
+def axis(start: float, stop: float, count: int, scale: str = "linear", whole: bool = False) -> list[float]:
     """An axis of `count` values from start to stop, evenly or by equal factors; whole values come once each."""
     if count < 2:
         out = [start]
@@ -107,17 +109,38 @@ def recomputed(configs: list[NicheConfig]) -> dict[str, int]:
     return {name: len(x) for name, x in seen.items()}
 
 
+def _stored(spark: SparkSession, path: str, rows: int | None, make: Callable[[], DataFrame]) -> DataFrame:
+    """What is stored at path, if it is whole and has as many rows as expected (None: any number); else it is made anew."""
+    try:
+        found = spark.read.parquet(path)
+        if rows is None or found.count() == rows:
+            return found
+    except AnalysisException:  # nothing there
+        pass
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def run(nodes: DataFrame, edges: DataFrame, config: NicheConfig, folder: str, register: Register) -> tuple[str, DataFrame]:
-    """(number, labels) of a run, computed or read again if it was made before."""
+    """(number, labels) of a run. Features and layout are stored by the stage's number, so that runs which share them
+    compute them once; labels are stored by the run's. A stored stage of another number of rows is computed again."""
     spark = nodes.sparkSession
     number = register.number(config, fingerprint(nodes, edges))
-    path = f"{folder}/labels/{number}"
-    if number not in register.runs():
-        found = niches(nodes, edges, config)
-        found.labels.write.mode("overwrite").parquet(path)
-        sizes = {str(r["niche"]): r["n"] for r in found.labels.groupBy("niche").agg(F.count("*").alias("n")).collect()}
+    first, second = number.split("-")[0], "-".join(number.split("-")[:2])
+    n = nodes.count()
+
+    def features() -> DataFrame:
+        return _stored(spark, f"{folder}/features/{first}", n, lambda: steps.feature_stage(nodes, edges, config))
+
+    def reduced() -> DataFrame:
+        return _stored(spark, f"{folder}/reduction/{second}", n, lambda: steps.reduction_stage(features(), config))
+
+    known = number in register.runs()
+    labels = _stored(spark, f"{folder}/labels/{number}", n, lambda: steps.cluster_stage(features(), reduced(), config))
+    if not known:
+        sizes = {str(r["niche"]): r["n"] for r in labels.groupBy("niche").agg(F.count("*").alias("n")).orderBy("niche").collect()}
         register.mark(number, {"niches": len(sizes), "sizes": sizes, "stages": config.stages()})
-    return number, spark.read.parquet(path)
+    return number, labels
 
 
 def sweep(nodes: DataFrame, edges: DataFrame, configs: list[NicheConfig], folder: str, register: Register) -> list[dict[str, Any]]:
@@ -132,21 +155,70 @@ def sweep(nodes: DataFrame, edges: DataFrame, configs: list[NicheConfig], folder
     return out
 
 
+def sensitivity(configs: list[NicheConfig], records: list[dict[str, Any]]) -> list[list[str]]:
+    """The rows of a sweep's table: a header, then a run each with every setting that varies, its niches and its error."""
+    flat = [{k: v for part in c.stages().values() for k, v in part.items()} for c in configs]
+    names = [k for k in dict.fromkeys(k for f in flat for k in f) if len({json.dumps(f.get(k)) for f in flat}) > 1]
+    show = lambda v: "" if v is None else ";".join(map(str, v)) if isinstance(v, list) else str(v)
+    return [["run", *names, "niches", "error"], *([show(r["run"]), *(show(f.get(k)) for k in names), show(r["niches"]), show(r["error"])] for f, r in zip(flat, records, strict=True))]
+
+
+def plan_text(axes: dict[str, list[Any]]) -> str:
+    """A grid's axes as lines "name: value, value", which parsed_plan reads back."""
+    return "".join(f"{name}: {', '.join(json.dumps(v) for v in values)}\n" for name, values in axes.items())
+
+
+def parsed_plan(text: str) -> dict[str, list[Any]]:
+    """Axes from lines "name: value, value"; a value "from..to x count [log]" is an axis of its own."""
+    out: dict[str, list[Any]] = {}
+    for line in filter(None, (x.split("#")[0].strip() for x in text.splitlines())):
+        name, colon, values = line.partition(":")
+        if not colon or name.strip() not in NicheConfig.__dataclass_fields__:
+            raise ValueError(f"not an axis: {line!r}")
+        span = re.fullmatch(r"\s*(\S+?)\.\.(\S+)\s*x\s*(\d+)(\s+log)?\s*", values)
+        if span:
+            whole = not re.search(r"[.e]", span[1] + span[2])
+            out[name.strip()] = axis(float(span[1]), float(span[2]), int(span[3]), "log" if span[4] else "linear", whole)
+        else:
+            try:
+                out[name.strip()] = json.loads(f"[{values}]")
+            except ValueError:
+                raise ValueError(f"values must be numbers, true, false or quoted: {line!r}") from None
+    return out
+
+
 def compared(labels: dict[str, DataFrame], reference: str | None = None) -> tuple[DataFrame, DataFrame]:
     """((run_a, run_b, ari), (run, niche, stability)): agreement of all pairs of runs, and how well each other run keeps
     the niches of the reference, the first run unless one is named."""
     names = sorted(labels, key=order)
     reference = reference or names[0]
-    key = lambda df: df.select(F.concat_ws("\x1f", *SAMPLE, "node_id").alias("row_id"), "niche")
     long = None
     for n in names:
-        part = key(labels[n]).withColumn("run", F.lit(n))
+        part = _key(labels[n]).withColumn("run", F.lit(n))
         long = part if long is None else long.unionByName(part)
     stable = None
     for n in names:
         if n == reference:
             continue
-        rows = key(labels[reference]).withColumnRenamed("niche", "a").join(key(labels[n]).withColumnRenamed("niche", "b"), "row_id").select("a", "b")
+        rows = _joined(labels[reference], labels[n])
         part = agreement.jaccard_stability(rows).select(F.lit(n).alias("run"), "niche", "stability")
         stable = part if stable is None else stable.unionByName(part)
     return agreement.paired_rand(long), stable
+
+
+def _key(labels: DataFrame) -> DataFrame:
+    return labels.select(F.concat_ws("\x1f", *SAMPLE, "node_id").alias("row_id"), "niche")
+
+
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _key(a).withColumnRenamed("niche", "a").join(_key(b).withColumnRenamed("niche", "b"), "row_id").select("a", "b")
+
+
+def consecutive(labels: dict[str, DataFrame]) -> DataFrame:
+    """(run_a, run_b, ari, ami) of each run and the next, in the order of their numbers."""
+    names, out = sorted(labels, key=order), None
+    for x, y in zip(names, names[1:], strict=False):
+        rows = _joined(labels[x], labels[y])
+        part = agreement.rand_index(rows).crossJoin(agreement.adjusted_information(rows)).select(F.lit(x).alias("run_a"), F.lit(y).alias("run_b"), "ari", "ami")
+        out = part if out is None else out.unionByName(part)
+    return out

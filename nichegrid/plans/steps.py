@@ -71,20 +71,42 @@ def cluster(rows: DataFrame, config: NicheConfig) -> DataFrame:
     return clustering.communities(written(near), rows.select(F.col("id").alias("node")), config.resolution, 0).withColumnRenamed("node", "id")
 
 
-def niches(nodes: DataFrame, edges: DataFrame, config: NicheConfig) -> Niches:
-    """Step 3 over the pooled cohort: features, reduction, clustering, and what the niches are made of."""
+def feature_stage(nodes: DataFrame, edges: DataFrame, config: NicheConfig) -> DataFrame:
+    """The features of all nodes, written, and checked to be finite."""
     table, names = feature_rows(nodes, edges, config)
     table = written(table)
     features.finite_or_error(table, names)
+    return table
+
+
+def reduction_stage(table: DataFrame, config: NicheConfig) -> DataFrame:
+    """(id, vector) from a table of features: the features themselves, or their layout."""
+    names = [c for c in table.columns if c not in (*SAMPLE, "node_id", "row_id")]
+    rows = table.select(F.col("row_id").alias("id"), F.array(*(F.col(f"`{x}`") for x in names)).alias("vector"))
     c = config.within(table.count())
-    rows = written(table.select(F.col("row_id").alias("id"), F.array(*(F.col(f"`{x}`") for x in names)).alias("vector")))
-    if c.reduce:
-        rows = written(layout.umap(rows, c.n_neighbors, c.dimensions, c.metric, c.min_dist, c.epochs, c.seed).select(F.col("node").alias("id"), F.col("p").alias("vector")))
-    found = cluster(rows, c)
-    labels = written(table.select(*SAMPLE, "node_id", "row_id").join(found.withColumnRenamed("id", "row_id"), "row_id"))
+    if not c.reduce:
+        return rows
+    return layout.umap(written(rows), c.n_neighbors, c.dimensions, c.metric, c.min_dist, c.epochs, c.seed).select(F.col("node").alias("id"), F.col("p").alias("vector"))
+
+
+def cluster_stage(table: DataFrame, rows: DataFrame, config: NicheConfig) -> DataFrame:
+    """(patient, sample, node_id, row_id, niche) of all nodes."""
+    found = cluster(rows, config.within(table.count()))
+    return table.select(*SAMPLE, "node_id", "row_id").join(found.withColumnRenamed("id", "row_id"), "row_id")
+
+
+def compositions(nodes: DataFrame, labels: DataFrame, config: NicheConfig) -> dict[str, DataFrame]:
     keyed = nodes.select(*(F.col(x).alias(f"_{x}") for x in SAMPLE), F.col("node_id").alias("_id"), "phenotype")
     typed = labels.join(keyed, labels["patient"].eqNullSafe(keyed["_patient"]) & labels["sample"].eqNullSafe(keyed["_sample"]) & (labels["node_id"] == keyed["_id"])).select("phenotype", "niche")
-    return Niches(table, rows, labels, {how: composition.composition(typed, how) for how in c.normalize})
+    return {how: composition.composition(typed, how) for how in config.normalize}
+
+
+def niches(nodes: DataFrame, edges: DataFrame, config: NicheConfig) -> Niches:
+    """Step 3 over the pooled cohort: features, reduction, clustering, and what the niches are made of."""
+    table = feature_stage(nodes, edges, config)
+    rows = written(reduction_stage(table, config))
+    labels = written(cluster_stage(table, rows, config))
+    return Niches(table, rows, labels, compositions(nodes, labels, config))
 
 
 def niches_per_sample(nodes: DataFrame, edges: DataFrame, config: NicheConfig) -> dict[tuple[str, str | None], Niches]:

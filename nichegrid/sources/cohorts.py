@@ -22,15 +22,16 @@ def extension(text: str) -> str:
     return found
 
 
-def infer(df: DataFrame) -> DataFrame:
-    """Each string column as long, double or string: the first that all its values which aren't null fit, over all rows."""
-    cleaned = df.select(*(F.when(F.trim(F.col(f"`{c}`")).isin(*NULL_TOKENS), None).otherwise(F.trim(F.col(f"`{c}`"))).alias(c) for c in df.columns))
+def infer(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each string column as long, double or string: the first that all its values which aren't null fit, over all rows; the
+    columns `keep` stay as they are."""
+    cleaned = df.select(*(F.col(f"`{c}`") if c in keep else F.when(F.trim(F.col(f"`{c}`")).isin(*NULL_TOKENS), None).otherwise(F.trim(F.col(f"`{c}`"))).alias(c) for c in df.columns))
     fits = lambda c, kind: F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(kind).isNotNull()), F.lit(True))
     tests = [fits(c, kind).alias(f"{kind}{i}") for i, c in enumerate(df.columns) for kind in ("long", "double")]
     if not tests:
         return cleaned
     seen = cleaned.agg(*tests).first()
-    kinds = ["long" if seen[f"long{i}"] else "double" if seen[f"double{i}"] else "string" for i in range(len(df.columns))]
+    kinds = ["string" if c in keep else "long" if seen[f"long{i}"] else "double" if seen[f"double{i}"] else "string" for i, c in enumerate(df.columns)]
     return cleaned.select(*(F.col(f"`{c}`").cast(k).alias(c) for c, k in zip(df.columns, kinds, strict=True)))
 
 
@@ -75,16 +76,17 @@ def with_ids(df: DataFrame, patient: str, sample: str | None) -> DataFrame:
 def read_cohort(spark: SparkSession, folder: str, patient: str, sample: str | None, kind: str, x: str, y: str, phenotype: str | None = None, id_col: str | None = None) -> DataFrame:
     """All nodes files of a folder as one nodes table.
 
-    node_id is the rank of id_col in its sample where one is named; otherwise the row's place in its file, which only
-    holds for files that aren't split (each file is then read by one task).
+    node_id is the rank of id_col in its sample where one is named; otherwise the row's place in its file, by block and by
+    the order in which a block's task reads it.
     """
     kind = extension(kind)
     reader = spark.read.option("pathGlobFilter", f"nodes_*.{kind}")
     raw = reader.parquet(folder) if kind == "parquet" else reader.csv(folder, sep=EXTENSIONS[kind], header=True, mode="FAILFAST")
     require(raw, [c for c in (x, y, phenotype, id_col) if c])
     rows = with_ids(raw, patient, sample).where(F.col("_metadata.file_name").rlike(file_pattern(patient, sample, kind)))
-    order = F.col(f"`{id_col}`") if id_col else F.col("_metadata.file_block_start") * (1 << 33) + F.monotonically_increasing_id()
-    node = (F.row_number().over(W.partitionBy("patient", "sample").orderBy(order)) - 1).cast("long")
+    # a file's blocks, and the rows of a block, which one task reads in order
+    order = [F.col(f"`{id_col}`")] if id_col else [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    node = (F.row_number().over(W.partitionBy("patient", "sample").orderBy(*order)) - 1).cast("long")
     number = lambda c: F.coalesce(F.col(f"`{c}`").try_cast("double") if kind != "parquet" else F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
     label = F.lit(None).cast("string") if phenotype is None else F.col(f"`{phenotype}`").cast("string")
     if phenotype is not None and kind != "parquet":

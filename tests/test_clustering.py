@@ -69,6 +69,23 @@ def test_principal_components(rows):
     assert np.allclose(got, (x - x.mean(0)) @ axes, atol=1e-8)
 
 
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_repeated_rows_search_as_one(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (120, 2)).astype(float)
+    x[:7] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    d = vectors.distances(x, x, metric)
+    d = np.round(d, 12)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["source"], r["rank"]): r["distance"] for r in vectors.nearest(rows, 4, metric).collect()}
+    assert got.keys() == {(i, r) for i in range(120) for r in range(1, 5)}
+    assert all(got[i, r + 1] == pytest.approx(v, abs=1e-9) for i, row in enumerate(np.sort(d, 1)) for r, v in enumerate(row[:4]))
+    if metric != "cosine":
+        want = {(i, int(j), r + 1) for i, row in enumerate(d) for r, j in enumerate(np.argsort(row, kind="stable")[:4])}
+        assert {(r["source"], r["target"], r["rank"]) for r in vectors.nearest(rows, 4, metric).collect()} == want
+
+
 def test_fuzzy_graph_and_layout(rows):
     near = vectors.nearest(rows.select("id", "vector"), 6).cache()
     graph = vectors.fuzzy_graph(near).collect()

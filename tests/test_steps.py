@@ -4,9 +4,10 @@ import os
 import numpy as np
 import pytest
 
-from nichegrid.operators import mixing
+from nichegrid.operators import agreement, features, layout, mixing
 from nichegrid.plans import config, runs, steps
-from nichegrid.sources import cohorts, sinks
+from nichegrid.sources import cohorts, networks, sinks
+from nichegrid.sources import tissue as tissue_of
 from nichegrid.streaming import arrivals
 
 NODES = "patient string, sample string, node_id long, x double, y double, phenotype string"
@@ -100,9 +101,86 @@ def test_niches_and_runs(cohort, edges, tmp_path):
     labels = {r: spark.read.parquet(f"{tmp_path}/labels/{r}") for r in register.runs()}
     pairs, stable = runs.compared(labels)
     assert pairs.count() == 1 and all(0 < r["stability"] <= 1 for r in stable.collect())
+    (both,) = runs.consecutive(labels).collect()
+    assert (both["run_a"], both["run_b"]) == ("1-1-1", "1-1-2") and both["ami"] <= 1
+    assert runs.sensitivity(runs.grid(c, {"n_clusters": [2, 3]}), records)[0] == ["run", "n_clusters", "niches", "error"]
     assert json.load(open(tmp_path / "runs.json"))["stages"][0]["settings"]["order"] == 1
 
 
+def test_stages_are_computed_once(cohort, edges, tmp_path, monkeypatch):
+    taken = []
+    whole = layout.umap
+    monkeypatch.setattr(layout, "umap", lambda *a, **b: taken.append(1) or whole(*a, **b))
+    made = steps.feature_stage
+    monkeypatch.setattr(steps, "feature_stage", lambda *a: taken.append(0) or made(*a))
+    c = config.NicheConfig.of({"epochs": 3, "clusterer": "gmm"})
+    register = runs.Register(str(tmp_path / "runs.json"))
+    records = runs.sweep(cohort, edges, runs.grid(c, {"n_clusters": [2, 3, 4]}), str(tmp_path), register)
+    assert [r["run"] for r in records] == ["1-1-1", "1-1-2", "1-1-3"] and sorted(taken) == [0, 1]
+    again = runs.run(cohort, edges, runs.grid(c, {"n_clusters": [3]})[0], str(tmp_path), register)
+    assert again[0] == "1-1-2" and sorted(taken) == [0, 1]
+
+
+def test_plans():
+    axes = {"order": [1, 2], "reduce": [True, False], "metric": ["euclidean"]}
+    assert runs.parsed_plan(runs.plan_text(axes)) == axes
+    assert runs.parsed_plan("n_clusters: 2..8 x 4  # comment\nresolution: 0.01..1.0 x 3 log") == {"n_clusters": [2, 4, 6, 8], "resolution": [0.01, 0.1, 1.0]}
+    for bad in ("order 1", "unknown: 1", "metric: cosine"):
+        with pytest.raises(ValueError):
+            runs.parsed_plan(bad)
+
+
+def test_networks_as_files(spark, cohort, edges, tmp_path):
+    folder = str(tmp_path / "net")
+    networks.write_network(cohort, edges, folder)
+    nodes, found = networks.read_network(spark, folder)
+    assert nodes.count() == 180 and found.count() == edges.count() and set(found.columns) == {"patient", "sample", "source", "target"}
+    labels = cohort.select("patient", "sample", "node_id", (cohort["node_id"] % 3).alias("niche"))
+    for run in ("1-1-10", "1-1-2"):
+        networks.merge_labels(spark, folder, labels, run)
+    nodes, _ = networks.read_network(spark, folder)
+    assert networks.label_runs(nodes) == ["1-1-2", "1-1-10"] and nodes.count() == 180
+    got = networks.read_labels(nodes.selectExpr("*", "if(node_id = 5, null, 1) as niches_9"))
+    assert list(got) == ["1-1-2", "1-1-10"]  # run 9 lacks a label
+    assert got["1-1-2"].where("niche = 2").count() == 60
+    with pytest.raises(ValueError):
+        networks.merge_labels(spark, folder, labels.where("node_id > 0"), "x")
+    with pytest.raises(ValueError):
+        networks.merge_labels(spark, folder, labels, "x", kind="csv")
+    networks.save_embedding(spark.createDataFrame([(0, [1.0, 2.0])], "id long, vector array<double>"), spark.createDataFrame([(0, "1", None, 7)], "row_id long, patient string, sample string, node_id long"), f"{folder}/embedding")
+    assert spark.read.parquet(f"{folder}/embedding").columns == ["patient", "sample", "node_id", "dim_1", "dim_2"]
+    (tmp_path / "net/temp").mkdir()
+    assert networks.clear_temporary(spark, folder) and not networks.clear_temporary(spark, folder)
+
+
+def test_conversion(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for p in ("01", "2"):
+        (tmp_path / f"in/nodes_patient-{p}.csv").write_text("X,Y,n\n1,2,5\n3.5,4,NA\n")
+        (tmp_path / f"in/edges_patient-{p}.csv").write_text("source,target\n0,1\n")
+    out = str(tmp_path / "out")
+    assert networks.convert(spark, str(tmp_path / "in"), out, "patient", None, "csv") == 4
+    nodes, found = networks.read_network(spark, out)
+    assert {r["patient"] for r in nodes.collect()} == {"01", "2"} and dict(nodes.dtypes)["n"] == "bigint" and dict(nodes.dtypes)["X"] == "double"
+    assert networks.checked_edges(found).count() == 2
+    assert networks.read_edges(spark, str(tmp_path / "in"), "patient", None, "csv").count() == 2
+    with pytest.raises(ValueError):
+        networks.checked_edges(nodes)
+    assert networks.file_name("edges", "patient", "7", "sample", "2") == "edges_patient-7_sample-2.parquet"
+    with pytest.raises(ValueError):
+        networks.file_name("edges", "patient", "7_1")
+
+
+def test_planted_niches_are_found(spark):
+    nodes = tissue_of.tissue(spark, 1, 1500).cache()
+    assert nodes.count() == 1500 and nodes.where("x between 0 and 1000 and y between 0 and 1000").count() == 1500
+    found = steps.niches(nodes, steps.networks(nodes, config.NetworkConfig()), config.NicheConfig.of({"clusterer": "gmm", "n_clusters": 5, "epochs": 200, "order": 2}))
+    rows = found.labels.join(nodes.select("node_id", "true_niche"), "node_id").selectExpr("true_niche as a", "niche as b")
+    assert agreement.rand_index(rows).first()["ari"] > 0.4
+    means = {r["column"]: r["mean"] for r in features.column_means(found.features, ["pheno_0 mean", "pheno_1 mean"]).collect()}
+    assert all(0 <= m <= 1 for m in means.values())
+
+
 def test_sweep_reports_failures(cohort, edges, tmp_path):
     bad = config.NicheConfig.of({"columns": ["x", "y"], "reduce": False, "clusterer": "gmm"})
     broken = cohort.withColumn("x", cohort["x"] * float("nan"))
@@ -111,8 +189,8 @@ def test_sweep_reports_failures(cohort, edges, tmp_path):
 
 
 def test_axes():
-    assert runs.steps(1, 100, 3, "log") == [1, 10, 100] and runs.steps(0, 1, 5) == [0, 0.25, 0.5, 0.75, 1]
-    assert runs.steps(1, 3, 9, whole=True) == [1, 2, 3] and sorted(["1-10-1", "1-2-1"], key=runs.order) == ["1-2-1", "1-10-1"]
+    assert runs.axis(1, 100, 3, "log") == [1, 10, 100] and runs.axis(0, 1, 5) == [0, 0.25, 0.5, 0.75, 1]
+    assert runs.axis(1, 3, 9, whole=True) == [1, 2, 3] and sorted(["1-10-1", "1-2-1"], key=runs.order) == ["1-2-1", "1-10-1"]
     base = config.NicheConfig()
     assert runs.recomputed(runs.grid(base, {"order": [1, 2], "resolution": [0.1, 0.2, 0.3]})) == {"features": 2, "reduction": 2, "clustering": 6}
 
