@@ -31,7 +31,10 @@ def test_bounds_keep_every_candidate():
     centers = rng.normal(size=(5, 12))
     x = np.floor(1024 * (centers[rng.integers(0, 5, 800)] + 0.05 * rng.normal(size=(800, 12))))
     q = x[:20]
-    for scores, some in zip(q @ x.T, topk.nra(q, x, 10, steps=16)):
+    lists = topk.Lists.of(x.astype(np.int64))
+    lists.prepare()
+    for scores, (some, share) in zip(q @ x.T, (topk.nra(v, lists, 10) for v in q)):
+        assert len(some) <= 200 and share < 1  # rows of other centers are told by their bounds
         assert set(np.flatnonzero(scores >= np.sort(scores)[-10])) <= set(some.tolist())
 
 
@@ -40,5 +43,9 @@ def test_edge_cases(spark):
     got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.search(df).orderBy("rank").collect()]
     assert got == [(1, 1, 1024 * 1024), (2, 2, 0)]
     assert topk.search(df.limit(0)).collect() == []
+    clash = df.selectExpr("*", "1 as id", "2 as v", "3 as cb", "4 as qb", "5 as score")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in topk.search(clash).orderBy("rank").collect()] == got
+    huge = spark.createDataFrame([(0, [2e9, 1.0]), (1, [2e9, 3.0]), (2, [2e9, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"]) for r in topk.search(huge, scale=1).orderBy("rank").collect()] == [1, 2]
     big = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 3.0]), (2, [1e9, 2.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in topk.search(big.selectExpr("vec_id", "transform(embedding, x -> x / 1e6) as embedding")).orderBy("rank").collect()] == [1, 2]
