@@ -200,14 +200,14 @@ def spatial_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def permutation_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    return _rounded(mixing.zscores(written(edges), nodes, 20))
+    return _rounded(mixing.zscores(edges, nodes, 20))
 
 
 def network_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide statistics of every sample, without random labellings."""
     nodes, edges = _graph(spark, sf_dir)
     labels = [r["phenotype"] for r in mixing.vocabulary(nodes).orderBy("idx").collect()]  # one row a phenotype
-    return mixing.network_statistics(written(edges), nodes, labels)
+    return _rounded(mixing.network_statistics(edges, nodes, labels))
 
 
 def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +368,25 @@ d AS (SELECT a.id AS source, b.id AS target, {_DISTANCE[metric]} AS distance FRO
 near AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target) AS rank FROM d QUALIFY rank <= {k})"""
 
 
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")  # fixed values: the customers' phenotypes
+
+
+def _statistics_sql() -> str:
+    """Without random labellings: means and deviations of cells are 0, z is infinite where something was seen."""
+    columns = [f"round(avg(CASE WHEN phenotype = '{p}' THEN 1.0 ELSE 0.0 END), 6) AS \"% {p}\"" for p in _SEGMENTS]
+    pairs = [(hi, lo) for i, hi in enumerate(_SEGMENTS) for lo in _SEGMENTS[: i + 1]]
+    cell = lambda hi, lo: f"coalesce(max(value) FILTER (a = '{hi}' AND b = '{lo}'), 0.0)"
+    cells = [f"round({cell(hi, lo)}, 6) AS \"{hi} - {lo} RAW\", CAST(0 AS DOUBLE) AS \"{hi} - {lo} MEAN\", CAST(0 AS DOUBLE) AS \"{hi} - {lo} STD\", CAST(CASE WHEN {cell(hi, lo)} > 0 THEN 'inf' ELSE 'nan' END AS DOUBLE) AS \"{hi} - {lo} Z\"" for hi, lo in pairs]
+    nan = ", ".join(f"CAST('nan' AS DOUBLE) AS \"assort {x}\"" for x in ("MEAN", "STD", "Z"))
+    return f"""WITH {_EDGES}, rows AS (SELECT patient, a AS k, sum(value) AS r, sum(CASE WHEN a = b THEN value ELSE 0 END) AS d FROM shares GROUP BY ALL),
+cols AS (SELECT patient, b AS k, sum(value) AS c FROM shares GROUP BY ALL),
+sums AS (SELECT r.patient, sum(d) AS t, sum(r.r * c.c) AS ab FROM rows r JOIN cols c ON c.patient = r.patient AND c.k = r.k GROUP BY r.patient),
+totals AS (SELECT patient, count(*) AS "# total", {", ".join(columns)} FROM nodes GROUP BY patient),
+wide AS (SELECT patient, {", ".join(cells)} FROM shares GROUP BY patient)
+SELECT patient AS id, round((t - ab) / (1 - ab), 6) AS assort, {nan}, totals.* EXCLUDE (patient), wide.* EXCLUDE (patient)
+FROM totals JOIN wide USING (patient) JOIN sums USING (patient)"""
+
+
 _C2 = "CAST(n AS DOUBLE) * (n - 1) / 2"
 ORACLE_SQL: dict[str, str] = {
     "sample_index": f"WITH {_NODES} SELECT patient, count(*) AS n_nodes FROM nodes GROUP BY patient",
@@ -467,6 +486,22 @@ o AS (SELECT *, 2 * (bx * cy - by_ * cx) AS det, bx * bx + by_ * by_ AS b2, cx *
 circles AS (SELECT patient, i, j, k, ax + (cy * b2 - by_ * c2) / det AS ux, ay + (bx * c2 - cx * b2) / det AS uy, ((cy * b2 - by_ * c2) / det) ** 2 + ((bx * c2 - cx * b2) / det) ** 2 AS r2 FROM o WHERE det <> 0),
 empty AS (SELECT * FROM circles c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.patient = c.patient AND n.node_id NOT IN (c.i, c.j, c.k) AND (n.x - c.ux) ** 2 + (n.y - c.uy) ** 2 < c.r2 * (1 - 1e-9)))
 SELECT DISTINCT patient, unnest([i, i, j]) AS source, unnest([j, k, k]) AS target FROM empty""",
+    "network_statistics": _statistics_sql(),
+    # the bisection of sigma as 64 steps over lists of distances
+    "fuzzy_simplicial_set": f"""WITH RECURSIVE {_knn_sql("euclidean", 14)},
+lists AS (SELECT source, list(distance ORDER BY distance, target) AS d, list(target ORDER BY distance, target) AS t, min(distance) FILTER (distance > 0) AS rho FROM near GROUP BY source),
+begin_ AS (SELECT source, d, t, coalesce(rho, 0.0) AS rho, log2(len(d) + 1) AS goal FROM lists),
+steps(source, i, lo, hi, s, open) AS (
+  SELECT source, 0, CAST(0 AS DOUBLE), CAST('inf' AS DOUBLE), CAST(1 AS DOUBLE), true FROM begin_
+  UNION ALL
+  SELECT source, i + 1, CASE WHEN open AND total <= goal THEN s ELSE lo END, CASE WHEN open AND total > goal THEN s ELSE hi END,
+    CASE WHEN NOT open THEN s WHEN total > goal THEN (lo + s) / 2 WHEN hi = CAST('inf' AS DOUBLE) THEN s * 2 ELSE (s + hi) / 2 END, open
+  FROM (SELECT x.source, i, lo, hi, s, total, goal, open AND abs(total - goal) >= 1e-5 AS open
+    FROM (SELECT p.*, b.goal, list_sum(list_transform(b.d, lambda y: exp(-greatest(y - b.rho, 0.0) / p.s))) AS total FROM steps p JOIN begin_ b ON b.source = p.source WHERE p.i < 64) x)),
+mean AS (SELECT sum(distance) / (count(*) + count(DISTINCT source)) AS m FROM near),
+sigma AS (SELECT b.*, greatest(s, 1e-3 * CASE WHEN rho > 0 THEN list_sum(d) / (len(d) + 1) ELSE m END) AS s FROM steps JOIN begin_ b ON b.source = steps.source, mean WHERE i = 64),
+w AS (SELECT source, unnest(t) AS target, exp(-greatest(unnest(d) - rho, 0.0) / s) AS w FROM sigma)
+SELECT a, b, round(sum(w) - CASE WHEN count(*) = 2 THEN product(w) ELSE 0.0 END, 6) AS weight FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, w FROM w) GROUP BY a, b""",
     "label_codes": f"WITH {_NODES}, v AS (SELECT phenotype, row_number() OVER (ORDER BY phenotype) - 1 AS idx FROM (SELECT DISTINCT phenotype FROM nodes)) SELECT CAST(key AS BIGINT) AS key, idx AS code FROM nodes LEFT JOIN v ON v.phenotype = nodes.phenotype",
     "balance_colours": f"""WITH {_NODES} SELECT CAST(key AS BIGINT) AS key, round(CASE WHEN y <= 0 THEN (y + 1000) / 2000 ELSE 0.5 + y / 19400 END, 6) AS two_slope,
 round(CASE WHEN abs(y) <= 100 THEN y / 100 ELSE sign(y) * (1 + ln(abs(y) / 100)) END / (1 + ln(100.0)), 6) AS symmetric_log FROM nodes""",
