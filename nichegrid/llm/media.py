@@ -45,7 +45,16 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-def _png(b: bytes) -> int:
+def _find(b: memoryview, what: bytes, at: int = 0) -> int:
+    """Where the bytes stand, as bytes.find; only windows are copied."""
+    for start in range(at, len(b), 1 << 16):
+        found = bytes(b[start : start + (1 << 16) + len(what) - 1]).find(what)
+        if found >= 0:
+            return start + found
+    return -1
+
+
+def _png(b: memoryview) -> int:
     at = 8
     while at + 12 <= len(b):
         size, kind = struct.unpack(">I4s", b[at : at + 8])
@@ -58,7 +67,7 @@ def _png(b: bytes) -> int:
     return 0
 
 
-def _jpeg(b: bytes) -> int:
+def _jpeg(b: memoryview) -> int:
     at = 2
     while at + 4 <= len(b) and b[at] == 0xFF:
         mark, size = b[at + 1], struct.unpack(">H", b[at + 2 : at + 4])[0]
@@ -66,12 +75,12 @@ def _jpeg(b: bytes) -> int:
             return 0
         at += 2 + size
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", at)
+            end = _find(b, b"\xff\xd9", at)
             return end + 2 if end >= 0 else 0
     return 0
 
 
-def _gif(b: bytes) -> int:
+def _gif(b: memoryview) -> int:
     if len(b) < 14:
         return 0
     at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 0x80 else 0)
@@ -90,14 +99,14 @@ def _gif(b: bytes) -> int:
     return 0
 
 
-def _bmp(b: bytes) -> int:
+def _bmp(b: memoryview) -> int:
     if len(b) < 26:
         return 0
     size, _, start, head = struct.unpack("<IIII", b[2:18])
     return size if 26 <= size <= len(b) and 14 + head <= start <= size and head in (12, 40, 52, 56, 64, 108, 124) else 0
 
 
-def _riff(b: bytes) -> int:
+def _riff(b: memoryview) -> int:
     if b[:4] != b"RIFF" or len(b) < 20:
         return 0
     end = 8 + struct.unpack("<I", b[4:8])[0]
@@ -107,11 +116,59 @@ def _riff(b: bytes) -> int:
     return end if at == end <= len(b) else 0
 
 
-def _flac(b: bytes) -> int:
-    return len(b) if len(b) >= 42 and b[4] & 0x7F == 0 and b[5:8] == b"\0\0\x22" else 0
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (polynomial if x >> bits - 1 else 0)) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+#: Of FLAC's frame headers and frames; the polynomials are fixed values of the format.
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(b: memoryview, at: int) -> bool:
+    """Whether a frame's header, with a right check sum, stands at a place."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 2] >> 4 == 0 or b[at + 2] & 15 == 15 or b[at + 3] >> 4 > 10:
+        return False
+    first = b[at + 4]  # a number coded as in UTF-8
+    more = 0 if first < 0x80 else next((i for i in range(1, 7) if not first & 0x40 >> i), 7)
+    end = at + 5 + more + {6: 1, 7: 2}.get(b[at + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[at + 2] & 15, 0)
+    crc = 0
+    for x in b[at:end]:
+        crc = _CRC8[crc ^ x]
+    return end < len(b) and crc == b[end]
+
+
+def _flac(b: memoryview) -> int:
+    """Metadata blocks, then frames as long as their check sums are right."""
+    at, last = 4, False
+    while not last:
+        if at + 4 > len(b) or (at == 4) != (b[at] & 0x7F == 0) or at == 4 and b[5:8] != b"\0\0\x22":
+            return 0
+        last, at = bool(b[at] & 0x80), at + 4 + int.from_bytes(b[at + 1 : at + 4])
+    if at > len(b):
+        return 0
+    while _flac_header(b, at):
+        crc, i, end = 0, at, 0
+        while i < len(b):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[i]]
+            i += 1
+            if crc == 0 and i - at > 8:  # with its own check sum a frame's is 0; by chance, a part's is too
+                end = end or i
+                if i == len(b) or _flac_header(b, i):
+                    end = i
+                    break
+        if not end:
+            return at if at > 42 else 0
+        at = end
+    return at
 
 
-def _ogg(b: bytes) -> int:
+def _ogg(b: memoryview) -> int:
     at = 0
     while b[at : at + 4] == b"OggS" and at + 27 <= len(b) and b[at + 4] == 0:
         n = b[at + 26]
@@ -121,20 +178,20 @@ def _ogg(b: bytes) -> int:
     return at
 
 
-def _pdf(b: bytes) -> int:
-    end = b.find(b"%%EOF")
-    return end + 5 if end > 0 and b[5:6].isdigit() and b"startxref" in b[:end] else 0
+def _pdf(b: memoryview) -> int:
+    end = _find(b, b"%%EOF")
+    return end + 5 if end > 0 and bytes(b[5:6]).isdigit() and 0 <= _find(b, b"startxref") < end else 0
 
 
-def _zip(b: bytes) -> int:
-    at = b.find(b"PK\x05\x06")
+def _zip(b: memoryview) -> int:
+    at = _find(b, b"PK\x05\x06")
     if at < 0 or at + 22 > len(b):
         return 0
     size, start, note = struct.unpack("<IIH", b[at + 12 : at + 22])
     return at + 22 + note if start + size == at and at + 22 + note <= len(b) else 0
 
 
-def _gzip(b: bytes) -> int:
+def _gzip(b: memoryview) -> int:
     reader = zlib.decompressobj(31)
     try:
         at = 0
@@ -146,9 +203,9 @@ def _gzip(b: bytes) -> int:
     return min(at, len(b)) - len(reader.unused_data) if reader.eof else 0
 
 
-def _mp4(b: bytes) -> int:
+def _mp4(b: memoryview) -> int:
     at = 0
-    while at + 8 <= len(b) and b[at + 4 : at + 8].isalnum():
+    while at + 8 <= len(b) and bytes(b[at + 4 : at + 8]).isalnum():
         size = struct.unpack(">I", b[at : at + 4])[0]
         if size < 8 or at + size > len(b):
             break
@@ -161,10 +218,10 @@ VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp":
 
 def sniff(raw: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of every medium in the bytes, the one at 0 and embedded ones, whose structure and length hold."""
-    found, done = [], set()
+    found, done, view = [], set(), memoryview(raw)
     for end, (size, before, kind) in _automaton().iter(raw.decode("latin-1")):
         start = end + 1 - size - before
-        if start >= 0 and (start, kind) not in done and (n := VALID[kind](raw[start:] if start else raw)):
+        if start >= 0 and (start, kind) not in done and (n := VALID[kind](view[start:])):
             done.add((start, kind))
             found.append((start, start + n, kind))
     return sorted(found)
@@ -184,7 +241,7 @@ def to_wave(payload: bytes, rate: int = 8000) -> bytes:
 
 def from_wave(stored: bytes) -> tuple[bytes, dict[str, int]]:
     """The samples of a RIFF/WAVE file and its format, found by walking the chunks."""
-    if not _riff(stored) or stored[8:12] != b"WAVE":
+    if not _riff(memoryview(stored)) or stored[8:12] != b"WAVE":
         raise ValueError("not a whole RIFF/WAVE file")
     at, about, samples = 12, {}, b""
     while at + 8 <= len(stored):
@@ -210,7 +267,8 @@ def media(docs: DataFrame, rate: int = 8000, id_col: str = "doc_id", text_col: s
     The digests of the payload come from the stored file as read back. `feature` has the type found by content, the
     format, and the samples' mean, deviation and zero crossings; equal texts have equal values. `embedded` lists media
     carved from the samples as (start, end, type), from the start of the payload. Null is an empty text; empty texts
-    have 64 zero samples. Repeated rows stay; an empty table gives no rows. One pass, no shuffle.
+    have 64 zero samples. A very long text is held a few times over by its task. Repeated rows stay; an empty table
+    gives no rows, and other columns of docs, whatever their names, are not read. One pass, no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_type", "media_bytes", "media_sha256", "embedded", "feature", *["media"] * with_bytes]
