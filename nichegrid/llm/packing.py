@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from nichegrid.llm.common import arrow
@@ -175,6 +175,41 @@ def unpack(packs: DataFrame, kind: str = "<u2", end_id: int | None = 50256) -> D
     return each.groupBy("doc_id").agg(joined.alias("ids")).select("doc_id", ids.alias("ids"))
 
 
-def write_matrices(packs: DataFrame, path: str) -> None:
-    """One binary file record per pack, as Parquet: ids and positions are raw matrix rows that a reader can stack."""
-    packs.write.option("compression", "zstd").parquet(path)
+def shards(packs: DataFrame, rows: int = 512) -> DataFrame:
+    """(shard, n_packs, width, matrix, positions, offsets, lengths, index): binary shards of at most `rows` packs of a task.
+
+    matrix and positions are n_packs raw rows each, one after the other; lengths are the cumulative segment lengths of
+    all packs as little-endian 32-bit numbers, of which pack i has those from offsets[i] to offsets[i + 1]; index lists
+    the packs. So a reader maps a pack's row without reading others. shard is the task's number and a count.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        count = 0
+
+        def shard() -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum([len(r["lengths"]) for r in held])])
+            row = ((TaskContext.get().partitionId() << 32) + count, len(held), len(held[0]["positions"]) // 4, b"".join(r["ids"] for r in held), b"".join(r["positions"] for r in held), offsets.tolist(), np.concatenate([r["lengths"] for r in held]).astype("<i4").tobytes(), [r["pack"] for r in held])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["shard", "n_packs", "width", "matrix", "positions", "offsets", "lengths", "index"])
+
+        for b in it:
+            for r in b.to_pylist():
+                held.append(r)
+                if len(held) == rows:
+                    yield shard()
+                    held, count = [], count + 1
+        if held:
+            yield shard()
+
+    return arrow(packs.select("pack", "ids", "positions", "lengths"), batches, "shard long, n_packs long, width long, matrix binary, positions binary, offsets array<long>, lengths binary, index array<long>")
+
+
+def write_matrices(packs: DataFrame, path: str, rows: int = 512) -> None:
+    """The shards as Parquet, each file with at most a few of them, uncompressed: matrices are ready to be mapped."""
+    shards(packs, rows).write.option("compression", "none").parquet(path)
+
+
+def matrix(shard: Row, kind: str = "<u2") -> np.ndarray:
+    """The ids of a shard's packs, a row each, without a copy."""
+    return np.frombuffer(shard["matrix"], kind).reshape(shard["n_packs"], shard["width"])

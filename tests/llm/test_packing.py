@@ -62,3 +62,16 @@ def test_edge_cases(odd, empty):
     assert packing.pack(empty, BPE_RANKS).collect() == []
     bare = packing.pack(odd, BPE_RANKS, end_id=None, width=16).collect()
     assert "2" not in {str(d) for r in bare for d in r["doc_ids"]}
+
+
+def test_shards_hold_the_packs(docs, spark, tmp_path):
+    packs = packing.pack(docs, BPE_RANKS, width=64, window_tokens=2000)
+    want = {r["pack"]: r for r in packs.collect()}
+    packing.write_matrices(packs, str(tmp_path / "m"), rows=7)
+    seen = {}
+    for s in spark.read.parquet(str(tmp_path / "m")).collect():
+        ids, lengths = packing.matrix(s), np.frombuffer(s["lengths"], "<i4")
+        assert ids.shape == (s["n_packs"], 64) and s["n_packs"] <= 7
+        for i, pack in enumerate(s["index"]):
+            seen[pack] = (ids[i].tobytes(), lengths[s["offsets"][i] : s["offsets"][i + 1]].tolist(), s["positions"][i * 256 : (i + 1) * 256])
+    assert seen == {p: (r["ids"], r["lengths"], r["positions"]) for p, r in want.items()}
