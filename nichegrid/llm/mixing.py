@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from nichegrid.llm.common import WORD, cut
 
 
+#: Weights are told apart to so many levels where keys are cut into ranges.
+LEVELS = 20
+
+
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -59,14 +63,21 @@ def mix(docs: DataFrame, shares: Sequence[float] = (5, 2, 1), total: float = 1.5
     key of its own, equal rows share a key and take in any order, as they are the same. An empty table gives no rows.
 
     A source may hold most rows: its keys are cut into ranges of about `bucket_rows` documents, ranges are summed
-    first, and only the one range where the rest ends is sorted row by row.
+    first, and only the one range where the rest ends is sorted row by row. Very long texts only cost their reading;
+    columns of docs with other names than doc_id, source and text are not read.
     """
     text = F.col("text")
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(text)
-    rows = cut(docs.select("doc_id", "source", words_in(text).alias("size"), key.alias("key")))  # each text is read once
-    # 1 - exp(-key) is nearly uniform, whatever the number of documents: its ranges are about equally large
-    spot = lambda n: F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * n)
-    fine = rows.groupBy("source", spot(F.lit(1 << 12)).alias("fine")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    weight = quality_weight(text)
+    key = -F.log(uniform(F.col("doc_id"), seed)) / weight
+    rows = cut(docs.select("doc_id", "source", words_in(text).alias("size"), key.alias("key"), F.ceil(weight * LEVELS).alias("level")))  # each text is read once
+    # a key of weight w lies below k with probability 1 - exp(-k w): summed over a source's weights, that is about the
+    # share of its documents before k, so that ranges are about equally large whatever the weights
+    levels = [F.count_if(F.col("level") == i).alias(f"_n{i}") for i in range(1, LEVELS + 1)]
+    weights = rows.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n"), *levels)
+    before = sum((F.col(f"_n{i}") * (F.lit(1.0) - F.exp(F.col("key") * (-i / LEVELS))) for i in range(1, LEVELS + 1)), F.lit(0.0))
+    rows = rows.join(weights, F.col("source").eqNullSafe(F.col("_s")))
+    rows = cut(rows.select("doc_id", "source", "size", "key", F.floor(before / bucket_rows).alias("at")))
+    fine = rows.groupBy("source", F.col("at").alias("fine")).agg(F.sum("size").alias("words"))
     sizes = fine.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, shares, total, most)
     goal = goal.select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
@@ -78,7 +89,7 @@ def mix(docs: DataFrame, shares: Sequence[float] = (5, 2, 1), total: float = 1.5
     ends = goal.join(ends, F.col("source").eqNullSafe(F.col("_s"))).where((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("words"))).select("_s", "fine", "ahead")
     # written, so that the next join shuffles both sides and Spark can split a large source's rows
     goal = cut(goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s"))
-    rows = rows.withColumn("at", spot(F.lit(1 << 12))).join(goal, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     last = F.coalesce(F.col("at") == F.col("fine"), F.lit(False))
     within = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     near = rows.where(last).withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))

@@ -46,6 +46,11 @@ def test_whole_epochs_come_first(docs):
         assert epochs * r["size"] <= r["taken"] <= (epochs + 1) * r["size"]
 
 
+def test_any_ranges_give_the_same_mix(docs):
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    assert sorted(map(str, mixing.mix(docs, bucket_rows=3).collect())) == want
+
+
 def test_weights_decide_inclusion(spark):
     rows = [(i, ("good words here " * 10) if i % 2 else ("$$$ *** @@@ " * 10), "a") for i in range(2000)]
     docs = spark.createDataFrame([*rows, *((10_000 + i, "w " * 30, "b") for i in range(6000))], "doc_id long, text string, source string")
