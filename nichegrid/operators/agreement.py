@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,11 +53,18 @@ def normalized_information(rows: DataFrame) -> DataFrame:
     return information(rows).select(F.when((F.col("ha") <= 0) | (F.col("hb") <= 0), 0.0).otherwise(value).alias("nmi"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers from 0: a table for small ones, Stirling's series beyond, which is exact to a double there."""
+    small = F.array(*(F.lit(math.lgamma(i + 1.0)) for i in range(128)))
+    x = F.greatest(n.cast("double"), F.lit(1.0))
+    series = x * F.log(x) - x + F.log(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n < 128, F.get(small, F.least(n, F.lit(127)).cast("int"))).otherwise(series)
+
+
 def expected_information(rows: DataFrame) -> DataFrame:
     """(emi): the mutual information that random labellings with the same margins have on average.
 
     Sums over pairs of distinct margin sizes, each counted as often as it occurs, and over all overlaps that can be.
-    Logarithms of factorials come from a running sum over 1..n.
     """
     joint = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
     a, b = _margins(joint)
@@ -63,14 +72,8 @@ def expected_information(rows: DataFrame) -> DataFrame:
     sizes = lambda m, c: m.groupBy(F.col("n").alias(c)).agg(F.count("*").alias(f"k{c}"))
     pairs = sizes(a, "x").crossJoin(sizes(b, "y")).crossJoin(total)
     cells = pairs.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("total")), F.least("x", "y"))).alias("n"))
-    numbers = total.select(F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("total")))).alias("i"))
-    factorial = numbers.select("i", F.sum(F.log("i")).over(W.orderBy("i").rowsBetween(W.unboundedPreceding, 0)).alias("lf")).union(rows.sparkSession.range(1).select(F.col("id").alias("i"), F.lit(0.0).alias("lf")))
-    terms = {"x": 1, "y": 1, "total_x": 1, "total_y": 1, "total": -1, "n": -1, "x_n": -1, "y_n": -1, "rest": -1}
-    cells = cells.select("*", (F.col("total") - F.col("x")).alias("total_x"), (F.col("total") - F.col("y")).alias("total_y"), (F.col("x") - F.col("n")).alias("x_n"), (F.col("y") - F.col("n")).alias("y_n"), (F.col("total") - F.col("x") - F.col("y") + F.col("n")).alias("rest"))
-    exponent = F.lit(0.0)
-    for c, sign in terms.items():
-        cells = cells.join(factorial.select(F.col("i").alias(c), F.col("lf").alias(f"lf_{c}")), c)
-        exponent = exponent + sign * F.col(f"lf_{c}")
+    x, y, n, total = (F.col(c) for c in ("x", "y", "n", "total"))
+    exponent = sum((log_factorial(c) for c in (x, y, total - x, total - y)), F.lit(0.0)) - sum((log_factorial(c) for c in (total, n, x - n, y - n, total - x - y + n)), F.lit(0.0))
     n, t = F.col("n").cast("double"), F.col("total").cast("double")
     term = F.col("kx") * F.col("ky") * (n / t) * F.log(n * t / (F.col("x").cast("double") * F.col("y"))) * F.exp(exponent)
     return cells.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("emi"))

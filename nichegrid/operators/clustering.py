@@ -307,6 +307,29 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside.crossJoin(squares).select((F.col("within") / F.col("m") - resolution * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
+def _nearest_outside(inside: DataFrame, outside: DataFrame, block: int = 4096) -> DataFrame:
+    """(id, d, to): for each row (id, v) the least squared distance to the rows (to, w) of each block, ties to the lower `to`.
+
+    Both sides are dealt into blocks, and every pair of blocks meets in one task, which sends one row an id on.
+    """
+    nr, nl = (max(1, -(-df.count() // block)) for df in (outside, inside))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = inside.select("id", "v", deal("id", nl).alias("i"), every(nr).alias("j"))
+    right = outside.select("to", "w", every(nl).alias("i"), deal("w", nr).alias("j"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64())], names=["id", "d", "to"])
+        b = b.sort_by("to")
+        x, y = (np.array(t[c].combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t, c in ((a, "v"), (b, "w")))
+        d = [((y - v) ** 2).sum(1) for v in x]
+        at = [int(row.argmin()) for row in d]
+        return pa.table([a["id"].cast(pa.int64()), pa.array([float(row[i]) for row, i in zip(d, at, strict=True)]), b["to"].take(pa.array(at)).cast(pa.int64())], names=["id", "d", "to"])
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "id long, d double, to long")
+
+
 def merge_smallest(labels: DataFrame, vectors: DataFrame, voters: int = 20, percent: float = 25.0, ratio: float = 0.1, threshold: float | None = None, force: bool = False) -> tuple[DataFrame, bool]:
     """(labels (id, niche), whether anything merged): the smallest niche (of equals the lowest) dissolved into a neighbour.
 
@@ -322,8 +345,7 @@ def merge_smallest(labels: DataFrame, vectors: DataFrame, voters: int = 20, perc
     rows = labels.join(vectors.select("id", F.col("vector").cast("array<double>").alias("v")), "id")
     inside = rows.where(F.col("niche") == s["gone"]).select("id", "v")
     outside = rows.where(F.col("niche") != s["gone"]).select(F.col("niche").alias("to"), F.col("v").alias("w"))
-    d2 = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    nearest_ = inside.crossJoin(outside).select("id", d2.alias("d"), "to").groupBy("id").agg(F.min(F.struct("d", "to")).alias("m"))
+    nearest_ = _nearest_outside(inside, outside).groupBy("id").agg(F.min(F.struct("d", "to")).alias("m"))
     votes = nearest_.select("m.*").orderBy("d", "to").limit(max(1, min(voters, s["least"]))).groupBy("to").agg(F.count("*").alias("n"))
     into = votes.agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("into")).first()["into"]
     return labels.select("id", F.when(F.col("niche") == s["gone"], F.lit(into)).otherwise(F.col("niche")).alias("niche")), True

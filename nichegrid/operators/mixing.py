@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nichegrid.operators.graph import SAMPLE, both_ways
+from nichegrid.functions.lineage import written
+from nichegrid.operators.graph import SAMPLE, TILE, both_ways, largest_sample
 
 NAN = float("nan")
 
@@ -67,13 +72,51 @@ def assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return coefficient(mixing_matrix(edges, nodes, normalized=True))
 
 
-def permutations(edges: DataFrame, nodes: DataFrame, n_shuffle: int, seed: int = 0) -> DataFrame:
+_RANDOM = "patient string, sample string, rep int, a string, b string, value double"
+
+
+def _in_samples(edges: DataFrame, nodes: DataFrame, n_shuffle: int, seed: int) -> DataFrame:
+    """Rows of _RANDOM, a task a sample; only label-by-label shares leave it."""
+
+    def shuffled(n: pa.Table, e: pa.Table) -> pa.Table:
+        n = n.sort_by("node_id")
+        if not n.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())], names=["patient", "sample", "rep", "a", "b", "value"])
+        ids, label = n["node_id"].to_numpy(), n["phenotype"].combine_chunks().dictionary_encode()
+        if isinstance(label, pa.ChunkedArray):
+            label = label.combine_chunks()
+        code, names = label.indices.fill_null(-1).to_numpy(), label.dictionary
+        ends = np.stack([e[c].to_numpy() for c in ("source", "target")])
+        ends = ends[:, np.isin(ends, ids).all(0)]
+        i, j = np.searchsorted(ids, ends)
+        own = [n[c][0].as_py() for c in SAMPLE]
+        rng = np.random.default_rng([seed, *(zlib.crc32(f"{x is None}{x}".encode()) for x in own)])
+        k, out = len(names), []
+        for rep in range(n_shuffle):
+            given = code[rng.permutation(len(code))]
+            a, b = given[i], given[j]
+            known = (a >= 0) & (b >= 0)
+            count = np.bincount(a[known] * k + b[known], minlength=k * k).reshape(k, k) if k else np.zeros((0, 0))
+            count = count + count.T
+            x, y = np.nonzero(count)
+            out.append((np.full(len(x), rep, np.int32), x, y, count[x, y] / max(1, count.sum())))
+        rep, x, y, value = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([pa.array([own[0]] * len(rep), pa.string()), pa.array([own[1]] * len(rep), pa.string()), rep, names.take(pa.array(x)), names.take(pa.array(y)), value], names=["patient", "sample", "rep", "a", "b", "value"])
+
+    right = edges.select(*(F.col(c).alias(c) for c in (*SAMPLE, "source", "target")))
+    return nodes.select(*SAMPLE, "node_id", "phenotype").groupBy(*SAMPLE).cogroup(right.groupBy(*SAMPLE)).applyInArrow(shuffled, _RANDOM)
+
+
+def permutations(edges: DataFrame, nodes: DataFrame, n_shuffle: int, seed: int = 0, tile: int = TILE) -> DataFrame:
     """(patient, sample, rep, a, b, value): the normalised matrices of n_shuffle random labellings.
 
-    Labels, missing ones included, are permuted over the nodes of their sample: each repetition orders nodes by a hash
-    of (seed, repetition, node), and gives the i-th node in that order the label of the i-th node. No task holds a
-    sample's graph: it is a window and two joins for all samples and repetitions at once.
+    Labels, missing ones included, are permuted over the nodes of their sample. If all samples have at most `tile` nodes,
+    each is one task's. Else each repetition orders nodes by a hash
+    of (seed, repetition, node), and gives the i-th node in that order the label of the i-th node: no task holds a
+    sample's graph, it is a window and two joins for all samples and repetitions at once.
     """
+    if largest_sample(nodes) <= tile:
+        return _in_samples(edges, nodes, n_shuffle, seed)
     labels = nodes.select(*SAMPLE, "node_id", "phenotype")
     place = W.partitionBy(*SAMPLE).orderBy("node_id")
     ranked = labels.select(*(F.col(c).alias(f"_{c}") for c in SAMPLE), F.row_number().over(place).alias("_place"), "phenotype")
@@ -108,7 +151,7 @@ def zscores(edges: DataFrame, nodes: DataFrame, n_shuffle: int, seed: int = 0) -
     value = observed.select(*SAMPLE, "a", "b", F.col("value").alias("observed"))
     total = coefficient(observed).select(*SAMPLE, F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.col("assortativity").alias("observed"))
     if n_shuffle:
-        random = permutations(edges, nodes, n_shuffle, seed)
+        random = written(permutations(edges, nodes, n_shuffle, seed))
         cells = random.groupBy(*SAMPLE, "a", "b").agg(*_moments(F.col("value"), n_shuffle))
         by_rep = coefficient(random.select(F.struct(*SAMPLE, "rep").alias("patient"), F.lit(None).alias("sample"), "a", "b", "value")).select("patient.*", "assortativity")
         coefs = by_rep.groupBy(*SAMPLE).agg(F.avg("assortativity").alias("mean"), F.stddev_pop("assortativity").alias("std"))

@@ -77,6 +77,18 @@ def test_statistics(cohort, edges):
     assert none["assort MEAN"].isna().all() and (none["type 1 - type 0 MEAN"] == 0).all()
 
 
+def test_random_labellings_by_sample_and_by_joins(cohort, edges):
+    """Both keep the labels' numbers and have about the same mean and deviation of the coefficient."""
+    found = []
+    for tile in (1000, 10):
+        random = mixing.permutations(edges, cohort, 60, tile=tile).cache()
+        assert all(r["s"] == pytest.approx(1) for r in random.groupBy("patient", "rep").agg({"value": "sum"}).withColumnRenamed("sum(value)", "s").collect())
+        a = [r["assortativity"] for r in mixing.coefficient(random.selectExpr("struct(patient, rep) as patient", "null as sample", "a", "b", "value")).collect()]
+        assert len(a) == 120
+        found.append((np.mean(a), np.std(a)))
+    assert found[0][0] == pytest.approx(found[1][0], abs=0.03) and found[0][1] == pytest.approx(found[1][1], rel=0.35)
+
+
 def test_mixing_is_symmetric(cohort, edges):
     m = {(r["patient"], r["a"], r["b"]): r["value"] for r in mixing.mixing_matrix(edges, cohort, normalized=True).collect()}
     assert all(m[p, b, a] == pytest.approx(v) for (p, a, b), v in m.items())
