@@ -34,7 +34,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to twice; one that is taken in part comes whole.
 
-    A document of which the mix takes no word leaves.
+    A document of which the mix takes no word leaves. Rows that share an id, null ones too, come as often as the one
+    that is taken most often.
     """
     taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("_times")).where("_times > 0")
     taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
@@ -55,7 +56,8 @@ STAGES = [
     ("SentencePiece encoding", token_ids),
 ]
 
-#: The classifier and the tokenizer can't be put in SQL; tests/llm hold the stages against brute force.
+#: The classifier and the tokenizer can't be put in SQL; tests/llm/test_pipeline.py holds the stages
+#: against plain Python.
 ORACLE_SQL = None
 
 
