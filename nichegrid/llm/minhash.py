@@ -173,8 +173,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     - Tried pairs must agree in AGREE coordinates and fit in size, and then pass on their full sets.
 
     Texts without words, null ones too, have an empty set and link with nothing. A null id has a null component, is
-    kept and links nothing. Repeated rows of one id have equal results, if their texts are equal. Empty tables give
-    no rows.
+    kept and links nothing. Repeated rows of one id have equal results, if their texts are equal. A very long text is
+    hashed in stretches; its set travels as 8 bytes a shingle. Other columns of docs, whatever their names, are not
+    read. Empty tables give no rows.
     """
     docs = docs.select(id_col, text_col)
     rows = cut(signatures(docs, words, id_col, text_col))

@@ -106,7 +106,8 @@ def pack(docs: DataFrame, ranks: str, end_id: int | None = 50256, pad_id: int =
     Packing goes by windows of about `window_tokens` ids of one task's documents, so that no shuffle is needed and
     memory is bounded; a document that is longer fills a window alone. pack is the task's number and a count; a
     repeated task packs alike. Null texts are empty; without end_id, documents without ids take no place. Repeated rows
-    are packed each; an empty table gives no rows. `ranks` is the path of a vocabulary file, read by the driver and
+    are packed each; an empty table gives no rows; other columns of docs are not read. `ranks` is the path of a
+    vocabulary file, read by the driver and
     broadcast.
     """
     with open(ranks, "rb") as f:

@@ -155,7 +155,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrink:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     The texts are read once: their statistics are written to the shared folder, the model is fitted on all labelled
-    rows that aren't held out, and all rows are scored. A null doc_id is never held out; empty tables give no rows.
+    rows that aren't held out, and all rows are scored. A null doc_id is never held out, a null text is empty, equal
+    texts have equal scores, and repeated rows stay. A very long text is worked off in stretches, some bytes a word.
+    Only doc_id and text of docs are read, whatever other columns are called. Empty tables give no rows.
     """
     stats = cut(features(docs))
     rows = score(stats, fit(stats, labels, shrink))

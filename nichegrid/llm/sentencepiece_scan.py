@@ -324,7 +324,7 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
     model is the path of a SentencePiece model, read by the driver and broadcast (its size is that of a vocabulary
     file). Null is an empty text; an empty text is a lone leading space. Of equally good segmentations either may
     come. Texts of more than `giant` characters are split into chunks of `chunk`, on which tasks work independently;
-    repeated rows stay; an empty table gives no rows.
+    repeated rows stay; other columns of docs are not read; an empty table gives no rows.
     """
     v = Vocabulary.load(model)
     if chunk <= v.longest:

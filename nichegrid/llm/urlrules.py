@@ -117,7 +117,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_co
     """(id, host, path, rule, verdict) for every row: the longest fitting rule's verdict, else `default`.
 
     Rows stay as they are, repeated ones too; a null or unparsable URL has an empty host and path, no rule and the
-    default verdict. Of equally long rules the earlier one counts. One pass, no shuffle; other columns aren't read.
+    default verdict. Of equally long rules the earlier one counts. A very long URL takes a step for each of its bytes.
+    One pass, no shuffle; other columns aren't read, whatever their names. An empty table gives no rows.
     """
     machine = ShiftAnd([pattern(r) for r in rules])
     best = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))

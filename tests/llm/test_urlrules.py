@@ -47,3 +47,10 @@ def test_edge_cases(spark):
     assert len(urlrules.judge(pages, RULES).collect()) == 3
     assert urlrules.judge(pages.limit(0), RULES).collect() == []
     assert {r["verdict"] for r in urlrules.judge(pages, [], "block").collect()} == {"block"}
+
+
+def test_very_long_urls(spark):
+    long = "http://www.example.com/en/" + "x/" * 20_000
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "a." * 5000 + "net/es/"), (3, "x" * 50_000)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"]), len(r["path"])) for r in urlrules.judge(pages, RULES).collect()}
+    assert got == {1: ("www.example.com/en/", "allow", 15, 40_004), 2: ("net/es/", "block", 10_003, 4), 3: (None, "allow", 0, 0)}
