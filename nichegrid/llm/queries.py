@@ -23,7 +23,7 @@ RULES = (
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chaining.passages(table(spark, sf_dir, "documents")).drop("k")
+    return chaining.passages(table(spark, sf_dir, "documents"), within=False).drop("k")  # passages that documents share
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
