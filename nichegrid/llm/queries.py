@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.llm import chaining, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
+from nichegrid.llm import chaining, linerules, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
 from nichegrid.llm.common import LOWER, UPPER, table
 
 #: Vocabulary files of public tokenizers.
@@ -63,6 +63,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -74,10 +78,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 _FOLD = f"'{UPPER}', '{LOWER}'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 ORACLE_SQL: dict[str, str] = {
     # full sets, all pairs that share a shingle, and the closure of their links
     "op3_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_WORDS}) AS w FROM documents),
@@ -117,4 +128,25 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op12_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, {_WORDS}) AS w FROM d),
+windows AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeated, range(5) g(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM d),
+f AS (SELECT r, line, translate(line, {_FOLD}) AS low, len(regexp_extract_all(line, {_WORDS})) AS lw, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS lc,
+    row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again, len(regexp_extract_all(line, {_literal(linerules.SYMBOLS)})) AS symbols,
+    len(regexp_extract_all(line, {_literal(linerules.BORDER)})) AS borders, len(regexp_extract_all(line, {_literal(linerules.SHOUTS)})) AS shouts
+  FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+v AS (SELECT *, CASE WHEN again THEN 'boilerplate'
+    WHEN borders >= 2 AND 4 * borders >= lw OR lw <= 40 AND regexp_matches(low, {_literal(linerules.NAVIGATION)}) THEN 'navigation'
+    WHEN lw <= 40 AND regexp_matches(low, {_literal(linerules.BOILERPLATE)}) THEN 'boilerplate'
+    WHEN shouts >= 2 AND 4 * shouts >= lw OR CASE WHEN lw < 10 THEN NOT regexp_matches(line, {_literal(linerules.END)}) ELSE NOT regexp_matches(line, {_literal(linerules.PAUSE)}) END THEN 'punctuation' END AS rule FROM f),
+s AS (SELECT r, sum(lc) AS word_chars, sum(symbols) AS n_symbols, count_if(again) AS n_dup_lines, count(*) AS n_lines, count_if(rule = 'punctuation') AS n_punctuation,
+    count_if(rule = 'navigation') AS n_navigation, count_if(rule = 'boilerplate') AS n_boilerplate, sum(CASE WHEN rule IS NULL THEN 0 ELSE lc END) AS removed_chars FROM v GROUP BY r),
+o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(coalesce(n_symbols, 0) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(w) AS base_failed, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_punctuation, 0) AS BIGINT) AS n_punctuation,
+    CAST(coalesce(n_navigation, 0) AS BIGINT) AS n_navigation, CAST(coalesce(n_boilerplate, 0) AS BIGINT) AS n_boilerplate, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars
+  FROM d JOIN w USING (r) LEFT JOIN covered USING (r) LEFT JOIN s USING (r))
+SELECT *, NOT base_failed AND 100 * removed_chars <= 50 * word_chars AS kept FROM o""",
 }
