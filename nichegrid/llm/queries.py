@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.llm import chaining, linerules, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
+from nichegrid.llm import chaining, conversations, linerules, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
 from nichegrid.llm.common import LOWER, UPPER, table
 
 #: Vocabulary files of public tokenizers.
@@ -67,6 +67,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.clean(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_quality_rules": op12_quality_rules,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _FOLD = f"'{UPPER}', '{LOWER}'"
@@ -149,4 +154,32 @@ o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word_chars
     CAST(coalesce(n_navigation, 0) AS BIGINT) AS n_navigation, CAST(coalesce(n_boilerplate, 0) AS BIGINT) AS n_boilerplate, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars
   FROM d JOIN w USING (r) LEFT JOIN covered USING (r) LEFT JOIN s USING (r))
 SELECT *, NOT base_failed AND 100 * removed_chars <= 50 * word_chars AS kept FROM o""",
+    # crc32 bit by bit, and the cheapest edits row by row: of each state of the pattern the least (cost, audit)
+    "op13_conversation_repair": f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+c AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(key) + 1), lambda i: CAST(ascii(decode(key[i:i])) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, 3988292384 * (x % 2)))), 4294967295) % 20 AS k FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) FROM c WHERE k <> 0),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r),
+best(conv_id, i, q, b) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'turns': CAST([] AS VARCHAR[])}} FROM f
+  UNION ALL
+  SELECT conv_id, i, q, min({{'cost': cost, 'audit': audit, 'turns': turns}}) FROM (
+    SELECT s.conv_id, f.i, CASE WHEN e = 'D' THEN p.q ELSE CASE WHEN p.q = 0 AND e = 'K' AND left(f.role, 1) = 's' THEN 1 WHEN p.q = 2 THEN 3 ELSE 2 END END AS q,
+      s.b.cost + 3 * p.n + CASE e WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN e <> 'D' AND fault = 't' THEN 3 ELSE 0 END AS cost, s.b.audit || repeat('I', p.n) || e AS audit,
+      s.b.turns || p.turns || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE WHEN p.q = 2 THEN 'assistant' ELSE 'user' END || ':' || f.text] END AS turns
+    FROM best s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1
+    JOIN (VALUES (0, 0, 0, CAST([] AS VARCHAR[])), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']), (3, 1, 2, ['user:']),
+      (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 2, 3, ['user:', 'assistant:'])) p(q0, n, q, turns) ON p.q0 = s.q
+    JOIN (VALUES ('D'), ('K'), ('R')) edits(e) ON e = 'D' OR fault NOT IN ('b', 'd') AND (e = 'R' OR left(f.role, 1) = CASE WHEN p.q = 2 THEN 'a' ELSE 'u' END OR p.q = 0 AND left(f.role, 1) = 's'))
+  GROUP BY ALL),
+n AS (SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+    count_if(before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS i FROM f GROUP BY conv_id),
+done AS (SELECT best.conv_id, min({{'cost': b.cost + 3 * len(t), 'audit': b.audit || repeat('I', len(t)), 'turns': b.turns || t}}) AS b FROM best JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id AND n.i = best.i
+    JOIN (VALUES (0, CAST([] AS VARCHAR[])), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])) z(q0, t) ON z.q0 = q GROUP BY best.conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
