@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.llm import chaining, conversations, linerules, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
+from nichegrid.llm import chaining, conversations, lexical, linerules, media, minhash, mixing, packing, quality, sentencepiece_scan, suffixes, topk, urlrules
 from nichegrid.llm.common import LOWER, UPPER, table
 
 #: Vocabulary files of public tokenizers.
@@ -63,6 +63,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.clean(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -82,11 +86,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_lexical_search": op11_lexical_search,
     "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 _FOLD = f"'{UPPER}', '{LOWER}'"
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
@@ -133,6 +139,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op11_lexical_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {_FOLD}), {_TERMS}) AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_FOLD}), {_TERMS})) AS term FROM benchmark),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN n USING (r), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
     "op12_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, {_WORDS}) AS w FROM d),
 windows AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
