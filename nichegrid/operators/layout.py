@@ -151,7 +151,7 @@ def ranked(nodes: DataFrame) -> DataFrame:
     return part.select("node", "part", place.alias("place")).join(before, "part").select("node", (F.col("before") + F.col("place")).alias("rank"))
 
 
-def umap(vectors: DataFrame, neighbours: int = 15, dimensions: int = 2, metric: str = "euclidean", min_dist: float = 0.1, epochs: int | None = None, seed: int = 42) -> DataFrame:
+def umap(vectors: DataFrame, neighbours: int = 15, dimensions: int = 2, metric: str = "euclidean", min_dist: float = 0.1, epochs: int | None = None, seed: int = 42, search: str = "exact") -> DataFrame:
     """(node, p) of rows (id, vector): neighbours, fuzzy graph, principal components as a start, rounds of forces.
 
     `neighbours` counts the row itself. Fewer than three rows keep their start. By default there are 500 rounds for up to
@@ -163,6 +163,6 @@ def umap(vectors: DataFrame, neighbours: int = 15, dimensions: int = 2, metric:
         return place
     if epochs is None:
         epochs = 500 if n <= 10_000 else 200
-    graph = written(fuzzy_graph(written(nearest(vectors, neighbours - 1, metric))))
+    graph = written(fuzzy_graph(written(nearest(vectors, neighbours - 1, metric, search=search, seed=seed))))
     a, b = curve(1.0, min_dist)
     return optimize(graph, place, epochs, a, b, dimensions, seed=seed)

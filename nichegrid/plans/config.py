@@ -12,7 +12,7 @@ import yaml
 from nichegrid.sources.cohorts import extension
 
 STATISTICS = {"np.mean": ("mean",), "np.mean,np.std": ("mean", "std")}
-CLUSTERERS, METRICS = ("leiden", "gmm", "spectral"), ("euclidean", "manhattan", "cosine")
+CLUSTERERS, METRICS, SEARCHES = ("leiden", "gmm", "spectral"), ("euclidean", "manhattan", "cosine"), ("exact", "descent")
 
 
 class ConfigError(ValueError):
@@ -137,6 +137,7 @@ class NicheConfig:
     normalize: tuple[str, ...] = ("total",)
     seed: int = 42
     per_sample: bool = False
+    search: str = "exact"
     extra: dict[str, Any] = field(default_factory=dict, compare=False, hash=False)
 
     @staticmethod
@@ -150,6 +151,9 @@ class NicheConfig:
         clusterer = str(d.get("clusterer", "leiden")).lower()
         if clusterer in ("ecg", "hdbscan"):
             raise ConfigError(f"niches: clusterer {clusterer} is not available")
+        search = str(d.get("search", "exact")).lower()
+        if search not in SEARCHES:
+            raise ConfigError(f"niches: search must be one of {', '.join(SEARCHES)}, not {search!r}")
         how = str(d.get("normalize", "total")).lower()
         columns = d.get("columns", ["phenotype"])
         columns = tuple([columns] if isinstance(columns, str) else map(str, columns))
@@ -158,7 +162,7 @@ class NicheConfig:
             columns, whole("order", 1, 0), STATISTICS[stats], truth(d.get("reduce", True)),
             metric if metric in METRICS else "euclidean", max(2, whole("n_neighbors", 15, 0)), whole("dimensions", 2, 1), None if d.get("epochs") is None else whole("epochs", None, 0), _number(d.get("min_dist", 0.0), "niches: min_dist", 0),
             clusterer if clusterer in CLUSTERERS else "leiden", whole("k_cluster", 8, 1), whole("n_clusters", 15, 1), _number(d.get("resolution", 0.005), "niches: resolution", 0),
-            expand(how) if how == "all" or how in NORMALIZATIONS else ("total",), whole("seed", 42, 0), truth(d.get("per_sample", False)),
+            expand(how) if how == "all" or how in NORMALIZATIONS else ("total",), whole("seed", 42, 0), truth(d.get("per_sample", False)), search,
             {k: v for k, v in d.items() if k not in NicheConfig.__dataclass_fields__},
         )
 
@@ -172,6 +176,8 @@ class NicheConfig:
         """What each stage's result depends on, the stages before it included."""
         features = {"columns": list(self.columns), "order": self.order, "statistics": list(self.statistics)}
         reduction = {"reduce": self.reduce} | ({"metric": self.metric, "n_neighbors": self.n_neighbors, "dimensions": self.dimensions, "epochs": self.epochs, "min_dist": self.min_dist, "seed": self.seed} if self.reduce else {})
+        if self.search != "exact":
+            reduction["search"] = self.search
         own = {"leiden": {"k_cluster": self.k_cluster, "resolution": self.resolution}, "gmm": {"n_clusters": self.n_clusters}, "spectral": {"n_clusters": self.n_clusters}}
         return {"features": features, "reduction": reduction, "clustering": {"clusterer": self.clusterer, "seed": self.seed} | own[self.clusterer]}
 

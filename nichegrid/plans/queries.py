@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.functions import scalars
 from nichegrid.functions.lineage import written
-from nichegrid.operators import agreement, clustering, composition, delaunay, features, graph, layout, mixing, vectors
+from nichegrid.operators import agreement, clustering, composition, delaunay, descent, features, graph, layout, mixing, vectors
 from nichegrid.sources.cohorts import cohort, customers, infer, parts, sample_index
 
 K = 3
@@ -150,6 +150,19 @@ def knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(agreement.overlap(vectors.nearest(rows, 10), vectors.nearest(low, 10), 10))
 
 
+def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of neighbour descent, and whether 95 % of their entries are among the nearest."""
+    near = written(vectors.nearest(_vectors(spark, sf_dir), 10, search="descent"))
+    exact = vectors.nearest(_vectors(spark, sf_dir), 10).select("source", "target", F.lit(True).alias("hit"))
+    return near.join(exact, ["source", "target"], "left").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("entries"), (F.count("hit") >= 0.95 * F.count("*")).alias("reached"))
+
+
+def forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the leaves of four trees of random planes, and whether none holds over 64."""
+    leaves = descent.forest(_vectors(spark, sf_dir), 4, 64).groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return leaves.groupBy("tree").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), (F.max("n") <= 64).alias("bounded"))
+
+
 def fuzzy_simplicial_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vectors.fuzzy_graph(written(vectors.nearest(_vectors(spark, sf_dir), 14))))
 
@@ -289,6 +302,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_classes": feature_classes,
     **{f"knn_vectors_{m}": _knn_vectors(m) for m in vectors.METRICS},
     "knn_overlap": knn_overlap,
+    "knn_descent": knn_descent,
+    "forest_leaves": forest_leaves,
     "fuzzy_simplicial_set": fuzzy_simplicial_set,
     "pca_projection": pca_projection,
     "gmm_diag": gmm_diag,
@@ -469,6 +484,8 @@ UNION ALL SELECT 'p_size', count(DISTINCT p_size), count(DISTINCT p_size) <= 32
 UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice), count(DISTINCT p_retailprice) <= 32 AND bool_and(p_retailprice % 1 = 0) FROM part""",
     "inferred_types": "SELECT count(*) AS n_rows, 'bigint' AS c_custkey, 'string' AS c_name, 'bigint' AS c_nationkey, 'double' AS c_acctbal, 'string' AS c_mktsegment FROM customer",
     **{f"knn_vectors_{m}": f"WITH {_knn_sql(m, 5)} SELECT source, target, round(distance, 6) AS distance, rank FROM near" for m in vectors.METRICS},
+    "knn_descent": f"WITH {_knn_sql('euclidean', 10)} SELECT count(DISTINCT source) AS sources, count(*) AS entries, true AS reached FROM near",
+    "forest_leaves": "SELECT CAST(t AS INTEGER) AS tree, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, true AS bounded FROM embeddings, range(4) r(t) GROUP BY t",
     "knn_overlap": f"""WITH high AS (WITH {_knn_sql("euclidean", 10)} SELECT source, target FROM near), low AS (WITH {_knn_sql("euclidean", 10, "CAST(embedding AS DOUBLE[])[1:16]")} SELECT source, target FROM near)
 SELECT round(count(l.source) / (10.0 * count(DISTINCT h.source)), 6) AS share FROM high h LEFT JOIN low l ON h.source = l.source AND h.target = l.target""",
     "knn_components": f"""WITH RECURSIVE {_knn_sql("euclidean", 1)}, ways AS (SELECT source AS a, target AS b FROM near UNION SELECT target, source FROM near),

@@ -67,7 +67,7 @@ def cluster(rows: DataFrame, config: NicheConfig) -> DataFrame:
         return clustering.gaussian_mixture(rows, config.n_clusters, config.seed)[0]
     if config.clusterer == "spectral":
         return clustering.spectral(rows, config.n_clusters, config.seed)
-    near = clustering.neighbour_graph(vectors.nearest(rows, config.k_cluster))
+    near = clustering.neighbour_graph(vectors.nearest(rows, config.k_cluster, search=config.search, seed=config.seed))
     return clustering.communities(written(near), rows.select(F.col("id").alias("node")), config.resolution, 0).withColumnRenamed("node", "id")
 
 
@@ -86,7 +86,7 @@ def reduction_stage(table: DataFrame, config: NicheConfig) -> DataFrame:
     c = config.within(table.count())
     if not c.reduce:
         return rows
-    return layout.umap(written(rows), c.n_neighbors, c.dimensions, c.metric, c.min_dist, c.epochs, c.seed).select(F.col("node").alias("id"), F.col("p").alias("vector"))
+    return layout.umap(written(rows), c.n_neighbors, c.dimensions, c.metric, c.min_dist, c.epochs, c.seed, c.search).select(F.col("node").alias("id"), F.col("p").alias("vector"))
 
 
 def cluster_stage(table: DataFrame, rows: DataFrame, config: NicheConfig) -> DataFrame:
