@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,8 +143,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
-#: Nodes of a graph whose communities one task finds; larger ones take some Spark jobs a sweep.
-ONE_TASK = 1 << 16
+#: Nodes of a coarse graph, whose communities one task finds; satellites that an anchor takes in a round of coarsening.
+BLOCK, SATELLITES = 1024, 4
 
 
 def moved(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int, iterations: int = 2) -> np.ndarray:
@@ -235,67 +235,132 @@ def moved(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float
     return label
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, sweeps: int = 1000, levels: int = 64, one_task: int = ONE_TASK) -> DataFrame:
+def _ways(links: DataFrame) -> DataFrame:
+    """(a, b, w) in both directions, loops once."""
+    return links.select("a", "b", "w").union(links.where("a <> b").select("b", "a", "w"))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    """(node, k): sums of weights, loops twice."""
+    ends = links.select(F.col("a").alias("node"), "w").union(links.select(F.col("b").alias("node"), "w"))
+    return ends.groupBy("node").agg(F.sum("w").alias("k"))
+
+
+def _merged(links: DataFrame, to: DataFrame) -> DataFrame:
+    """The links between what the nodes of (node, to) have become, loops included."""
+    up = links.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+    return written(up.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+
+
+def _before(part: str, order: tuple) -> Column:
+    """Sum of k over the rows of a part that come before in some order."""
+    return F.coalesce(F.sum("k").over(W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+
+
+def coarsened(links: DataFrame, price: float, salt: int) -> DataFrame | None:
+    """(node, to): nodes joined with an anchor whose link raises modularity; None if no link would.
+
+    A hash makes every third node an anchor. Any other asks the best of its anchors, if that gains half as much as its best
+    neighbour; an anchor takes SATELLITES at most, the best first, each of which must still gain with those before it.
+    """
+    degree = _degrees(links)
+    k = lambda end: degree.select(F.col("node").alias(end), F.col("k").alias(f"k{end}"))
+    gains = written(_ways(links.where("a <> b")).join(k("a"), "a").join(k("b"), "b").select("a", "b", F.col("ka").alias("k"), "kb", (F.col("w") - price * F.col("ka") * F.col("kb")).alias("gain")).where("gain > 1e-12"))
+    if gains.isEmpty():
+        return None
+    anchor = lambda end: F.pmod(F.xxhash64(F.lit(salt), end), F.lit(3)) == 0
+    best = gains.withColumn("most", F.max("gain").over(W.partitionBy("a"))).where(~anchor("a") & anchor("b") & (F.col("gain") >= F.col("most") / 2))
+    asked = best.groupBy("a").agg(F.max_by(F.struct("b", "k", "gain"), F.struct(F.round("gain", 12), F.xxhash64("b"))).alias("m")).select("a", "m.*")
+    order = (F.desc(F.round("gain", 12)), F.xxhash64("a"))
+    taken = asked.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(*order))).where(F.col("place") <= SATELLITES)
+    taken = taken.withColumn("before", _before("b", order)).where(F.col("gain") - price * F.col("k") * F.col("before") > 0)
+    moves = taken.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    return written(degree.select("node").join(moves, "node", "left").select("node", F.coalesce("to", "node").alias("to")))
+
+
+def refined(ways: DataFrame, degree: DataFrame, place: DataFrame, price: float, sweeps: int, salt: int) -> tuple[DataFrame, bool]:
+    """((node, to), whether any moved): nodes moved to the neighbouring community with the largest gain until none gains.
+
+    In a sweep only nodes move that gain more than each neighbour which would move too (ties by hash), and only while they
+    gain with all those counted that come before them into their new community or out of their old one, so that every sweep
+    raises modularity, and the node that gains most always moves.
+    """
+    own = written(degree.join(place, "node").select("node", "k", F.col("to").alias("c")))
+    any_moved = False
+    for sweep in range(sweeps):
+        weight = own.groupBy("c").agg(F.sum("k").alias("kc"))
+        to = ways.where("a <> b").join(own.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
+        options = to.union(own.select("node", "c", F.lit(0.0))).groupBy("a", "to").agg(F.sum("w").alias("w"))
+        options = options.join(own.select(F.col("node").alias("a"), "k", F.col("c").alias("now")), "a").join(weight.withColumnRenamed("c", "to"), "to")
+        here = F.col("to") == F.col("now")
+        gain = F.col("w") - price * F.col("k") * (F.col("kc") - F.when(here, F.col("k")).otherwise(0.0))
+        best = options.select("a", "k", "now", "to", here.alias("here"), gain.alias("gain")).groupBy("a", "k", "now").agg(F.max_by("to", F.struct("gain", "here", F.xxhash64("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("here"), F.col("gain"))).alias("stay"))
+        rank = F.struct(F.round(F.col("gain") - F.col("stay"), 12).alias("gain"), F.xxhash64(F.lit(salt + sweep), "a").alias("h"))
+        movers = written(best.where("to <> now AND gain - stay > 1e-9").select(F.col("a").alias("node"), "k", "now", "to", rank.alias("rank")))
+        if movers.isEmpty():
+            return own.select("node", F.col("c").alias("to")), any_moved
+        end = lambda name: movers.select(F.col("node").alias(name), F.col("rank").alias(f"r{name}"))  # noqa: B023, E731
+        beaten = ways.where("a <> b").join(end("a"), "a").join(end("b"), "b").where("rb > ra").select(F.col("a").alias("node")).distinct()
+        free = movers.join(beaten, "node", "left_anti")
+        order = (F.desc("rank"),)
+        kept = free.withColumn("before", _before("to", order) + _before("now", order)).where(F.col("rank.gain") - price * F.col("k") * F.col("before") > 0)
+        own = written(own.join(kept.select("node", F.col("to").alias("new")), "node", "left").select("node", "k", F.coalesce("new", "c").alias("c")))
+        any_moved = True
+    raise RuntimeError(f"nodes still move after {sweeps} sweeps")
+
+
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, sweeps: int = 1000, levels: int = 64, block: int = BLOCK) -> DataFrame:
     """(node, niche): communities of a weighted graph (a, b, weight) that raise modularity with a resolution.
 
-    A graph of at most `one_task` nodes is one task's, node by node (`moved`). A larger one goes level by level: nodes
-    move to the neighbouring community with the largest gain; in a sweep only the half of the
-    nodes that a hash of (seed, sweep, node) picks moves, so that neighbours don't swap places. Then communities that
-    aren't connected are split, each becomes a node of the next level, and links within it a loop. Sweeps go on until no
-    node of either half has a move that helps, levels until the number of nodes stops shrinking; sweeps and levels are
-    guards, and reaching one is an error. Every sweep is a few joins and aggregates over the links; only counts come to
-    the driver.
+    Linked nodes are joined until a coarse graph has `block` nodes at most, or no join would raise modularity; one task finds
+    the coarse graph's communities node by node (`moved`); then nodes of the whole graph move between them until none gains.
+    This is repeated with the communities as nodes until nothing changes; communities that aren't connected are split at
+    last. Every step is a few joins and aggregates over the links; only counts come to the driver. `sweeps` and `levels` are
+    guards, and reaching one is an error. Nodes without links are communities of their own.
     """
-    if nodes.count() <= one_task:
-        rows = edges.select("a", "b", F.col("weight").cast("double").alias("w")).union(nodes.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w")))
-
-        def solve(t: pa.Table) -> pa.Table:
-            t = t.select(["a", "b", "w"])
-            ids = np.unique(t.filter(pc.is_null(t["b"]))["a"].to_numpy())
-            links = t.filter(pc.is_valid(t["b"])).sort_by([("a", "ascending"), ("b", "ascending")])
-            a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
-            return pa.table([ids, moved(len(ids), a, b, links["w"].to_numpy(), resolution, seed)], names=["node", "niche"])
-
-        return relabelled(written(rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(solve, "node long, niche long")))
-    links = written(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
+    links = written(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w")))
     total = links.agg(F.sum("w")).first()[0]
-    place = nodes.select("node", F.col("node").alias("c"))
+    alone = nodes.select("node", F.col("node").alias("c"))
     if not total:
-        return relabelled(place.select("node", F.col("c").alias("niche")))
-    place = written(place)
-    level_nodes = place.select("node")
+        return relabelled(alone.select("node", F.col("c").alias("niche")))
+    price = resolution / (2 * total)
+    ways, degree = written(_ways(links)), written(_degrees(links))
+    place = written(degree.select("node", F.col("node").alias("to")))
+
+    def onward(place: DataFrame, to: DataFrame) -> DataFrame:
+        return written(place.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+
+    def solve(t: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]))
+        t = t.sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b = (np.searchsorted(ids, t[c].to_numpy()) for c in ("a", "b"))
+        label = moved(len(ids), a, b, t["w"].to_numpy(), resolution, seed)
+        first = np.zeros(int(label.max(initial=0)) + 1, np.int64)
+        first[label[::-1]] = ids[::-1]  # a community has the name of its first node
+        return pa.table([pa.array(ids), pa.array(first[label])], names=["node", "to"])
+
+    size = place.count()
     for level in range(levels):
-        ways = written(links.select("a", "b", "w").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-        degree = written(level_nodes.join(ways.select("a", F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w")).alias("w")).groupBy("a").agg(F.sum("w").alias("k")), F.col("node") == F.col("a"), "left").select("node", F.coalesce("k", F.lit(0.0)).alias("k")))
-        own = written(degree.select("node", "k", F.col("node").alias("c")))
-        for sweep in range(sweeps):
-            weight = own.groupBy("c").agg(F.sum("k").alias("kc"))
-            to = ways.where("a <> b").join(own.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
-            stay = own.select(F.col("node").alias("a"), F.col("c").alias("to"), F.lit(0.0).alias("w"))
-            options = to.union(stay).groupBy("a", "to").agg(F.sum("w").alias("w")).join(own.select(F.col("node").alias("a"), "k", F.col("c").alias("now")), "a").join(weight.withColumnRenamed("c", "to"), "to")
-            others = F.col("kc") - F.when(F.col("to") == F.col("now"), F.col("k")).otherwise(0.0)
-            gain = F.col("w") - F.lit(resolution / (2 * total)) * F.col("k") * others
-            best = options.select("a", "to", "now", F.round(gain, 12).alias("gain")).groupBy("a").agg(F.max(F.struct("gain", (F.col("to") == F.col("now")).alias("here"), (-F.col("to")).alias("x"))).alias("m"))
-            turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(sweep), "a"), F.lit(2)) == 0
-            best = written(best.where(~F.col("m.here")))
-            if best.isEmpty():
+        coarse, to = _merged(links, place), place
+        n = size
+        for turn in range(levels):
+            if n <= block or (step := coarsened(coarse, price, seed * 1_000_003 + level * 1009 + turn)) is None:
                 break
-            moves = best.where(turn).select(F.col("a").alias("node"), (-F.col("m.x")).alias("new"))
-            own = written(own.join(moves, "node", "left").select("node", "k", F.coalesce("new", "c").alias("c")))
+            to, coarse = onward(to, step), _merged(coarse, step)
+            n = step.select("to").distinct().count()
         else:
-            raise RuntimeError(f"nodes still move after {sweeps} sweeps of level {level}")
-        inside = ways.join(own.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(own.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-        parts = components(inside.where("ca = cb and a < b").select("a", "b"), level_nodes)
-        merged = parts.agg(F.count("*").alias("n"), F.countDistinct("component").alias("k")).first()
-        place = written(place.join(parts.select(F.col("node").alias("c"), "component"), "c").select("node", F.col("component").alias("c")))
-        if merged["n"] == merged["k"]:
+            raise RuntimeError(f"the number of nodes still shrinks after {levels} levels")
+        if n <= block:
+            to = onward(to, written(coarse.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: solve(t.select(["a", "b", "w"])), "node long, to long")))
+        place, moving = refined(ways, degree, to, price, sweeps, seed + level)
+        before, size = size, place.select("to").distinct().count()
+        if size == before and not moving:
             break
-        up = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-        links = written(up.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
-        level_nodes = written(parts.select(F.col("component").alias("node")).distinct())
     else:
-        raise RuntimeError(f"the number of nodes still shrinks after {levels} levels")
-    return relabelled(place.select("node", F.col("c").alias("niche")))
+        raise RuntimeError(f"communities still change after {levels} levels")
+    inside = ways.where("a < b").join(place.select(F.col("node").alias("a"), F.col("to").alias("ca")), "a").join(place.select(F.col("node").alias("b"), F.col("to").alias("cb")), "b")
+    parts = components(inside.where("ca = cb").select("a", "b"), nodes.select("node"))
+    return relabelled(written(parts.select("node", F.col("component").alias("niche"))))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -375,13 +440,14 @@ def ranked_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("niche").agg(F.count("*").alias("n")).select("niche", "n", F.row_number().over(W.orderBy(F.col("n").desc(), "niche")).alias("place"))
 
 
-def spectral(vectors: DataFrame, k: int, seed: int = 0, gamma: float = 1.0, most: int = 4096, rounds: int = 60) -> DataFrame:
+def spectral(vectors: DataFrame, k: int, seed: int = 0, gamma: float = 1.0, most: int = 4096, rounds: int = 100) -> DataFrame:
     """(id, niche): k-means on the leading eigenvectors of the normalised affinity exp(-gamma d**2) of all pairs of rows.
 
-    More than `most` rows are an error, as the affinity has a cell for each pair. The pairs stay distributed: each round
-    of subspace iteration is a join of cells with the current vectors and a sum by row; only the k by k products come
-    to the driver.
+    More than `most` rows are an error, as the affinity has a cell for each pair. The cells stay distributed
+    (eigen.leading); only products of columns come to the driver.
     """
+    from nichegrid.operators.eigen import leading
+
     rows = written(vectors.select("id", F.col("vector").cast("array<double>").alias("v")))
     n = rows.count()
     if n > most:
@@ -392,24 +458,9 @@ def spectral(vectors: DataFrame, k: int, seed: int = 0, gamma: float = 1.0, most
     degree = written(cells.groupBy("i").agg(F.sum("w").alias("d")))
     cells = cells.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
     cells = written(cells.select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("dj"))).alias("w")))
-    start = F.array(*(F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "i"), F.lit(1 << 20)).cast("double") / (1 << 20) - 0.5 for c in range(k)))
-    now = written(degree.select("i", start.alias("q")))
-
-    def orthonormal(df: DataFrame) -> DataFrame:
-        """The columns of q made orthonormal by the Cholesky factor of their products."""
-        r = df.agg(*(F.sum(F.get("q", a) * F.get("q", b)).alias(f"{a}_{b}") for a in range(k) for b in range(a + 1))).first()
-        g = np.array([[r[f"{max(a, b)}_{min(a, b)}"] for b in range(k)] for a in range(k)])
-        inverse = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(k))).T
-        return df.select("i", F.array(*(sum((F.get("q", a) * float(inverse[a, b]) for a in range(b + 1)), F.lit(0.0)) for b in range(k))).alias("q"))
-
-    now = written(orthonormal(now))
-    for _ in range(rounds):
-        old = now
-        product = cells.join(now.select(F.col("i").alias("j"), "q"), "j").groupBy("i").agg(*(F.sum(F.col("w") * F.get("q", c)).alias(f"q{c}") for c in range(k)))
-        now = written(orthonormal(written(product.select("i", F.array(*(F.col(f"q{c}") for c in range(k))).alias("q")))))
-        moved = now.join(old.select("i", F.col("q").alias("p")), "i").agg(F.max(F.aggregate(F.zip_with("q", "p", lambda x, y: F.abs(F.abs(x) - F.abs(y))), F.lit(0.0), lambda s, x: F.greatest(s, x)))).first()[0]
-        if moved is not None and moved < 1e-6:
-            break
+    noise = (F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "i"), F.lit(1 << 20)).cast("double") / (1 << 20) - 0.5 for c in range(k + 1))
+    start = degree.select(F.col("i").alias("node"), F.array(F.sqrt("d"), *noise).alias("q"))
+    _, q = leading(cells, start, k, 1e-5, rounds)
     length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
-    unit = now.select(F.col("i").alias("id"), F.transform("q", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))).alias("vector"))
+    unit = q.select(F.col("node").alias("id"), F.transform("q", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))).alias("vector"))
     return relabelled(written(kmeans(unit, k, seed)))

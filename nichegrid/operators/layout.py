@@ -1,17 +1,22 @@
-"""A low-dimensional layout of a fuzzy neighbour graph: rounds of forces, in one task for graphs that fit one, else as Spark
-jobs."""
+"""A low-dimensional layout of a fuzzy neighbour graph: rounds of forces on blocks of nodes that exchange their places."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichegrid.functions.lineage import written
 from nichegrid.operators.clustering import principal_components
+from nichegrid.operators.descent import matrix
+from nichegrid.operators.eigen import spectral_start
 from nichegrid.operators.vectors import fuzzy_graph, nearest
 
 
@@ -45,124 +50,177 @@ def start(vectors: DataFrame, dimensions: int = 2) -> DataFrame:
     return p.crossJoin(ends).select(F.col("id").alias("node"), F.array(*(F.coalesce(F.try_divide((F.get("projection", i) - low[i]) * 10, high[i] - low[i]), F.lit(0.0)) for i in range(dimensions))).alias("p"))
 
 
-def _clip(c: Column) -> Column:
-    return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
-
-
-#: Nodes of a graph that one task lays out; larger ones take some Spark jobs a round.
-ONE_TASK = 1 << 16
+#: Nodes of a block, whose places one task moves; blocks of a range of places.
+BLOCK, BLOCKS_OF_RANGE = 4096, 8
+#: Blocks that a node's place is sent to, to push off their nodes.
+CALLS = 4
 
 
-def draw(seed: int, epoch: int, i: np.ndarray, j: np.ndarray, count: int, n: int) -> np.ndarray:
-    """A number below n for each edge, drawn by hashing (seed, epoch, edge, count)."""
-    h = (i.astype(np.uint64) << np.uint64(32)) ^ j.astype(np.uint64) ^ np.uint64(((seed << 40) ^ (epoch << 8) ^ count) & ((1 << 64) - 1))
+def draws(seed: int, epoch: int, i: np.ndarray, j: np.ndarray, count: int, n: int) -> np.ndarray:
+    """`count` numbers below n for each edge between nodes i and j, drawn by hashing (seed, epoch, edge, number)."""
+    at = (np.uint64(((seed << 40) ^ (epoch << 8)) & ((1 << 64) - 1)) ^ np.arange(count, dtype=np.uint64))[:, None]
+    h = ((i.astype(np.uint64) << np.uint64(32)) ^ j.astype(np.uint64))[None] ^ at
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of a public 64-bit mixer
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     h ^= h >> np.uint64(31)
     return (h % np.uint64(n)).astype(np.int64)
 
 
-def rounds(p: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray, epochs: int, a: float, b: float, negatives: int, rate: float, seed: int) -> np.ndarray:
-    """Places after all rounds over edges in both directions, each sorted by i."""
-    n, d = p.shape
-    share = weight / max(float(weight.max(initial=0.0)), 1e-300)
-
-    def add(g: np.ndarray, at: np.ndarray, force: np.ndarray) -> None:
-        force = np.clip(force, -4, 4)
-        for k in range(d):
-            g[:, k] += np.bincount(at, weights=force[:, k], minlength=n)
-
-    for epoch in range(epochs):
-        due = np.floor(share * (epoch + 1)) > np.floor(share * epoch)
-        own, other = i[due], j[due]
-        g = np.zeros_like(p)
-        apart = p[own] - p[other]
-        d2 = (apart * apart).sum(1)
-        safe = np.where(d2 > 0, d2, 1.0)
-        add(g, own, np.where(d2 > 0, -2 * a * b * safe ** (b - 1) / (1 + a * safe**b), 0.0)[:, None] * apart)
-        for count in range(negatives):
-            other = draw(seed, epoch, own, j[due], count, n)
-            some = other != own
-            apart = p[own[some]] - p[other[some]]
+@dataclass(frozen=True)
+class Forces:
+    """The curve's numbers, pushes for each pull, the first step's length, and all rounds."""
+
+    a: float
+    b: float
+    negatives: int
+    rate: float
+    epochs: int
+    seed: int
+
+    def rounds(self, p: np.ndarray, n: int, i: np.ndarray, j: np.ndarray, share: np.ndarray, pool: np.ndarray, ids: np.ndarray, first: int, end: int) -> np.ndarray:
+        """Places of the first n rows of p after the rounds from `first` up to `end`; the others stay.
+
+        i, j: places in p of the ends of each edge, sorted by i, which are below n; pool: places in p to push off; ids: the
+        nodes of p, which the draws depend on. All forces of a round are taken at its start.
+        """
+        p = p.copy()
+        for epoch in range(first, end):
+            due = np.flatnonzero(np.floor(share * (epoch + 1)) > np.floor(share * epoch))
+            if not len(due):
+                continue
+            own, other = i[due], j[due]
+            apart = p[own] - p[other]
             d2 = (apart * apart).sum(1)
-            add(g, own[some], (2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, None] * apart)
-        p = p + rate * (1 - epoch / epochs) * g
-    return p
+            safe = np.where(d2 > 0, d2, 1.0)
+            power = safe**self.b
+            force = np.clip(np.where(d2 > 0, -2 * self.a * self.b * power / (safe * (1 + self.a * power)), 0.0)[:, None] * apart, -4, 4)
+            if self.negatives and len(pool):
+                pick = pool[draws(self.seed, epoch, ids[own], ids[other], self.negatives, len(pool))]
+                apart = p[own][None] - p[pick]
+                d2 = (apart * apart).sum(2)
+                size = np.where(pick == own, 0.0, 2 * self.b / ((0.001 + d2) * (1 + self.a * d2**self.b)))
+                force += np.clip(size[..., None] * apart, -4, 4).sum(0)
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            p[own[begins]] += self.rate * (1 - epoch / self.epochs) * np.add.reduceat(force, begins, axis=0)
+        return p[:n]
+
+
+def _interleaved(p: str, low: list[float], high: list[float], bits: int = 16) -> Column:
+    """A place's number along a curve that keeps near ones together: the bits of its first two coordinates in turn, as parts of
+    their ranges."""
+    scale = [((1 << bits) - 1) / (b - a) if b > a else 0.0 for a, b in zip(low, high, strict=True)]
+    out = F.lit(0).cast("long")
+    for d in range(2):
+        x = F.floor((F.coalesce(F.get(p, d), F.lit(0.0)) - low[d]) * scale[d]).cast("long")
+        for step in (8, 4, 2, 1):
+            mask = sum(((1 << step) - 1) << (2 * step * k) for k in range(bits // step))
+            x = x.bitwiseOR(F.shiftleft(x, step)).bitwiseAND(F.lit(mask))
+        out = out.bitwiseOR(F.shiftleft(x, d))
+    return out
+
+
+def dealt(place: DataFrame, n: int, block: int) -> DataFrame:
+    """(node, block, p): nodes dealt into blocks of at most `block` that lie near each other, numbered without gaps."""
+    ranges = max(1, -(-n // (block * BLOCKS_OF_RANGE)))
+
+    def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0  # type: ignore[union-attr]
+        for b in it:
+            at = np.arange(seen, seen + b.num_rows) // block + (part << 32)
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(at), b["p"]], ["node", "name", "p"])
+
+    ends = place.agg(*(f(F.coalesce(F.get("p", d), F.lit(0.0))) for f in (F.min, F.max) for d in (0, 1))).first()
+    ordered = place.select("node", "p", _interleaved("p", list(ends[:2]), list(ends[2:])).alias("z")).repartitionByRange(ranges, "z", "node").sortWithinPartitions("z", "node")
+    named = written(ordered.drop("z").mapInArrow(number, "node long, name long, p array<double>"))
+    numbers = named.select("name").distinct().select("name", (F.row_number().over(W.orderBy("name")) - 1).alias("block"))  # one row a block
+    return written(named.join(numbers, "name").select("node", "block", "p"))
+
+
+_PACK = "block int, nodes array<long>, i array<int>, j array<int>, share array<double>, foreign array<long>"
+
+
+def packed(graph: DataFrame, places: DataFrame) -> DataFrame:
+    """For each block one row: its nodes, its edges as places among its nodes and `foreign`, the nodes of other blocks that they
+    lead to, and each edge's weight over the largest."""
+    top = graph.agg(F.max("weight")).first()[0] or 1.0
+    ends = graph.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").union(graph.select(F.col("b").alias("i"), F.col("a").alias("j"), "weight"))
+    rows = ends.join(places.select(F.col("node").alias("i"), "block"), "i").select("block", "i", "j", (F.col("weight") / F.lit(top)).alias("share"))
+    rows = rows.union(places.select("block", F.col("node").alias("i"), F.lit(None).cast("long"), F.lit(None).cast("double")))
+
+    def pack(t: pa.Table) -> pa.Table:
+        nodes = np.sort(t.filter(pc.is_null(t["j"]))["i"].to_numpy())
+        e = t.filter(pc.is_valid(t["j"])).sort_by([("i", "ascending"), ("j", "ascending")])
+        i, j = e["i"].to_numpy(), e["j"].to_numpy()
+        foreign = np.setdiff1d(j, nodes)
+        inside = np.minimum(np.searchsorted(nodes, j), len(nodes) - 1)
+        at = np.where(nodes[inside] == j, inside, len(nodes) + np.searchsorted(foreign, j))
+        whole = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.table([t["block"][:1].combine_chunks(), whole(nodes, pa.int64()), whole(np.searchsorted(nodes, i).astype(np.int32), pa.int32()), whole(at.astype(np.int32), pa.int32()), whole(e["share"].to_numpy(), pa.float64()), whole(foreign, pa.int64())], names=["block", "nodes", "i", "j", "share", "foreign"])
 
+    return written(rows.groupBy("block").applyInArrow(pack, _PACK))
 
-def optimize(graph: DataFrame, place: DataFrame, epochs: int, a: float, b: float, dimensions: int = 2, negatives: int = 5, rate: float = 1.0, seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
+
+def borders(epochs: int, exchanges: int) -> list[int]:
+    """Rounds after which blocks exchange places: more often at first, while nodes move far."""
+    return sorted({round(epochs * (t / exchanges) ** 1.5) for t in range(exchanges)} | {0, epochs})
+
+
+def optimize(graph: DataFrame, place: DataFrame, epochs: int, a: float, b: float, dimensions: int = 2, negatives: int = 5, rate: float = 1.0, seed: int = 42, block: int = BLOCK, exchanges: int = 9) -> DataFrame:
     """(node, p) after `epochs` rounds over (a, b, weight) edges from places (node, p).
 
-    In a round all forces are taken at the round's start. An edge pulls its ends in a share of rounds that is its weight
-    over the largest; each end is then pushed off `negatives` other nodes, which a hash of (seed, round, edge, count)
-    picks. A graph of at most `one_task` nodes (k edges each) is one task's. For a larger one, a round is three joins
-    and one aggregation, with draws of another hash; nothing but counts comes to the driver.
+    An edge pulls its ends in a share of rounds that is its weight over the largest; each end is then pushed off `negatives`
+    other nodes, which a hash of (seed, round, edge, number) picks from a pool. Nodes are dealt into blocks of at most
+    `block` that start near each other. A task moves the nodes of a block through some rounds, while the ends of its edges in
+    other blocks, and its pool, stay where they were at the last exchange; the pool holds every node once for each of CALLS
+    blocks that a hash picks. An exchange is one job, whose shuffle has a row for each node, each call and each pair of a
+    block and a node that its edges lead to. Work is the same however many blocks there are; a single one needs no exchange.
     """
     n = place.count()
     if n < 2 or not epochs:
         return place
-    if n <= one_task:
-        both = graph.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("weight").alias("w")).union(graph.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("weight").alias("w")))
-        rows = both.select("i", "j", "w", F.lit(None).cast("array<double>").alias("p")).union(place.select(F.col("node").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("w"), "p"))
-
-        def laid(t: pa.Table) -> pa.Table:
-            nodes = t.filter(pc.is_valid(t["p"])).sort_by("i")
-            edges = t.filter(pc.is_null(t["p"])).sort_by([("i", "ascending"), ("j", "ascending")])
-            ids = nodes["i"].to_numpy()
-            p = np.array(nodes["p"].combine_chunks().flatten()).reshape(len(ids), -1)
-            i, j = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("i", "j"))
-            out = rounds(p, i, j, edges["w"].to_numpy(), epochs, a, b, negatives, rate, seed)
-            return pa.table([nodes["i"], pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64()))], names=["node", "p"])
-
-        return written(rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: laid(t.select(["i", "j", "w", "p"])), "node long, p array<double>"))
-    top = graph.agg(F.max("weight")).first()[0] or 1.0
-    now = written(place.select("node", "p"))
-    ranks = written(ranked(now.select("node")))
-    ends = written(graph.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").union(graph.select(F.col("b").alias("i"), F.col("a").alias("j"), "weight")))
-    for epoch in range(epochs):
-        alpha = rate * (1 - epoch / epochs)
-        share = F.col("weight") / F.lit(top)
-        due = F.floor(share * (epoch + 1)) > F.floor(share * epoch)
-        live = ends.where(due)
-        at = lambda name: now.select(F.col("node").alias(name), F.col("p").alias(f"p{name}"))  # noqa: B023, E731
-        pulled = live.select("i", "j").join(at("j"), "j").select("i", "pj", F.lit(True).alias("pull"))
-        draws = live.where(F.lit(negatives > 0)).select("i", "j", F.explode(F.sequence(F.lit(1), F.lit(max(1, negatives)))).alias("draw"))
-        picks = draws.select("i", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "i", "j", "draw"), F.lit(n)).alias("rank"))
-        places = now.join(ranks, "node").select("rank", F.col("node").alias("other"), F.col("p").alias("pj"))
-        pushed = picks.join(places, "rank").where("i <> other").select("i", "pj", F.lit(False).alias("pull"))
-        forces = pulled.union(pushed).join(at("i"), "i")
-        d = [F.get("pi", k) - F.get("pj", k) for k in range(dimensions)]
-        d2 = sum((x * x for x in d[1:]), d[0] * d[0])
-        pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, b - 1) / (1 + a * F.pow(d2, b))).otherwise(0.0)
-        push = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, b)))
-        size = F.when(F.col("pull"), pull).otherwise(push)
-        moves = forces.groupBy("i").agg(*(F.sum(_clip(size * x)).alias(f"g{k}") for k, x in enumerate(d)))
-        step = now.join(moves.withColumnRenamed("i", "node"), "node", "left")
-        now = written(step.select("node", F.array(*(F.get("p", k) + alpha * F.coalesce(f"g{k}", F.lit(0.0)) for k in range(dimensions))).alias("p")))
-    return now
-
-
-def ranked(nodes: DataFrame) -> DataFrame:
-    """(node, rank) from 0 in an order by hash: ranks within parts after the parts' running sizes."""
-    part = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(4096)).alias("part"))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"))  # 4,096 rows at most
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    place = F.row_number().over(W.partitionBy("part").orderBy("node")) - 1
-    return part.select("node", "part", place.alias("place")).join(before, "part").select("node", (F.col("before") + F.col("place")).alias("rank"))
-
-
-def umap(vectors: DataFrame, neighbours: int = 15, dimensions: int = 2, metric: str = "euclidean", min_dist: float = 0.1, epochs: int | None = None, seed: int = 42, search: str = "exact") -> DataFrame:
-    """(node, p) of rows (id, vector): neighbours, fuzzy graph, principal components as a start, rounds of forces.
-
-    `neighbours` counts the row itself. Fewer than three rows keep their start. By default there are 500 rounds for up to
-    10,000 rows and 200 for more.
+    places = dealt(place.select("node", F.col("p").cast("array<double>").alias("p")), n, block)
+    packs = packed(graph, places)
+    wanted = written(packs.select("block", F.explode("foreign").alias("node")))
+    blocks = packs.count()
+    forces = Forces(a, b, negatives, rate, epochs, seed)
+    stops = borders(epochs, exchanges) if blocks > 1 else [0, epochs]
+    for first, end in zip(stops, stops[1:], strict=False):
+        calls = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(CALLS)), lambda r: F.pmod(F.xxhash64(F.lit(seed), F.lit(first), "node", r), F.lit(blocks)).cast("int")))  # noqa: B023
+        own = places.select("block", "node", "p", F.lit(0).alias("kind"))
+        foreign = wanted.join(places.select("node", "p"), "node").select("block", "node", "p", F.lit(1).alias("kind"))
+        pool = places.select(F.explode(calls).alias("block"), "node", "p", F.lit(2).alias("kind"))
+
+        def move(pack: pa.Table, rows: pa.Table) -> pa.Table:
+            nodes, i, j, share, foreign = (pack[c][0].values.to_numpy() for c in ("nodes", "i", "j", "share", "foreign"))
+            rows = rows.sort_by([("kind", "ascending"), ("node", "ascending")])
+            kind, ids = rows["kind"].to_numpy(), rows["node"].to_numpy()
+            p = matrix(rows["p"].combine_chunks())
+            at = np.flatnonzero(kind == 2)  # the pool's rows; those of own nodes move with them
+            inside = np.minimum(np.searchsorted(nodes, ids[at]), len(nodes) - 1)
+            pool = np.where(nodes[inside] == ids[at], inside, at)
+            out = forces.rounds(p, len(nodes), i, j, share, pool, ids, first, end)  # noqa: B023
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
+            return pa.table([pa.array(nodes), pa.array(np.full(len(nodes), pack["block"][0].as_py(), np.int32)), lists], names=["node", "block", "p"])
+
+        everything = own.union(foreign).union(pool)
+        places = written(packs.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(move, "node long, block int, p array<double>"))
+    return places.select("node", "p")
+
+
+def umap(vectors: DataFrame, neighbours: int = 15, dimensions: int = 2, metric: str = "euclidean", min_dist: float = 0.1, epochs: int | None = None, seed: int = 42, search: str = "exact", begin: str = "spectral") -> DataFrame:
+    """(node, p) of rows (id, vector): neighbours, fuzzy graph, a start, rounds of forces.
+
+    begin: "spectral" starts from eigenvectors of the graph, "pca" from principal components of the rows. `neighbours` counts
+    the row itself. Fewer than three rows keep their principal components. By default there are 500 rounds for up to 10,000
+    rows and 200 for more.
     """
-    place = start(vectors, dimensions)
     n = vectors.count()
     if n < 3:
-        return place
+        return start(vectors, dimensions)
     if epochs is None:
         epochs = 500 if n <= 10_000 else 200
-    graph = written(fuzzy_graph(written(nearest(vectors, neighbours - 1, metric, search=search, seed=seed))))
+    graph = written(fuzzy_graph(written(nearest(vectors, neighbours - 1, metric, search, seed))))
+    place = written(spectral_start(graph, vectors, dimensions, seed)) if begin == "spectral" else start(vectors, dimensions)
     a, b = curve(1.0, min_dist)
     return optimize(graph, place, epochs, a, b, dimensions, seed=seed)

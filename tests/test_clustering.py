@@ -36,29 +36,62 @@ def test_spectral_finds_blobs(rows, spark):
         clustering.spectral(rows, 3, most=10)
 
 
-@pytest.mark.parametrize("one_task", [0, 100])
-def test_communities_of_cliques(spark, one_task):
+@pytest.mark.parametrize("block", [4, 100])
+def test_communities_of_cliques(spark, block):
     edges = [(a + 5 * c, b + 5 * c, 1.0) for c in range(3) for a in range(5) for b in range(a)] + [(0, 5, 1.0), (5, 10, 1.0)]
     graph = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in edges], "a long, b long, weight double")
     nodes = spark.range(16).withColumnRenamed("id", "node")
-    got = {r["node"]: r["niche"] for r in clustering.communities(graph, nodes, one_task=one_task).collect()}
+    got = {r["node"]: r["niche"] for r in clustering.communities(graph, nodes, block=block).collect()}
     assert len({got[i] for i in range(15)}) == 3 and all(len({got[5 * c + i] for i in range(5)}) == 1 for c in range(3))
     assert got[15] not in {got[i] for i in range(15)}
     m = clustering.modularity(graph, spark.createDataFrame(list(got.items()), "node long, niche long")).first()["modularity"]
     assert m == pytest.approx(30 / 32 - (22**2 + 21**2 + 21**2) / (4 * 32**2), abs=0.01)
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_communities_move_and_merge_to_the_end(spark, one_task):
+@pytest.mark.parametrize("block", [16, 1000])
+def test_communities_move_and_merge_to_the_end(spark, block):
     n = 256
     ring = [(i, (i + 1) % n) for i in range(n)]
     graph = spark.createDataFrame([(min(e), max(e), 1.0) for e in ring], "a long, b long, weight double")
-    got = {r["node"]: r["niche"] for r in clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, one_task=one_task).collect()}
+    got = {r["node"]: r["niche"] for r in clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, block=block).collect()}
     size, links = collections.Counter(got.values()), collections.Counter(frozenset((got[a], got[b])) for a, b in ring)
     # no two communities are left whose union has a higher modularity
     assert all(c <= 0.05 * 4 * size[min(p)] * size[max(p)] / (2 * n) + 1e-9 for p, c in links.items() if len(p) == 2)
     with pytest.raises(RuntimeError):
-        clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, sweeps=1, one_task=0)
+        clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), resolution=0.05, sweeps=0)
+
+
+def test_small_graphs_have_the_best_partition(spark):
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            yield [[items[0]], *rest]
+            for i in range(len(rest)):
+                yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+    rng = np.random.default_rng(8)
+    n = 9
+    w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.35), 1)
+    w[np.arange(n - 1), np.arange(1, n)] += 0.2
+    m, k = w.sum(), (w + w.T).sum(1)
+    score = lambda p: sum(w[np.ix_(c, c)].sum() / m - k[c].sum() ** 2 / (4 * m * m) for c in p)
+    best = max(score([np.array(c) for c in p]) for p in partitions(list(range(n))))
+    graph = spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in zip(*np.nonzero(w))], "a long, b long, weight double")
+    for block in (3, 100):
+        labels = clustering.communities(graph, spark.range(n).withColumnRenamed("id", "node"), block=block)
+        assert clustering.modularity(graph, labels).first()["modularity"] == pytest.approx(best, rel=1e-9 if block == 100 else 0.05)
+
+
+def test_coarsened_graphs_lose_little(spark):
+    rng = np.random.default_rng(9)
+    x = rng.random((700, 2))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    graph = clustering.neighbour_graph(vectors.nearest(rows, 6)).cache()
+    nodes = rows.selectExpr("id as node")
+    whole, coarse = (clustering.modularity(graph, clustering.communities(graph, nodes, block=b)).first()["modularity"] for b in (1000, 64))
+    assert coarse >= 0.99 * whole
 
 
 def test_principal_components(rows):
@@ -100,13 +133,24 @@ def test_fuzzy_graph_and_layout(rows):
     assert all(np.allclose(again[r["node"]], r["p"], atol=1e-6) for r in places.collect())
 
 
-def test_layout_in_one_task_and_in_jobs(rows):
-    """Without pushes both take the same rounds; draws come from different hashes."""
+def test_layout_in_blocks(rows):
+    """With an exchange after each round and without pushes, blocks take the same rounds as one task."""
     near = vectors.fuzzy_graph(vectors.nearest(rows.select("id", "vector"), 6))
     place = layout.start(rows.select("id", "vector"))
-    one, jobs = ({r["node"]: r["p"] for r in layout.optimize(near, place, 3, 1.6, 0.9, negatives=n, one_task=t).collect()} for n, t in ((0, 1000), (0, 0)))
-    assert all(np.allclose(one[i], jobs[i]) for i in one) and len(one) == 75
-    assert layout.optimize(near, place, 2, 1.6, 0.9, one_task=0).count() == 75
+    one, many = ({r["node"]: r["p"] for r in layout.optimize(near, place, 3, 1.6, 0.9, negatives=0, block=b).collect()} for b in (1000, 20))
+    assert all(np.allclose(one[i], many[i]) for i in one) and len(one) == 75
+    assert layout.borders(3, 12) == [0, 1, 2, 3] and layout.borders(500, 12)[-1] == 500
+    blocks = layout.dealt(place, 75, 20).groupBy("block").count().collect()
+    assert sum(r["count"] for r in blocks) == 75 and max(r["count"] for r in blocks) <= 20 and {r["block"] for r in blocks} == set(range(len(blocks)))
+
+
+def test_layout_keeps_blobs_apart(rows):
+    for options in ({}, {"block": 20}):
+        graph = vectors.fuzzy_graph(vectors.nearest(rows.select("id", "vector"), 8))
+        place = layout.spectral_start(graph, rows.select("id", "vector"))
+        p = layout.optimize(graph, place, 60, 1.6, 0.9, **options)
+        assert ari(rows, clustering.kmeans(p.selectExpr("node as id", "p as vector"), 3, seed=1)) > 0.9
+        assert np.isfinite([x for r in p.collect() for x in r["p"]]).all()
 
 
 def test_layout_query_takes_all_rounds(spark, tmp_path, monkeypatch):
@@ -118,6 +162,7 @@ def test_layout_query_takes_all_rounds(spark, tmp_path, monkeypatch):
     near = spark.createDataFrame([(0, 1, 1.0)], "source long, target long, distance double")
     monkeypatch.setattr(layout, "nearest", lambda *a: near)
     monkeypatch.setattr(layout, "fuzzy_graph", lambda df: df)
+    monkeypatch.setattr(layout, "spectral_start", lambda graph, rows, *a: layout.start(rows))
     layout.umap(spark.range(10_001).selectExpr("id", "array(cast(id as double), cast(id % 7 as double)) as vector"))
     assert taken == [500, 200]
 
