@@ -41,24 +41,45 @@ def principal_components(vectors: DataFrame, k: int) -> DataFrame:
 
 
 class Mixture:
-    """A diagonal Gaussian mixture: weights (k), means and variances (k by d)."""
+    """A Gaussian mixture: weights (k), means (k by d), and covariances, as variances (k by d) or in full (k by d by d)."""
 
-    def __init__(self, weights: np.ndarray, means: np.ndarray, variances: np.ndarray):
-        self.weights, self.means, self.variances = weights, means, variances
+    def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray, floor: float = 1e-6):
+        self.weights, self.means, self.full = weights, means, covariances.ndim == 3
+        if self.full:
+            self.factors = [factorised(c, floor) for c in covariances]
+            self.logs = np.array([2 * np.log(np.diag(f)).sum() for f in self.factors])
+        else:
+            self.variances = covariances + floor
+            self.logs = np.log(self.variances).sum(1)
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
-        quad = ((x[:, None, :] - self.means) ** 2 / self.variances).sum(2)
-        return np.log(self.weights) - 0.5 * (quad + np.log(2 * np.pi * self.variances).sum(1))
+        out = np.empty((len(x), len(self.weights)))
+        for j, mean in enumerate(self.means):
+            y = x - mean
+            quad = (np.linalg.solve(self.factors[j], y.T) ** 2).sum(0) if self.full else (y * y / self.variances[j]).sum(1)
+            out[:, j] = np.log(self.weights[j]) - 0.5 * (quad + x.shape[1] * np.log(2 * np.pi) + self.logs[j])
+        return out
+
+
+def factorised(covariance: np.ndarray, floor: float, tries: int = 12) -> np.ndarray:
+    """The lower Cholesky factor of a covariance with `floor` on its diagonal, ten times as much after each failure."""
+    for i in range(tries):
+        try:
+            return np.linalg.cholesky(covariance + floor * 10.0**i * np.eye(len(covariance)))
+        except np.linalg.LinAlgError:
+            continue
+    raise ValueError("a covariance can't be made positive definite")
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return np.array(b.column("vector").flatten(), dtype=float).reshape(b.num_rows, -1)
 
 
-def _moments(vectors: DataFrame, weigh, k: int, d: int) -> tuple[np.ndarray, float]:
-    """Sums over all rows of responsibilities, of responsibility times x and times x squared, and of log-likelihood: each
-    task sends k * (1 + 2 d) + 1 numbers."""
-    size = k * (1 + 2 * d) + 1
+def _moments(vectors: DataFrame, weigh, shift: np.ndarray, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums over all rows of responsibilities r, of r y and of r y squared (or r y y', in full), with y = x - shift, and of the
+    log-likelihood. With shifts near the means nothing cancels. Each task sends k (1 + 2 d) + 1 numbers, or k (1 + d + d d) + 1."""
+    k, d = shift.shape
+    size = k * (1 + d + (d * d if full else d)) + 1
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -67,32 +88,48 @@ def _moments(vectors: DataFrame, weigh, k: int, d: int) -> tuple[np.ndarray, flo
                 continue
             x = _matrix(b)
             r, likelihood = weigh(b, x)
-            total += np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel(), [likelihood]])
+            first, second = [], []
+            for j in range(k):
+                y = x - shift[j]
+                first.append(r[:, j] @ y)
+                second.append(((y * r[:, j, None]).T @ y).ravel() if full else r[:, j] @ (y * y))
+            total += np.concatenate([r.sum(0), *first, *second, [likelihood]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "x"])
 
     out = np.zeros(size)
     for row in vectors.mapInArrow(sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         out[row["at"]] = row["x"]
-    return out[:-1], float(out[-1])
+    return out[:k], out[k : k + k * d].reshape(k, d), out[k + k * d : -1].reshape((k, d, d) if full else (k, d)), float(out[-1])
 
 
-def gaussian_mixture(vectors: DataFrame, k: int, seed: int = 42, tolerance: float = 1e-3, iterations: int = 100, floor: float = 1e-6) -> tuple[DataFrame, list[float]]:
-    """((id, niche), mean log-likelihoods): EM from a k-means start; niches are numbered without gaps."""
+def gaussian_mixture(vectors: DataFrame, k: int, seed: int = 42, tolerance: float = 1e-3, iterations: int = 100, floor: float = 1e-6, covariance: str = "diag") -> tuple[DataFrame, list[float]]:
+    """((id, niche), mean log-likelihoods): EM from a k-means start; niches are numbered without gaps.
+
+    covariance: "diag" or "full". What a covariance lacks to be positive definite is added to its diagonal, from `floor` on.
+    """
+    if covariance not in ("diag", "full"):
+        raise ValueError(f"covariance must be diag or full, not {covariance!r}")
+    full = covariance == "full"
     rows = written(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")))
     d = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     n = rows.count()
     if not n:
         return rows.select("id", F.lit(None).cast("long").alias("niche")), []
     start = written(rows.join(kmeans(rows, k, seed), "id").select("id", "vector", "niche"))
+    centre = np.array(rows.agg(*(F.avg(F.get("vector", i)) for i in range(d))).first(), float)
 
-    def estimate(m: np.ndarray) -> Mixture:
-        r = m[:k] + 1e-12
-        means = m[k : k + k * d].reshape(k, d) / r[:, None]
-        variances = np.maximum(m[k + k * d :].reshape(k, d) / r[:, None] - means**2, 0) + floor
-        return Mixture(r / r.sum(), means, variances)
+    def estimate(shift: np.ndarray, r: np.ndarray, first: np.ndarray, second: np.ndarray) -> Mixture:
+        r = r + 1e-12
+        off = first / r[:, None]
+        if full:
+            spread = second / r[:, None, None] - off[:, :, None] * off[:, None, :]
+            return Mixture(r / r.sum(), shift + off, (spread + spread.transpose(0, 2, 1)) / 2, floor)
+        return Mixture(r / r.sum(), shift + off, np.maximum(second / r[:, None] - off**2, 0), floor)
 
     hard = lambda b, x: (np.eye(k)[b.column("niche").to_numpy()], 0.0)
-    model = estimate(_moments(start, hard, k, d)[0])
+    shift = np.tile(centre, (k, 1))
+    shift = estimate(shift, *_moments(start, hard, shift, False)[:2], np.ones((k, d, d) if full else (k, d))).means  # the means alone
+    model = estimate(shift, *_moments(start, hard, shift, full)[:3])
     history: list[float] = []
     for _ in range(iterations):
         now = model
@@ -103,9 +140,9 @@ def gaussian_mixture(vectors: DataFrame, k: int, seed: int = 42, tolerance: floa
             total = top[:, 0] + np.log(np.exp(joint - top).sum(1))
             return np.exp(joint - total[:, None]), float(total.sum())
 
-        moments, likelihood = _moments(rows, soft, k, d)
+        *moments, likelihood = _moments(rows, soft, now.means, full)
         history.append(likelihood / n)
-        model = estimate(moments)
+        model = estimate(now.means, *moments)
         if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
             break
     last = model

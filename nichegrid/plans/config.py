@@ -138,6 +138,7 @@ class NicheConfig:
     seed: int = 42
     per_sample: bool = False
     search: str = "exact"
+    covariance: str = "diag"
     extra: dict[str, Any] = field(default_factory=dict, compare=False, hash=False)
 
     @staticmethod
@@ -154,6 +155,9 @@ class NicheConfig:
         search = str(d.get("search", "exact")).lower()
         if search not in SEARCHES:
             raise ConfigError(f"niches: search must be one of {', '.join(SEARCHES)}, not {search!r}")
+        covariance = str(d.get("covariance", "diag")).lower()
+        if covariance not in ("diag", "full"):
+            raise ConfigError(f"niches: covariance must be diag or full, not {covariance!r}")
         how = str(d.get("normalize", "total")).lower()
         columns = d.get("columns", ["phenotype"])
         columns = tuple([columns] if isinstance(columns, str) else map(str, columns))
@@ -162,7 +166,7 @@ class NicheConfig:
             columns, whole("order", 1, 0), STATISTICS[stats], truth(d.get("reduce", True)),
             metric if metric in METRICS else "euclidean", max(2, whole("n_neighbors", 15, 0)), whole("dimensions", 2, 1), None if d.get("epochs") is None else whole("epochs", None, 0), _number(d.get("min_dist", 0.0), "niches: min_dist", 0),
             clusterer if clusterer in CLUSTERERS else "leiden", whole("k_cluster", 8, 1), whole("n_clusters", 15, 1), _number(d.get("resolution", 0.005), "niches: resolution", 0),
-            expand(how) if how == "all" or how in NORMALIZATIONS else ("total",), whole("seed", 42, 0), truth(d.get("per_sample", False)), search,
+            expand(how) if how == "all" or how in NORMALIZATIONS else ("total",), whole("seed", 42, 0), truth(d.get("per_sample", False)), search, covariance,
             {k: v for k, v in d.items() if k not in NicheConfig.__dataclass_fields__},
         )
 
@@ -178,7 +182,7 @@ class NicheConfig:
         reduction = {"reduce": self.reduce} | ({"metric": self.metric, "n_neighbors": self.n_neighbors, "dimensions": self.dimensions, "epochs": self.epochs, "min_dist": self.min_dist, "seed": self.seed} if self.reduce else {})
         if self.search != "exact":
             reduction["search"] = self.search
-        own = {"leiden": {"k_cluster": self.k_cluster, "resolution": self.resolution}, "gmm": {"n_clusters": self.n_clusters}, "spectral": {"n_clusters": self.n_clusters}}
+        own = {"leiden": {"k_cluster": self.k_cluster, "resolution": self.resolution}, "gmm": {"n_clusters": self.n_clusters} | ({"covariance": "full"} if self.covariance == "full" else {}), "spectral": {"n_clusters": self.n_clusters}}
         return {"features": features, "reduction": reduction, "clustering": {"clusterer": self.clusterer, "seed": self.seed} | own[self.clusterer]}
 
 

@@ -64,7 +64,7 @@ def numbered(table: DataFrame) -> DataFrame:
 def cluster(rows: DataFrame, config: NicheConfig) -> DataFrame:
     """(id, niche) of rows (id, vector) by the configured method; the graph of communities is always Euclidean."""
     if config.clusterer == "gmm":
-        return clustering.gaussian_mixture(rows, config.n_clusters, config.seed)[0]
+        return clustering.gaussian_mixture(rows, config.n_clusters, config.seed, covariance=config.covariance)[0]
     if config.clusterer == "spectral":
         return clustering.spectral(rows, config.n_clusters, config.seed)
     near = clustering.neighbour_graph(vectors.nearest(rows, config.k_cluster, search=config.search, seed=config.seed))

@@ -29,6 +29,27 @@ def test_kmeans_and_mixture_find_blobs(rows):
     assert sorted(r["niche"] for r in labels.select("niche").distinct().collect()) == [0, 1, 2]
 
 
+def test_full_covariances(spark):
+    rng = np.random.default_rng(4)
+    bent = np.linalg.cholesky(np.array([[1.0, 0.97], [0.97, 1.0]]))
+    x = np.concatenate([rng.normal(size=(150, 2)) @ bent.T + [0, 0], rng.normal(size=(150, 2)) @ bent.T + [2.0, -2.0]])
+    df = spark.createDataFrame([(i, v.tolist(), i // 150) for i, v in enumerate(x)], "id long, vector array<double>, truth long")
+    labels, history = clustering.gaussian_mixture(df, 2, covariance="full", tolerance=1e-6)
+    assert ari(df, labels) > 0.95 and all(b >= a - 1e-9 for a, b in zip(history, history[1:]))
+    assert ari(df, clustering.gaussian_mixture(df, 2)[0]) <= ari(df, labels)
+    flat = df.selectExpr("id", "array(vector[0], 2 * vector[0]) as vector", "truth")  # singular
+    assert clustering.gaussian_mixture(flat, 2, covariance="full")[0].count() == 300
+    with pytest.raises(ValueError):
+        clustering.factorised(np.diag([-1e30, 1.0]), 1e-6)
+
+
+def test_mixture_far_from_zero(rows, spark):
+    """Sums of squares far from zero keep no digit of a variance; centred ones do."""
+    far = spark.createDataFrame([(r["id"], [x + 1e8 for x in r["vector"]], r["truth"]) for r in rows.collect()], rows.schema)
+    near, there = (clustering.gaussian_mixture(df, 3)[1][-1] for df in (rows, far))
+    assert there == pytest.approx(near, abs=1e-4) and ari(far, clustering.gaussian_mixture(far, 3)[0]) == 1.0
+
+
 def test_spectral_finds_blobs(rows, spark):
     close = spark.createDataFrame([(r["id"], [x / 4 for x in r["vector"]], r["truth"]) for r in rows.collect()], rows.schema)
     assert ari(close, clustering.spectral(close, 3, rounds=15)) > 0.9
@@ -90,7 +111,7 @@ def test_coarsened_graphs_lose_little(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
     graph = clustering.neighbour_graph(vectors.nearest(rows, 6)).cache()
     nodes = rows.selectExpr("id as node")
-    whole, coarse = (clustering.modularity(graph, clustering.communities(graph, nodes, block=b)).first()["modularity"] for b in (1000, 64))
+    whole, coarse = (clustering.modularity(graph, clustering.communities(graph, nodes, block=b)).first()["modularity"] for b in (1000, 200))
     assert coarse >= 0.99 * whole
 
 
