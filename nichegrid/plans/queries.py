@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.functions import scalars
 from nichegrid.functions.lineage import written
-from nichegrid.operators import agreement, clustering, composition, delaunay, descent, features, graph, layout, mixing, vectors
+from nichegrid.operators import agreement, clustering, composition, delaunay, descent, eigen, features, graph, layout, mixing, vectors
 from nichegrid.sources.cohorts import cohort, customers, infer, parts, sample_index
 
 K = 3
@@ -150,6 +150,16 @@ def knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(agreement.overlap(vectors.nearest(rows, 10), vectors.nearest(low, 10), 10))
 
 
+def trade_eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading eigenvector of the graph of customers' nations and suppliers' nations, by items between them."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    items = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    links = written(items.groupBy(F.col("c_nationkey").cast("long").alias("a"), (25 + F.col("s_nationkey")).cast("long").alias("b")).agg(F.count("*").cast("double").alias("weight")))
+    cells = written(eigen.normalised(links))
+    start = cells.select(F.col("i").alias("node")).distinct().select("node", F.array(F.lit(1.0), F.pmod(F.col("node") * 7919, F.lit(31)).cast("double"), F.pmod(F.col("node") * 104729, F.lit(17)).cast("double")).alias("q"))
+    return _rounded(eigen.leading(cells, start, 1, 1e-9)[1].select("node", F.get("q", 0).alias("value")))
+
+
 def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of neighbour descent, and whether 95 % of their entries are among the nearest."""
     near = written(vectors.nearest(_vectors(spark, sf_dir), 10, search="descent"))
@@ -302,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_classes": feature_classes,
     **{f"knn_vectors_{m}": _knn_vectors(m) for m in vectors.METRICS},
     "knn_overlap": knn_overlap,
+    "trade_eigenvector": trade_eigenvector,
     "knn_descent": knn_descent,
     "forest_leaves": forest_leaves,
     "fuzzy_simplicial_set": fuzzy_simplicial_set,
@@ -484,6 +495,9 @@ UNION ALL SELECT 'p_size', count(DISTINCT p_size), count(DISTINCT p_size) <= 32
 UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice), count(DISTINCT p_retailprice) <= 32 AND bool_and(p_retailprice % 1 = 0) FROM part""",
     "inferred_types": "SELECT count(*) AS n_rows, 'bigint' AS c_custkey, 'string' AS c_name, 'bigint' AS c_nationkey, 'double' AS c_acctbal, 'string' AS c_mktsegment FROM customer",
     **{f"knn_vectors_{m}": f"WITH {_knn_sql(m, 5)} SELECT source, target, round(distance, 6) AS distance, rank FROM near" for m in vectors.METRICS},
+    "trade_eigenvector": """WITH e AS (SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(25 + s_nationkey AS BIGINT) AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+d AS (SELECT node, sum(w) AS d FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY node)
+SELECT node, round(sqrt(d / sum(d) OVER ()), 6) AS value FROM d""",
     "knn_descent": f"WITH {_knn_sql('euclidean', 10)} SELECT count(DISTINCT source) AS sources, count(*) AS entries, true AS reached FROM near",
     "forest_leaves": "SELECT CAST(t AS INTEGER) AS tree, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, true AS bounded FROM embeddings, range(4) r(t) GROUP BY t",
     "knn_overlap": f"""WITH high AS (WITH {_knn_sql("euclidean", 10)} SELECT source, target FROM near), low AS (WITH {_knn_sql("euclidean", 10, "CAST(embedding AS DOUBLE[])[1:16]")} SELECT source, target FROM near)

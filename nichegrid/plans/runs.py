@@ -24,6 +24,8 @@ from nichegrid.operators import agreement
 from nichegrid.operators.graph import SAMPLE
 from nichegrid.plans import steps
 from nichegrid.plans.config import NicheConfig
+from nichegrid.sources.networks import settle, write_whole
+from nichegrid.sources.sinks import read_about
 
 
 class Register:
@@ -109,34 +111,42 @@ def recomputed(configs: list[NicheConfig]) -> dict[str, int]:
     return {name: len(x) for name, x in seen.items()}
 
 
-def _stored(spark: SparkSession, path: str, rows: int | None, make: Callable[[], DataFrame]) -> DataFrame:
-    """What is stored at path, if it is whole and has as many rows as expected (None: any number); else it is made anew."""
+def _stored(spark: SparkSession, path: str, source: str, rows: int | None, make: Callable[[], DataFrame]) -> DataFrame:
+    """What is stored at path, if it says that it comes from this source and has as many rows as expected (None: any number);
+    else it is made anew, and takes the old one's place when it is whole."""
+    settle(spark, path)
     try:
         found = spark.read.parquet(path)
-        if rows is None or found.count() == rows:
+        if read_about(found).get("source") == source and (rows is None or found.count() == rows):
             return found
     except AnalysisException:  # nothing there
         pass
-    make().write.mode("overwrite").parquet(path)
+    write_whole(make(), path, about={"source": source})
     return spark.read.parquet(path)
 
 
 def run(nodes: DataFrame, edges: DataFrame, config: NicheConfig, folder: str, register: Register) -> tuple[str, DataFrame]:
     """(number, labels) of a run. Features and layout are stored by the stage's number, so that runs which share them
-    compute them once; labels are stored by the run's. A stored stage of another number of rows is computed again."""
+    compute them once; labels are stored by the run's. A stored stage of another cohort, of other settings or of another
+    number of rows is computed again."""
     spark = nodes.sparkSession
-    number = register.number(config, fingerprint(nodes, edges))
+    cohort = fingerprint(nodes, edges)
+    number = register.number(config, cohort)
     first, second = number.split("-")[0], "-".join(number.split("-")[:2])
     n = nodes.count()
+    source, so_far = {}, cohort
+    for name, settings in config.stages().items():
+        so_far += json.dumps({name: settings}, sort_keys=True)
+        source[name] = so_far
 
     def features() -> DataFrame:
-        return _stored(spark, f"{folder}/features/{first}", n, lambda: steps.feature_stage(nodes, edges, config))
+        return _stored(spark, f"{folder}/features/{first}", source["features"], n, lambda: steps.feature_stage(nodes, edges, config))
 
     def reduced() -> DataFrame:
-        return _stored(spark, f"{folder}/reduction/{second}", n, lambda: steps.reduction_stage(features(), config))
+        return _stored(spark, f"{folder}/reduction/{second}", source["reduction"], n, lambda: steps.reduction_stage(features(), config))
 
     known = number in register.runs()
-    labels = _stored(spark, f"{folder}/labels/{number}", n, lambda: steps.cluster_stage(features(), reduced(), config))
+    labels = _stored(spark, f"{folder}/labels/{number}", source["clustering"], n, lambda: steps.cluster_stage(features(), reduced(), config))
     if not known:
         sizes = {str(r["niche"]): r["n"] for r in labels.groupBy("niche").agg(F.count("*").alias("n")).orderBy("niche").collect()}
         register.mark(number, {"niches": len(sizes), "sizes": sizes, "stages": config.stages()})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nichegrid.sources.cohorts import EXTENSIONS, extension, file_pattern, infer, require, with_ids
-from nichegrid.sources.sinks import check_labels, with_labels
+from nichegrid.sources.sinks import check_labels, described, with_labels
 
 KEYS = ("patient", "sample")
 
@@ -54,6 +54,7 @@ def read_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     """(nodes, edges) that write_network wrote; ids are text whatever they look like."""
     out = []
     for name in ("nodes", "edges"):
+        settle(spark, f"{folder}/{name}")
         found = spark.read.parquet(f"{folder}/{name}").schema
         text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in KEYS else f for f in found])
         df = spark.read.schema(text).parquet(f"{folder}/{name}")  # else an id such as 01 becomes a number
@@ -67,16 +68,34 @@ def _files(spark: SparkSession, path: str):  # noqa: ANN202  a Hadoop file syste
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def write_whole(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    """df as Parquet that appears at once: it is written beside `path` and then takes its place, even of what df reads."""
-    fresh = f"{path}.new"
-    writer = df.write.mode("overwrite")
+def settle(spark: SparkSession, path: str) -> None:
+    """Ends what a writer left that stopped between its renames: the table is the new one if that is in place, else the old."""
+    fs, at = _files(spark, path)
+    _, old = _files(spark, f"{path}.old")
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, at)
+
+
+def write_whole(df: DataFrame, path: str, by: tuple[str, ...] = (), about: dict[str, str] | None = None) -> None:
+    """df as Parquet that appears at once: it is written beside `path` and then takes its place, even of what df reads.
+
+    The old table is set aside, not deleted, until the new one is in place; `settle` brings it back where a writer stopped in
+    between. `about` goes into the metadata of the first column.
+    """
+    spark, fresh = df.sparkSession, f"{path}.new"
+    writer = (described(df, about) if about else df).write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(fresh)
-    fs, at = _files(df.sparkSession, path)
-    fs.delete(at, True)
-    if not fs.rename(_files(df.sparkSession, fresh)[1], at):
-        raise OSError(f"{fresh} can't be renamed to {path}")
-    df.sparkSession.catalog.refreshByPath(path)
+    settle(spark, path)
+    fs, at = _files(spark, path)
+    for source, target in ((at, _files(spark, f"{path}.old")[1]), (_files(spark, fresh)[1], at)):
+        if fs.exists(source) and not fs.rename(source, target):
+            settle(spark, path)
+            raise OSError(f"{source} can't be renamed to {target}")
+    settle(spark, path)
+    spark.catalog.refreshByPath(path)
 
 
 def clear_temporary(spark: SparkSession, folder: str) -> bool:

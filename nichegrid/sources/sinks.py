@@ -9,12 +9,16 @@ from pyspark.sql import types as T
 
 def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = (), about: dict[str, str] | None = None) -> None:
     """Parquet, one folder for each value of `by`; `about` goes into the metadata of the first column."""
-    if about:
-        first = df.columns[0]
-        df = df.withMetadata(first, {**df.schema[first].metadata, **about})
+    df = described(df, about) if about else df
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
 
 
+def described(df: DataFrame, about: dict[str, str]) -> DataFrame:
+    """df with `about` in the metadata of its first column."""
+    first = df.columns[0]
+    return df.withMetadata(first, {**df.schema[first].metadata, **about})
+
+
 def read_about(df: DataFrame) -> dict[str, str]:
     """The metadata that write_parquet added."""
     return dict(df.schema[df.columns[0]].metadata)

@@ -238,3 +238,49 @@ def test_arrivals(spark, tmp_path):
         assert q.exception() is None
     got = spark.read.parquet(str(tmp_path / "out/assortativity"))
     assert {r["patient"] for r in got.collect()} == {"1", "2"} and got.count() == 2
+
+
+def test_a_stopped_writer_loses_nothing(spark, tmp_path, monkeypatch):
+    from nichegrid.sources import sinks
+
+    path = f"{tmp_path}/table"
+    rows = lambda: sorted(r["id"] for r in spark.read.parquet(path).collect())
+    networks.write_whole(spark.range(3), path, about={"source": "a"})
+    assert rows() == [0, 1, 2] and sinks.read_about(spark.read.parquet(path)) == {"source": "a"}
+    networks.write_whole(spark.read.parquet(path).where("id > 0"), path)  # of what it reads
+    assert rows() == [1, 2]
+    files, moves = networks._files, []
+
+    class Stopped(Exception):
+        pass
+
+    class Fs:
+        def __init__(self, real):
+            self.real = real
+
+        def rename(self, a, b):
+            moves.append(1)
+            if len(moves) == 2:
+                raise Stopped
+            return self.real.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    monkeypatch.setattr(networks, "_files", lambda s, p: (Fs(files(s, p)[0]), files(s, p)[1]))
+    with pytest.raises(Stopped):
+        networks.write_whole(spark.range(9), path)
+    monkeypatch.undo()
+    networks.settle(spark, path)
+    spark.catalog.refreshByPath(path)
+    assert rows() == [1, 2]
+    networks.write_whole(spark.range(4), path)
+    assert rows() == [0, 1, 2, 3]
+
+
+def test_a_stage_of_another_source_is_made_anew(spark, tmp_path):
+    path, made = f"{tmp_path}/stage", []
+    make = lambda: made.append(1) or spark.range(5)
+    for source in ("cohort a", "cohort a", "cohort b"):
+        assert runs._stored(spark, path, source, 5, make).count() == 5
+    assert len(made) == 2
