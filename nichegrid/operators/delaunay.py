@@ -116,30 +116,75 @@ def delaunay(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     return nodes.groupBy(*SAMPLE).applyInArrow(whole, _EDGES)
 
 
-def trim_adaptively(edges: DataFrame, nodes: DataFrame, n_edges: int = 3, ratio: float = 2.0, least: float = 0.0) -> DataFrame:
+#: Parts that a sample is cut into for trimming, at most.
+STRIPS = 1024
+_STATE = "patient string, sample string, source long, target long, length double, sb int, tb int, fs boolean, ft boolean, removed boolean"
+
+
+def _strips(nodes: DataFrame, tile: int) -> DataFrame:
+    """(patient, sample, node_id, block): each sample cut by quantiles of x into strips of about `tile` nodes."""
+    cuts = [i / STRIPS for i in range(1, STRIPS)]
+    q = nodes.groupBy(*(F.col(c).alias(f"_{c}") for c in SAMPLE)).agg(F.count("*").alias("n"), F.percentile_approx("x", cuts, 10 * STRIPS).alias("q"))
+    placed = nodes.join(q, nodes["patient"].eqNullSafe(q["_patient"]) & nodes["sample"].eqNullSafe(q["_sample"]))
+    below = F.size(F.filter("q", lambda v: v < F.col("x")))
+    strips = F.least(F.ceil(F.col("n") / tile), F.lit(STRIPS))
+    return placed.select(*SAMPLE, "node_id", F.floor(below * strips / STRIPS).cast("int").alias("block"))
+
+
+def _acted(key: tuple, pdf: pd.DataFrame, n_edges: int, ratio: float, least: float) -> pd.DataFrame:
+    """The edges of one strip's nodes after all of these have acted whose earlier neighbours have."""
+    pdf = pdf.sort_values(["source", "target"], kind="stable").reset_index(drop=True)
+    block = key[2]
+    ends, lengths_ = np.stack([pdf["source"], pdf["target"]], 1), pdf["length"].to_numpy()
+    own = np.stack([pdf["sb"] == block, pdf["tb"] == block], 1)
+    flags = np.stack([pdf["fs"], pdf["ft"]], 1).astype(bool)
+    alive, at = np.ones(len(pdf), bool), {}
+    for i, side in zip(*np.nonzero(own), strict=True):
+        at.setdefault(int(ends[i, side]), []).append((int(i), int(side)))
+    for node in sorted(at):
+        mine = [(i, side) for i, side in at[node] if alive[i]]
+        if any(flags[i, side] for i, side in at[node]) or any(ends[i, 1 - side] < node and not flags[i, 1 - side] for i, side in mine):
+            continue  # it has acted, or waits for an earlier neighbour
+        edges = np.array([i for i, _ in mine], np.int64)
+        if len(edges) > n_edges:
+            limit = max(ratio * np.sort(lengths_[edges])[n_edges - 1], least)
+            alive[edges[lengths_[edges] > limit]] = False
+        for i, side in at[node]:
+            flags[i, side] = True
+    return pdf.assign(fs=flags[:, 0], ft=flags[:, 1], removed=~alive)[[c.split(" ")[0] for c in _STATE.split(", ")]]
+
+
+def trim_adaptively(edges: DataFrame, nodes: DataFrame, n_edges: int = 3, ratio: float = 2.0, least: float = 0.0, tile: int = TILE) -> DataFrame:
     """The edges that a pass over the nodes of each sample, in order of node_id, leaves.
 
     A node with more than n_edges edges left loses those that are longer than `ratio` times its n_edges-th shortest and
-    longer than `least`. What a node loses its later neighbours don't see, so that a sample is one group; of a sample
-    only edges and lengths come to its task.
+    longer than `least`. What a node loses its later neighbours don't see, so a node acts once all its earlier neighbours
+    have. Samples are cut into strips of about `tile` nodes; in a round each strip's nodes act as far as those of other
+    strips, as of the last round, allow. There is one round for each time that a chain of earlier and earlier neighbours
+    changes its strip, so a single one for samples that are one strip.
     """
-
-    def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-        source, target, length = pdf["source"].to_numpy(), pdf["target"].to_numpy(), pdf["length"].to_numpy()
-        at: dict[int, list[int]] = {}
-        for i, (s, t) in enumerate(zip(source, target, strict=True)):
-            at.setdefault(int(s), []).append(i)
-            at.setdefault(int(t), []).append(i)
-        alive = np.ones(len(pdf), bool)
-        for node in sorted(at):
-            own = np.array([i for i in at[node] if alive[i]])
-            if len(own) > n_edges:
-                limit = max(ratio * np.sort(length[own])[n_edges - 1], least)
-                alive[own[length[own] > limit]] = False
-        return pdf.loc[alive, ["patient", "sample", "source", "target"]]
-
-    sized = lengths(edges, nodes)
-    return sized.groupBy(*SAMPLE).applyInPandas(lambda pdf: trim(pdf.sort_values(["source", "target"], kind="stable")), "patient string, sample string, source long, target long")
+    rows = lengths(edges, nodes)
+    single = largest_sample(nodes) <= tile
+    if single:
+        rows = rows.select("*", F.lit(0).alias("sb"), F.lit(0).alias("tb"))
+    else:
+        strips = written(_strips(nodes, tile))
+        for end, name in (("source", "sb"), ("target", "tb")):
+            of = strips.select(*(F.col(c).alias(f"_{c}") for c in SAMPLE), F.col("node_id").alias("_id"), F.col("block").alias(name))
+            rows = rows.join(of, rows["patient"].eqNullSafe(of["_patient"]) & rows["sample"].eqNullSafe(of["_sample"]) & (rows[end] == of["_id"])).drop("_patient", "_sample", "_id")
+    state = rows.select(*SAMPLE, "source", "target", "length", "sb", "tb", F.lit(False).alias("fs"), F.lit(False).alias("ft"))
+    done: DataFrame | None = None
+    while True:
+        out = state.withColumn("block", F.explode(F.array_distinct(F.array("sb", "tb")))).groupBy(*SAMPLE, "block").applyInPandas(lambda key, pdf: _acted(key, pdf, n_edges, ratio, least), _STATE)
+        if single:
+            return out.where(~F.col("removed")).select(*SAMPLE, "source", "target")
+        each = out.groupBy(*SAMPLE, "source", "target").agg(*(F.first(c).alias(c) for c in ("length", "sb", "tb")), *(F.max(c).alias(c) for c in ("fs", "ft", "removed")))
+        state = written(each.where(~F.col("removed")).drop("removed"))
+        ended = state.where("fs and ft").select(*SAMPLE, "source", "target")
+        done = ended if done is None else done.union(ended)
+        state = state.where("not (fs and ft)")
+        if state.isEmpty():
+            return done
 
 
 def network(nodes: DataFrame, adaptive: bool = True, n_edges: int = 3, ratio: float = 2.0, least: float = 0.0, longest: float | None = None, relink_to: int = 3, by: str = "delaunay") -> DataFrame:

@@ -127,3 +127,26 @@ def test_results_do_not_depend_on_partitions(spark):
     nodes = nodes_of(spark, rng.uniform(0, 10, (80, 2)))
     want = edges_of(delaunay.network(nodes))
     assert edges_of(delaunay.network(nodes.repartition(7))) == want
+
+
+def test_trimming_in_strips_equals_one_pass(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"p{s}", None if s else "a", int(i), float(x), float(y)) for s in range(2) for i, (x, y) in enumerate(rng.random((300, 2)) ** 2)]
+    nodes = spark.createDataFrame(rows, "patient string, sample string, node_id long, x double, y double").cache()
+    edges = delaunay.delaunay(nodes).cache()
+    place = {(p, i): (x, y) for p, _, i, x, y in rows}
+    want = set()
+    for p in ("p0", "p1"):
+        own = {(r["source"], r["target"]): float(np.hypot(*np.subtract(place[p, r["source"]], place[p, r["target"]]))) for r in edges.where(f"patient = '{p}'").collect()}
+        for node in range(300):
+            mine = [e for e in own if node in e]
+            if len(mine) > 3:
+                limit = 1.3 * sorted(own[e] for e in mine)[2]
+                for e in mine:
+                    if own[e] > limit:
+                        del own[e]
+        want |= {(p, *e) for e in own}
+    assert len(want) < edges.count()
+    for tile in (1 << 17, 40):
+        got = [(r["patient"], r["source"], r["target"]) for r in delaunay.trim_adaptively(edges, nodes, ratio=1.3, tile=tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
