@@ -19,6 +19,8 @@ from nichegrid.functions.lineage import written
 from nichegrid.operators import plane
 from nichegrid.operators.graph import SAMPLE, TILE, largest_sample, lengths, near_rows, nearest, relink, shorter
 
+#: Nodes of a sample whose cells are one task's.
+PART = 8192
 _EDGES = "patient string, sample string, source long, target long"
 _CELLS = "patient string, sample string, node_id long, x double, y double, complete boolean, corners array<struct<x: double, y: double, w: double>>, near array<struct<distance: double, target: long, tx: double, ty: double>>, edges array<long>"
 
@@ -97,7 +99,8 @@ def delaunay(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """The untrimmed Delaunay edges of every sample; nodes of one place have none between each other.
 
     A sample of two nodes has their edge, nodes on a line are a path. A coordinate that isn't finite is an error. A
-    sample of at most `tile` nodes is one task's, larger ones go tile by tile.
+    sample of at most `tile` nodes goes to a task for each PART of its nodes, which looks at these nodes' cells; larger
+    ones go tile by tile.
     """
     bad = nodes.where(F.isnan("x") | F.isnan("y") | F.isnull("x") | F.isnull("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf"))).limit(1).collect()
     if bad:
@@ -109,11 +112,22 @@ def delaunay(nodes: DataFrame, tile: int = TILE) -> DataFrame:
 
     def whole(t: pa.Table) -> pa.Table:
         t = t.sort_by("node_id")
-        pairs = plane.delaunay(t.column("x").to_numpy(), t.column("y").to_numpy())
+        x, n = t.column("x").to_numpy(), t.num_rows
+        own = None
+        if "part" in t.column_names:
+            part, parts = t["part"][0].as_py(), t["parts"][0].as_py()
+            own = np.zeros(n, bool)
+            own[np.argsort(x, kind="stable")[part * n // parts : (part + 1) * n // parts]] = True
+        pairs = plane.delaunay(x, t.column("y").to_numpy(), own=own)
         first, second = pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
         return pa.table([*(t.column(c).take(first) for c in (*SAMPLE, "node_id")), t.column("node_id").take(second)], names=["patient", "sample", "source", "target"])
 
-    return nodes.groupBy(*SAMPLE).applyInArrow(whole, _EDGES)
+    if largest <= PART:
+        return nodes.groupBy(*SAMPLE).applyInArrow(whole, _EDGES)
+    sizes = nodes.groupBy(*(F.col(c).alias(f"_{c}") for c in SAMPLE)).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    sized = nodes.join(sizes, nodes["patient"].eqNullSafe(sizes["_patient"]) & nodes["sample"].eqNullSafe(sizes["_sample"])).drop("_patient", "_sample")
+    each = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.groupBy(*SAMPLE, "part").applyInArrow(lambda t: whole(t), _EDGES).distinct()  # an edge is found from both ends
 
 
 #: Parts that a sample is cut into for trimming, at most.

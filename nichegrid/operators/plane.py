@@ -201,14 +201,16 @@ def neighbours(cells: Cells, place: Callable[[int, int], tuple[float, float]]) -
     return cell[keep], other[keep]
 
 
-def delaunay(x: np.ndarray, y: np.ndarray, k: int = 16) -> np.ndarray:
-    """Pairs of places, the lower first, whose Voronoi cells share a border of positive length.
+def delaunay(x: np.ndarray, y: np.ndarray, k: int = 16, own: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of places, the lower first, whose Voronoi cells share a border of positive length; own: whose cells to look at.
 
     Cells are cut by their k nearest points, those that this may leave open by eight times as many, and the outer ones
     by the nearest point of all that still cuts them, again and again.
     """
     n = len(x)
     cells, reach, seen = Cells(n), np.full(n, np.inf), np.zeros(n)
+    if own is not None:
+        seen[~own] = np.inf
     for done, more in ((0, k), (k, 8 * k)):
         open_ = seen < 2 * reach
         of, to, distance, rank = nearest(x, y, np.arange(n), more, asked=open_)

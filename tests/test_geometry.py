@@ -150,3 +150,13 @@ def test_trimming_in_strips_equals_one_pass(spark):
     for tile in (1 << 17, 40):
         got = [(r["patient"], r["source"], r["target"]) for r in delaunay.trim_adaptively(edges, nodes, ratio=1.3, tile=tile).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_parts_of_a_sample_find_the_same_edges(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    points = [*rng.random((150, 2)), *((i / 5, j / 5) for i in range(5) for j in range(5)), *([0.5, 0.5],) * 3]
+    nodes = nodes_of(spark, points).union(nodes_of(spark, points[:9], "q"))
+    key = lambda df: sorted((r["patient"], r["source"], r["target"]) for r in df.collect())
+    want = key(delaunay.delaunay(nodes))
+    monkeypatch.setattr(delaunay, "PART", 20)
+    assert key(delaunay.delaunay(nodes)) == want
