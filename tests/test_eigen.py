@@ -5,14 +5,17 @@ from nichegrid.operators import eigen, vectors
 
 
 def path_graph(spark, parts):
-    """A weighted path for each part, as (a, b, weight)."""
+    """A weighted path with chords for each part, as (a, b, weight)."""
     rng = np.random.default_rng(1)
-    edges, at = [], 0
+    edges, at = {}, 0
     for n in parts:
-        edges += [(at + i, at + i + 1, float(rng.random() + 0.5)) for i in range(n - 1)]
-        edges += [(at + i, at + i + 2, float(rng.random())) for i in range(0, n - 2, 3)]
+        for i in range(n):
+            for j in (i + 1, (7 * i + 3) % n):
+                if j < n and i != j:
+                    edges[at + min(i, j), at + max(i, j)] = float(rng.random() + 0.2)
         at += n
-    return spark.createDataFrame(edges, "a long, b long, weight double"), edges
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    return spark.createDataFrame(rows, "a long, b long, weight double"), rows
 
 
 def dense(edges, n):
