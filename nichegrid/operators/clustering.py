@@ -20,7 +20,9 @@ from nichegrid.operators.features import relabelled
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 0, iterations: int = 100) -> DataFrame:
-    """(id, niche) of rows (id, vector)."""
+    """(id, niche) of rows (id, vector); a single niche needs no means."""
+    if k < 2:
+        return vectors.select("id", F.lit(0).cast("long").alias("niche"))
     rows = vectors.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=iterations).fit(rows)
     return model.transform(rows).select("id", F.col("prediction").cast("long").alias("niche"))
@@ -400,6 +402,24 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
     return relabelled(written(parts.select("node", F.col("component").alias("niche"))))
 
 
+def communities_apart(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, **options) -> DataFrame:
+    """(by, node, niche): the communities of many graphs (by, a, b, weight), found together; nodes (by, node) must differ
+    between graphs. Niches are numbered from 0 in each graph, in order of their smallest nodes.
+
+    A move gains w - resolution k k' / 2m in a graph of total weight m. Graphs that are scaled to one total M, S of them,
+    have in their union a price of resolution / 2 S M, so S times the resolution gives each graph its own price back, and
+    gains are those of the graph on its own but for its scale.
+    """
+    total = written(edges.groupBy("by").agg(F.sum("weight").alias("total")).where("total > 0"))
+    graphs, mean = total.agg(F.count("*"), F.avg("total")).first()
+    links = edges.join(total, "by").select("a", "b", (F.col("weight") * mean / F.col("total")).alias("weight")) if graphs else edges.select("a", "b", "weight")
+    found = communities(links, nodes.select("node"), resolution * graphs, seed, **options)
+    labels = written(nodes.select("by", "node").join(found, "node"))
+    own = labels.groupBy("by", "niche").agg(F.min("node").alias("least"))
+    names = own.select("by", "niche", (F.row_number().over(W.partitionBy("by").orderBy("least")) - 1).cast("long").alias("own"))
+    return labels.join(names, ["by", "niche"]).select("by", "node", F.col("own").alias("niche"))
+
+
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(modularity) of labels (node, niche) on a weighted graph (a, b, weight)."""
     ends = edges.join(labels.select(F.col("node").alias("a"), F.col("niche").alias("na")), "a").join(labels.select(F.col("node").alias("b"), F.col("niche").alias("nb")), "b")

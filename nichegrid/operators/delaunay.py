@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nichegrid.functions.clock import timed_batches, timed_frame, timed_group
 from nichegrid.functions.lineage import written
 from nichegrid.operators import plane
 from nichegrid.operators.graph import SAMPLE, TILE, largest_sample, lengths, near_rows, nearest, relink, shorter
@@ -57,7 +58,7 @@ def _cells(rows: DataFrame, whole: bool = False) -> DataFrame:
             corner = pa.list_(pa.struct([(c, pa.float64()) for c in "xyw"]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*SAMPLE, "node_id", "x", "y")), pa.array(done, pa.bool_()), pa.array(corners, corner), pa.array(kept, struct), pa.array(edges, pa.list_(pa.int64()))], [*SAMPLE, "node_id", "x", "y", "complete", "corners", "near", "edges"])
 
-    return rows.mapInArrow(batches, _CELLS)
+    return rows.mapInArrow(timed_batches(batches), _CELLS)
 
 
 def _in_tiles(nodes: DataFrame, tile: int, largest: int) -> DataFrame:
@@ -122,12 +123,13 @@ def delaunay(nodes: DataFrame, tile: int = TILE) -> DataFrame:
         first, second = pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
         return pa.table([*(t.column(c).take(first) for c in (*SAMPLE, "node_id")), t.column("node_id").take(second)], names=["patient", "sample", "source", "target"])
 
+    kernel = timed_group(whole)
     if largest <= PART:
-        return nodes.groupBy(*SAMPLE).applyInArrow(whole, _EDGES)
+        return nodes.groupBy(*SAMPLE).applyInArrow(kernel, _EDGES)
     sizes = nodes.groupBy(*(F.col(c).alias(f"_{c}") for c in SAMPLE)).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     sized = nodes.join(sizes, nodes["patient"].eqNullSafe(sizes["_patient"]) & nodes["sample"].eqNullSafe(sizes["_sample"])).drop("_patient", "_sample")
     each = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return each.groupBy(*SAMPLE, "part").applyInArrow(lambda t: whole(t), _EDGES).distinct()  # an edge is found from both ends
+    return each.groupBy(*SAMPLE, "part").applyInArrow(lambda t: kernel(t), _EDGES).distinct()  # an edge is found from both ends
 
 
 #: Parts that a sample is cut into for trimming, at most.
@@ -188,8 +190,9 @@ def trim_adaptively(edges: DataFrame, nodes: DataFrame, n_edges: int = 3, ratio:
             rows = rows.join(of, rows["patient"].eqNullSafe(of["_patient"]) & rows["sample"].eqNullSafe(of["_sample"]) & (rows[end] == of["_id"])).drop("_patient", "_sample", "_id")
     state = rows.select(*SAMPLE, "source", "target", "length", "sb", "tb", F.lit(False).alias("fs"), F.lit(False).alias("ft"))
     done: DataFrame | None = None
+    act = timed_frame(lambda key, pdf: _acted(key, pdf, n_edges, ratio, least))
     while True:
-        out = state.withColumn("block", F.explode(F.array_distinct(F.array("sb", "tb")))).groupBy(*SAMPLE, "block").applyInPandas(lambda key, pdf: _acted(key, pdf, n_edges, ratio, least), _STATE)
+        out = state.withColumn("block", F.explode(F.array_distinct(F.array("sb", "tb")))).groupBy(*SAMPLE, "block").applyInPandas(act, _STATE)
         if single:
             return out.where(~F.col("removed")).select(*SAMPLE, "source", "target")
         each = out.groupBy(*SAMPLE, "source", "target").agg(*(F.first(c).alias(c) for c in ("length", "sb", "tb")), *(F.max(c).alias(c) for c in ("fs", "ft", "removed")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nichegrid.functions.clock import timed_group
 from nichegrid.functions.lineage import written
 from nichegrid.operators import plane
 
@@ -86,11 +87,12 @@ def near_rows(nodes: DataFrame, k: int, tile: int, largest: int) -> DataFrame:
         x, y, ids = _columns(t, "x", "y", "node_id")
         return _rows(t, *_swapped(plane.nearest(x, y, ids, k, t.column("asked").to_numpy() if asked else None), t))
 
+    kernel = timed_group(own)
     if largest <= tile:
-        return nodes.groupBy(*SAMPLE).applyInArrow(own, _NEAR)
+        return nodes.groupBy(*SAMPLE).applyInArrow(kernel, _NEAR)
     place = [*SAMPLE, "strip", "row"]
     placed = written(tiled(nodes, tile, largest))
-    first = written(placed.groupBy(*place).applyInArrow(own, _NEAR))
+    first = written(placed.groupBy(*place).applyInArrow(kernel, _NEAR))
     reach = first.groupBy(*(F.col(c).alias(f"_{c}") for c in (*SAMPLE, "source"))).agg(F.max("distance").alias("far"), F.count("*").alias("n"))
     own_sample = F.col("patient").eqNullSafe(F.col("_patient")) & F.col("sample").eqNullSafe(F.col("_sample"))
     rows = placed.where("asked") if asked else placed

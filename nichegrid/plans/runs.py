@@ -1,7 +1,8 @@
 """Numbered runs of the niche step, their register, and sweeps over parameter grids.
 
 A run's number is features-reduction-clustering: runs that share a stage's settings share its number. Results are
-Parquet folders named after the numbers, so that a sweep computes each stage once.
+Parquet folders named after the numbers, so that a sweep computes each stage once. A run of all samples on their own is
+ps-1, ps-2 and so on.
 """
 
 from __future__ import annotations
@@ -59,6 +60,38 @@ class Register:
                 level = level[at]["next"]
             return "-".join(out)
 
+    def per_sample(self, config: NicheConfig, cohort: str, free: Callable[[str], bool] = lambda run: True) -> str:
+        """The number ps-N of a run of single samples, which is running from now on. Settings and cohorts seen before keep
+        theirs; a number whose results are another run's, as `free` says of it, is passed over."""
+        own = {"settings": config.stages(), "cohort": cohort}
+        with self._open() as found:
+            known = found.setdefault("per_sample", {})
+            run = next((r for r, about in known.items() if {k: about[k] for k in own} == own), None)
+            if run is not None and not free(run):
+                del known[run]
+                run = None
+            if run is None:
+                last = max((order(r)[1] for r in known), default=0)
+                run = next(r for r in (f"ps-{int(last) + i}" for i in itertools.count(1)) if free(r))
+                known[run] = own | {"samples": {}}
+            known[run]["status"] = "running"
+            return run
+
+    def mark_sample(self, run: str, sizes: dict[str, int]) -> None:
+        """Notes samples of a run that are done, with their numbers of niches."""
+        with self._open() as found:
+            found["per_sample"][run]["samples"].update(sizes)
+
+    def mark_per_sample(self, run: str, status: str) -> None:
+        """Notes how a run of single samples ended; one that the register has lost is left so."""
+        with self._open() as found:
+            if run in found.get("per_sample", {}):
+                found["per_sample"][run]["status"] = status
+
+    def runs_per_sample(self) -> dict[str, dict[str, Any]]:
+        with self._open() as found:
+            return dict(sorted(found.get("per_sample", {}).items(), key=lambda x: order(x[0])))
+
     def mark(self, run: str, about: dict[str, Any]) -> None:
         with self._open() as found:
             found["runs"][run] = about
@@ -69,15 +102,19 @@ class Register:
             return dict(sorted(found["runs"].items(), key=lambda x: order(x[0])))
 
 
-def order(run: str) -> list[int]:
-    """Runs sort by their numbers, not by their digits."""
-    return [int(x) for x in run.split("-")]
+def order(run: str) -> list[float]:
+    """Runs sort by their numbers, not by their digits; those of single samples come last."""
+    return [float("inf") if x == "ps" else int(x) for x in run.split("-")]
+
+
+def digest(df: DataFrame) -> str:
+    """A sum of row hashes and the number of rows, whatever their order."""
+    return "/".join(str(x) for x in df.agg(F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(38,0)")), F.count("*")).first())
 
 
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> str:
-    """What a cohort's results depend on: a sum of row hashes of nodes and edges, whatever their order."""
-    total = lambda df: df.agg(F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(38,0)")), F.count("*")).first()
-    return "/".join(str(x) for df in (nodes, edges) for x in total(df))
+    """What a cohort's results depend on: digests of nodes and edges."""
+    return f"{digest(nodes)}/{digest(edges)}"
 
 
 def grid(base: NicheConfig, axes: dict[str, list[Any]]) -> list[NicheConfig]:
@@ -111,16 +148,22 @@ def recomputed(configs: list[NicheConfig]) -> dict[str, int]:
     return {name: len(x) for name, x in seen.items()}
 
 
-def _stored(spark: SparkSession, path: str, source: str, rows: int | None, make: Callable[[], DataFrame]) -> DataFrame:
-    """What is stored at path, if it says that it comes from this source and has as many rows as expected (None: any number);
-    else it is made anew, and takes the old one's place when it is whole."""
+def _source(spark: SparkSession, path: str) -> str | None:
+    """What a stored table says that it comes from, "" if it doesn't say; None if there is no table."""
     settle(spark, path)
     try:
+        return read_about(spark.read.parquet(path)).get("source", "")
+    except AnalysisException:  # nothing there
+        return None
+
+
+def stored(spark: SparkSession, path: str, source: str, rows: int | None, make: Callable[[], DataFrame]) -> DataFrame:
+    """What is stored at path, if it says that it comes from this source and has as many rows as expected (None: any number);
+    else it is made anew, and takes the old one's place when it is whole."""
+    if _source(spark, path) == source:
         found = spark.read.parquet(path)
-        if read_about(found).get("source") == source and (rows is None or found.count() == rows):
+        if rows is None or found.count() == rows:
             return found
-    except AnalysisException:  # nothing there
-        pass
     write_whole(make(), path, about={"source": source})
     return spark.read.parquet(path)
 
@@ -128,7 +171,9 @@ def _stored(spark: SparkSession, path: str, source: str, rows: int | None, make:
 def run(nodes: DataFrame, edges: DataFrame, config: NicheConfig, folder: str, register: Register) -> tuple[str, DataFrame]:
     """(number, labels) of a run. Features and layout are stored by the stage's number, so that runs which share them
     compute them once; labels are stored by the run's. A stored stage of another cohort, of other settings or of another
-    number of rows is computed again."""
+    number of rows is computed again. Settings for single samples make a run ps-N, see run_per_sample."""
+    if config.per_sample:
+        return run_per_sample(nodes, edges, config, folder, register)
     spark = nodes.sparkSession
     cohort = fingerprint(nodes, edges)
     number = register.number(config, cohort)
@@ -140,19 +185,66 @@ def run(nodes: DataFrame, edges: DataFrame, config: NicheConfig, folder: str, re
         source[name] = so_far
 
     def features() -> DataFrame:
-        return _stored(spark, f"{folder}/features/{first}", source["features"], n, lambda: steps.feature_stage(nodes, edges, config))
+        return stored(spark, f"{folder}/features/{first}", source["features"], n, lambda: steps.feature_stage(nodes, edges, config))
 
     def reduced() -> DataFrame:
-        return _stored(spark, f"{folder}/reduction/{second}", source["reduction"], n, lambda: steps.reduction_stage(features(), config))
+        return stored(spark, f"{folder}/reduction/{second}", source["reduction"], n, lambda: steps.reduction_stage(features(), config))
 
     known = number in register.runs()
-    labels = _stored(spark, f"{folder}/labels/{number}", source["clustering"], n, lambda: steps.cluster_stage(features(), reduced(), config))
+    labels = stored(spark, f"{folder}/labels/{number}", source["clustering"], n, lambda: steps.cluster_stage(features(), reduced(), config))
     if not known:
         sizes = {str(r["niche"]): r["n"] for r in labels.groupBy("niche").agg(F.count("*").alias("n")).orderBy("niche").collect()}
         register.mark(number, {"niches": len(sizes), "sizes": sizes, "stages": config.stages()})
     return number, labels
 
 
+def run_per_sample(nodes: DataFrame, edges: DataFrame, config: NicheConfig, folder: str, register: Register) -> tuple[str, DataFrame]:
+    """(ps-N, labels) of niches that each sample has on its own, numbered from 0 in each.
+
+    Features are made for all samples at once, with one vocabulary: a label that a sample lacks is a constant feature there.
+    Communities without a layout before them are found for all samples at once too; other configurations go sample by sample,
+    each of which is stored when it is done, so that a run that failed goes on where it stopped. Labels that say they come
+    from another run aren't overwritten: this run takes the next number.
+    """
+    spark = nodes.sparkSession
+    cohort = fingerprint(nodes, edges)
+    source = cohort + json.dumps({"per_sample": config.stages()}, sort_keys=True)
+    number = register.per_sample(config, cohort, lambda run: _source(spark, f"{folder}/labels/{run}") in (None, source))
+    n = nodes.count()
+    try:
+        table = stored(spark, f"{folder}/features/{number}", source, n, lambda: steps.feature_stage(nodes, edges, config))
+        if steps.in_one_pass(config):
+            labels = stored(spark, f"{folder}/labels/{number}", source, n, lambda: steps.labels_of_samples(table, config))
+        else:
+            labels = stored(spark, f"{folder}/labels/{number}", source, n, lambda: _sample_by_sample(table, config, f"{folder}/samples/{number}", source, number, register))
+        rows = labels.groupBy(*SAMPLE).agg(F.countDistinct("niche").alias("n")).collect()  # a row for each sample
+        sizes = {_name(r["patient"], r["sample"]): r["n"] for r in rows}
+        register.mark_sample(number, sizes)
+        register.mark(number, {"niches": sum(sizes.values()), "sizes": sizes, "stages": config.stages()})
+    except BaseException:
+        register.mark_per_sample(number, "failed")
+        raise
+    register.mark_per_sample(number, "done")
+    return number, labels
+
+
+def _name(patient: str, sample: str | None) -> str:
+    return patient if sample is None else f"{patient}_{sample}"
+
+
+def _sample_by_sample(table: DataFrame, config: NicheConfig, folder: str, source: str, number: str, register: Register) -> DataFrame:
+    """The labels of all samples, each stored on its own and noted in the register as soon as it is done."""
+    spark, paths = table.sparkSession, []
+    for r in steps.starts(table).orderBy("start").collect():  # a row for each sample
+        path, own = f"{folder}/{r['start']}", f"{source}/{r['start']}"
+        labels = stored(spark, path, own, r["n"], lambda: steps.labels_of_sample(table, r["start"], r["n"], config))  # noqa: B023
+        register.mark_sample(number, {_name(r["patient"], r["sample"]): labels.select("niche").distinct().count()})
+        paths.append(path)
+    if not paths:
+        return table.select(*SAMPLE, "node_id", "row_id", F.lit(None).cast("long").alias("niche"))
+    return spark.read.parquet(*paths)
+
+
 def sweep(nodes: DataFrame, edges: DataFrame, configs: list[NicheConfig], folder: str, register: Register) -> list[dict[str, Any]]:
     """One record for each run; a run that fails says why, and the others go on."""
     out = []

@@ -109,6 +109,36 @@ def niches(nodes: DataFrame, edges: DataFrame, config: NicheConfig) -> Niches:
     return Niches(table, rows, labels, compositions(nodes, labels, config))
 
 
+def starts(table: DataFrame) -> DataFrame:
+    """(patient, sample, start, n): where each sample's row_ids start in a table of features, and how many it has."""
+    return table.groupBy(*SAMPLE).agg(F.min("row_id").alias("start"), F.count("*").alias("n"))
+
+
+def in_one_pass(config: NicheConfig) -> bool:
+    """Whether labels_of_samples can follow this configuration."""
+    return not config.reduce and config.clusterer == "leiden" and config.search == "exact"
+
+
+def labels_of_samples(table: DataFrame, config: NicheConfig) -> DataFrame:
+    """(patient, sample, node_id, row_id, niche): communities that each sample has on its own, found for all samples in the
+    same jobs. A sample's start is its key; its niches are numbered from 0."""
+    names = [c for c in table.columns if c not in (*SAMPLE, "node_id", "row_id")]
+    first = starts(table).select(*(F.col(c).alias(f"_{c}") for c in SAMPLE), F.col("start").alias("by"))
+    own = F.col("patient").eqNullSafe(F.col("_patient")) & F.col("sample").eqNullSafe(F.col("_sample"))
+    rows = written(table.join(first, own).select("by", F.col("row_id").alias("id"), F.array(*(F.col(f"`{x}`") for x in names)).alias("vector")))
+    near = written(clustering.neighbour_graph(vectors.nearest(rows, config.k_cluster, by="by")))
+    edges = near.join(rows.select("by", F.col("id").alias("a")), "a")
+    found = clustering.communities_apart(written(edges), rows.select("by", F.col("id").alias("node")), config.resolution)
+    return table.select(*SAMPLE, "node_id", "row_id").join(found.select(F.col("node").alias("row_id"), "niche"), "row_id").select(*SAMPLE, "node_id", "row_id", "niche")
+
+
+def labels_of_sample(table: DataFrame, start: int, n: int, config: NicheConfig) -> DataFrame:
+    """The same for the sample whose row_ids start there, by any configuration."""
+    own = written(table.where(F.col("row_id").between(start, start + n - 1)).withColumn("row_id", F.col("row_id") - start))
+    labels = cluster_stage(own, written(reduction_stage(own, config)), config)
+    return labels.select(*SAMPLE, "node_id", (F.col("row_id") + start).alias("row_id"), "niche")
+
+
 def niches_per_sample(nodes: DataFrame, edges: DataFrame, config: NicheConfig) -> dict[tuple[str, str | None], Niches]:
     """Step 3 for each sample on its own, one after the other."""
     out = {}

@@ -282,5 +282,5 @@ def test_a_stage_of_another_source_is_made_anew(spark, tmp_path):
     path, made = f"{tmp_path}/stage", []
     make = lambda: made.append(1) or spark.range(5)
     for source in ("cohort a", "cohort a", "cohort b"):
-        assert runs._stored(spark, path, source, 5, make).count() == 5
+        assert runs.stored(spark, path, source, 5, make).count() == 5
     assert len(made) == 2
