@@ -143,6 +143,23 @@ def _knn_vectors(metric: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _rounded(vectors.nearest(_vectors(spark, sf_dir), 5, metric).select("source", "target", "distance", F.col("rank").cast("long").alias("rank")))
 
 
+def _vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("by"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def knn_vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the rows with the same label, each label being searched on its own."""
+    return _rounded(vectors.nearest(_vectors_by_label(spark, sf_dir), 5, by="by").select("source", "target", "distance", F.col("rank").cast("long").alias("rank")))
+
+
+def communities_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities that each label's rows have on their own, found for all labels at once."""
+    rows = _vectors_by_label(spark, sf_dir)
+    near = written(clustering.neighbour_graph(vectors.nearest(rows, 8, by="by")))
+    edges = near.join(rows.select("by", F.col("id").alias("a")), "a")
+    return clustering.communities_apart(edges, rows.select("by", F.col("id").alias("node"))).select(F.col("by").alias("label"), "node", "niche")
+
+
 def knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of 10 nearest neighbours the first 16 dimensions keep."""
     rows = _vectors(spark, sf_dir)
@@ -315,6 +332,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trade_eigenvector": trade_eigenvector,
     "knn_descent": knn_descent,
     "forest_leaves": forest_leaves,
+    "knn_vectors_by_label": knn_vectors_by_label,
+    "communities_by_label": communities_by_label,
     "fuzzy_simplicial_set": fuzzy_simplicial_set,
     "pca_projection": pca_projection,
     "gmm_diag": gmm_diag,
@@ -519,6 +538,10 @@ empty AS (SELECT * FROM circles c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE
 SELECT DISTINCT patient, unnest([i, i, j]) AS source, unnest([j, k, k]) AS target FROM empty""",
     "network_statistics": _statistics_sql(),
     # the bisection of sigma as 64 steps over lists of distances
+    "knn_vectors_by_label": f"""WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id AS source, b.id AS target, {_DISTANCE["euclidean"]} AS distance FROM v a JOIN v b ON a.id <> b.id AND a.label = b.label),
+near AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target) AS rank FROM d QUALIFY rank <= 5)
+SELECT source, target, round(distance, 6) AS distance, rank FROM near""",
     "fuzzy_simplicial_set": f"""WITH RECURSIVE {_knn_sql("euclidean", 14)},
 lists AS (SELECT source, list(distance ORDER BY distance, target) AS d, list(target ORDER BY distance, target) AS t, min(distance) FILTER (distance > 0) AS rho FROM near GROUP BY source),
 begin_ AS (SELECT source, d, t, coalesce(rho, 0.0) AS rho, log2(len(d) + 1) AS goal FROM lists),

@@ -172,3 +172,16 @@ def test_samples_of_measurements():
     assert s.median() == 2.5 and s.mad() == 1.0 and s.best() == 1.0
     taken = []
     assert len(benchmark.measure(3, lambda: taken.append(1)).seconds) == 3 and len(taken) == 4
+
+
+def test_communities_of_labels(spark):
+    from nichegrid.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["communities_by_label"](spark, sf).collect()
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("label").cast("long")).collect()
+    assert sorted((r["node"], r["label"]) for r in got) == sorted(map(tuple, rows))
+    own = {}
+    for r in got:
+        own.setdefault(r["label"], set()).add(r["niche"])
+    assert all(x == set(range(len(x))) for x in own.values())
