@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichegrid.llm import chaining, minhash, mixing, quality, sentencepiece_scan
-from nichegrid.llm.common import shared_folder, table
+from nichegrid.llm.common import shared_folder, table, unused
 from nichegrid.llm.queries import SENTENCEPIECE_MODEL
 
 
@@ -37,10 +37,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which the mix takes no word leaves. Rows that share an id, null ones too, come as often as the one
     that is taken most often.
     """
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
-    copies = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*docs.columns)
+    own, times, copy = (unused(docs, name) for name in ("own", "times", "copy"))
+    taken = mixing.mix(docs).select(F.col("doc_id").alias(own), F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias(times)).where(F.col(times) > 0)
+    taken = taken.groupBy(own).agg(F.max(times).alias(times))
+    copies = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    return copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, times, copy)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

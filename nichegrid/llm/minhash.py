@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.llm.common import arrow, cut
+from nichegrid.llm.common import arrow, cut, unused
 from nichegrid.llm.textkit import Words, pieces
 
 #: Coordinates of a signature, and how many must agree: at a similarity of 0.8, fewer agree once in 110,000 pairs.
@@ -221,11 +221,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, without those whose component has a smaller id, one for each id."""
+    """The rows of docs, all columns as they are, without those whose component has a smaller id, one for each id.
+
+    Of rows that share an id, one with the least text stays, a null being the least; rows without id and rows without words
+    all stay, as they are linked with nothing. Columns of docs may have any names. Texts of any length are read whole.
+    """
     found = cut(near_duplicates(docs, words, percent, id_col, text_col))
-    dropped = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(dropped.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")
+    gone, alone, text = unused(docs, "gone"), unused(docs, "alone"), unused(docs, "least")
+    dropped = found.where(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct()
+    left = docs.join(dropped.hint("merge"), docs[id_col] == F.col(gone), "left_anti")
     if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return left
-    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows without id all stay
-    return left.withColumn("_alone", alone).dropDuplicates([id_col, "_alone"]).drop("_alone")
+    first = F.min(F.struct(F.col(text_col).isNotNull().alias("is"), F.col(text_col).alias("of")))["of"]  # two values a row, combined before the shuffle
+    least = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(gone)).agg(first.alias(text))
+    same = left[id_col].isNull() | left[text_col].eqNullSafe(F.col(text))
+    left = left.join(least, left[id_col] == F.col(gone), "left").where(same).drop(gone, text)
+    each = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows without id all stay
+    return left.withColumn(alone, each).dropDuplicates([id_col, alone]).drop(alone)

@@ -1,6 +1,7 @@
 import re
 
 from nichegrid.llm import minhash
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -54,3 +55,13 @@ def test_edge_cases(odd, empty):
     assert len(got) == 5 and by == {None: (6, None, True), 1: (6, 1, True), 2: (0, 2, True), 3: (6, 1, False)}
     assert sorted(str(r["doc_id"]) for r in minhash.keep_first(odd).collect()) == ["1", "2", "None"]
     assert minhash.near_duplicates(empty).collect() == [] and minhash.keep_first(empty).collect() == []
+
+
+def test_keep_first_with_names_of_its_own_and_repeated_ids(spark):
+    twin = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, twin, 1, "a"), (2, twin + " more", 2, "b"), (3, "b text", 3, "c"), (3, "a text", 4, "d"), (3, "a text", 5, "e"), (4, None, 6, "f"), (4, "x", 7, "g"), (None, "n", 8, "h"), (None, "n", 9, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long, alone string").withColumns({"least": F.lit(1), "_gone": F.lit(2)})
+    got = minhash.keep_first(docs)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, twin), (3, "a text"), (4, None), (None, "n"), (None, "n")], key=str)

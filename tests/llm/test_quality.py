@@ -1,7 +1,11 @@
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from nichegrid.llm import quality
 
 from .conftest import prose
@@ -59,3 +63,28 @@ def test_edge_cases(spark, odd, empty):
     assert quality.classify(empty, labels).collect() == []
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns and kept.count() == 5
+
+
+def _plain_statistics(text):
+    """The twelve statistics of one text, byte by byte and word by word."""
+    raw = (text or "").encode()
+    letters = sum(97 <= b <= 122 or b >= 128 or 65 <= b <= 90 for b in raw)
+    capitals, digits = sum(65 <= b <= 90 for b in raw), sum(48 <= b <= 57 for b in raw)
+    marks, symbols = sum(b in b",;:'\"()-!" for b in raw), sum(b in b"|*$%&#@^~<>=+_{}[]\\/" for b in raw)
+    ends, lines = sum(b in b".?" for b in raw), raw.count(b"\n")
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]  # bytes: only A-Z
+    n, size = len(words), len(raw)
+    pairs = list(zip(words, words[1:]))
+    logit = lambda count, of, typical, prior: math.log((count + prior * typical) / (of - count + prior * (1 - typical)))
+    byte, word = lambda c, t: logit(c, size, t, 60), lambda c, t: logit(min(c, n), n, t, 12)
+    top = max(collections.Counter(words).values(), default=0)
+    out = [math.log(1 + n), math.log((sum(map(len, words)) + 60) / (n + 12)), byte(letters, 0.8), byte(capitals, 0.02), byte(digits, 0.02), byte(marks, 0.01)]
+    return [*out, word(len(set(words)), 0.8), word(max(top - 1, 0), 0.03), word(len(pairs) - len(set(pairs)), 0.02), word(symbols, 0.005), word(ends, 0.08), word(lines, 0.02)]
+
+
+def test_statistics_against_plain_counts(texts):
+    long = prose(random.Random(3), 120_000)  # in several stretches
+    own = [*texts.values(), None, long, "A b, (c) 42% {x}|y\\z. Why?\nA b a B\n\n", "a" * 600_000, "\n" * 10]
+    got = quality.statistics(pa.array(own, pa.string()))
+    assert got.shape == (len(own), len(quality.FEATURES))
+    assert np.allclose(got, [_plain_statistics(t) for t in own], rtol=1e-12, atol=1e-12)
