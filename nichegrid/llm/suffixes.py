@@ -255,18 +255,26 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 raw, at = buffers(b.column("text"))
                 view, owner, rows = memoryview(raw), [], []
                 for i in np.flatnonzero(np.diff(at) >= length).tolist():
-                    own: dict[tuple, list[int]] = {}  # a class that recurs in a text is one row
+                    own: dict[tuple, tuple[list[int], list[int], list[int]]] = {}  # a class that recurs in a text is one row
                     for p, lo, hi, h, uni in anchors(view[at[i] : at[i + 1]], length):
-                        own.setdefault((h, uni, lo, hi), []).append(p)
-                    rows += [(*c, places) for c, places in own.items()]
+                        times, firsts, lasts = own.setdefault((h, uni, lo, hi), ([], [], []))
+                        if lasts and p - lasts[-1] <= length:  # the spans touch: one stretch of places
+                            lasts[-1], times[-1] = p, times[-1] + 1
+                        else:
+                            for x, value in ((times, 1), (firsts, p), (lasts, p)):
+                                x.append(value)
+                    rows += [(*c, firsts, None if firsts == lasts else lasts, sum(times)) for c, (times, firsts, lasts) in own.items()]
                     owner += [i] * len(own)
-                c = list(zip(*rows, strict=True)) or [[]] * 5
+                c = list(zip(*rows, strict=True)) or [[]] * 7
                 own = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("k").take(own), pa.array(np.array(c[0], np.uint64).view(np.int64)), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64()))], ["id", "k", "core", "uni", "lo", "hi", "places"])
-
-    found = cut(arrow(base, find, f"id {kind}, k long, core long, uni binary, lo int, hi int, places array<long>"))
-    place = lambda at: F.struct("k", "id", F.element_at("places", at).alias("pos"))
-    classes = cut(found.groupBy("core", "uni").agg(F.sum(F.size("places")).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(place(1)).alias("one"), F.max(place(-1)).alias("two")))
+                places = [pa.array(x, pa.list_(pa.int64())) for x in c[4:6]]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("k").take(own), pa.array(np.array(c[0], np.uint64).view(np.int64)), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), *places, pa.array(c[6], pa.int64())], ["id", "k", "core", "uni", "lo", "hi", "places", "ends", "times"])
+
+    # places are the first ones of stretches of a class's places; ends, the last ones, are null where all are single
+    found = cut(arrow(base, find, f"id {kind}, k long, core long, uni binary, lo int, hi int, places array<long>, ends array<long>, times long"))
+    ends = F.coalesce("ends", "places")
+    place = lambda at: F.struct("k", "id", at.alias("pos"))
+    classes = cut(found.groupBy("core", "uni").agg(F.sum("times").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(place(F.element_at("places", 1))).alias("one"), F.max(place(F.element_at(ends, -1))).alias("two")))
     reps = _standing(classes, F.col("one"), F.col("two"), "x").select("x.*", "core", "uni", "lo", "hi", "kinds")
     wanted = reps.groupBy("id", "k").agg(F.collect_list(F.struct("pos", "lo", "hi", "core", "uni", "kinds")).alias("own"))
 
@@ -285,8 +293,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     joined = base.join(wanted, same(base, wanted)).select("text", "own")
     near = cut(arrow(joined, contexts, "core long, uni binary, lo int, hi int, kinds long, context binary"))
     shared = cut(_sorted_out(near, length, length - CORE + 1).distinct())
-    spans = found.join(shared.hint("merge"), ["core", "uni"]).select("id", "k", F.explode("places").alias("pos"), "first", "last")
-    return spans.groupBy("id", "k").agg(F.collect_set(F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + length).alias("end"))).alias("spans"))
+    each = F.arrays_zip(F.col("places").alias("pos"), ends.alias("end"))
+    spans = found.join(shared.hint("merge"), ["core", "uni"]).select("id", "k", F.explode(each).alias("x"), "first", "last")
+    return spans.groupBy("id", "k").agg(F.collect_set(F.struct((F.col("x.pos") - F.col("last")).alias("start"), (F.col("x.end") - F.col("first") + length).alias("end"))).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -305,8 +314,9 @@ def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     Texts are UTF-8 bytes; strings never cross texts. Every byte is removed that is covered by a string of `length`
     bytes which also starts at any other place, in the same text or another row's, judged on the input. Spans are the
     maximal removed runs; `kept` is what is left, `text` the same without the bytes of characters that a removal tore.
-    A text may be very long: it is hashed by stretches of 256 KB, and copied once or twice where bytes go. Null and empty texts, and those shorter than `length`, lose nothing;
-    rows that repeat a text lose all of it, if it is long enough. An empty table gives no rows.
+    A text may be very long: it is hashed by stretches of 256 KB, and copied once or twice where bytes go; one that
+    repeats itself closely gives one span for each stretch of a class's places, not one for each place. Null and empty
+    texts, and those shorter than `length`, lose nothing; rows that repeat a text lose all of it, if it is long enough. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))

@@ -56,6 +56,25 @@ def test_spans_and_bytes(spark):
     assert got[1]["kept"] == b"left" and got[2]["kept"] == b"other " and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(6, 6 + len(x))]
 
 
+def test_periodic_texts(spark):
+    """Places that follow closely are kept as stretches; what goes is what brute force tells."""
+    x = "".join(chr(97 + i * 7919 % 26) + str(i * i) for i in range(400))
+    texts = [(1, "a" * 3000), (2, "xyz" * 700 + x), (3, x[:900] + "q" * 401 + x[900:1500]), (4, (x[:450] + "\n") * 4), (5, "a" * 400 + "b"), (6, "é" * 900 + "z"), (7, "m" * 400 + x[:300] + "m" * 399)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert result(suffixes.repeated_bytes(df, 400)) == brute(texts, 400)
+    assert result(suffixes.repeated_bytes(df, 150)) == brute(texts, 150)
+
+
+def test_a_long_periodic_text(spark):
+    texts = [(1, "a" * 4_000_000), (2, "abcdefg" * 300_000 + "end")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    spans = {r["id"]: len(r["spans"]) for r in suffixes.repeated_spans(df).collect()}
+    assert spans.keys() == {1, 2} and max(spans.values()) < 1000  # a few for each stretch of hashing, none for each place
+    got = {r["doc_id"]: r for r in suffixes.repeated_bytes(df, with_bytes=False).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"]) == (4_000_000, 1)
+    assert (got[2]["n_removed"], got[2]["n_spans"], got[2]["text"]) == (2_100_000, 1, "end")
+
+
 def test_edge_cases(odd, empty):
     assert len(suffixes.repeated_bytes(odd).collect()) == 5
     assert suffixes.repeated_bytes(empty).collect() == []
