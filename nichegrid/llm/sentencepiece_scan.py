@@ -347,8 +347,20 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
     short = arrow(base.where(F.length("text") <= giant), small, schema)
     # a part repeats the characters after it that a piece from it can reach
     long = base.where(F.length("text") > giant).withColumn("key", F.xxhash64("id", "text"))
-    parts = long.select("id", "key", F.length("text").alias("total"), "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("no"))
-    parts = parts.select("id", "key", "no", (F.floor((F.col("total") - 1) / chunk) + 1).alias("parts"), F.substring("text", F.col("no") * chunk + 1, F.lit(chunk + v.longest)).alias("text"))
+
+    def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in pieces(whole, "text"):
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    n = -(-len(text) // chunk)
+                    for a in range(0, n, 64):
+                        no = range(a, min(n, a + 64))
+                        own = pa.array([i] * len(no), pa.int64())
+                        cut_ = [text[x * chunk : x * chunk + chunk + v_longest] for x in no]
+                        yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("key").take(own), pa.array(no, pa.int32()), pa.array([n] * len(no), pa.int64()), pa.array(cut_, pa.string())], ["id", "key", "no", "parts", "text"])
+
+    v_longest = v.longest
+    parts = arrow(long.select("id", "key", "text"), chunks, f"id {kind}, key long, no int, parts long, text string")
     parts = cut(parts.repartition("key", "no"))
 
     def part(row: dict) -> tuple[np.ndarray, int]:
@@ -375,7 +387,6 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
             c = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("key").take(at), *(pa.array(x, pa.int32()) for x in c)], ["id", "key", "no", "before", "after"])
 
-    v_longest = v.longest
     borders = arrow(gathered, scanned, f"id {kind}, key long, no int, before int, after int").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("no").alias("_no"), "before", "after")
     placed = parts.join(borders, (F.col("key") == F.col("_key")) & (F.col("no") == F.col("_no")) & F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "_key", "_no")
 

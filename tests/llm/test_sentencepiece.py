@@ -64,6 +64,27 @@ def test_documents_with_giants(docs, texts, vocabulary):
         assert vocabulary._score(ids) == pytest.approx(brute(vocabulary, sp.symbols_of(t or "")))
 
 
+def test_chunk_borders_of_giants(spark, vocabulary):
+    """Texts whose lengths meet the borders of chunks, of characters that are one or two units long elsewhere."""
+    rng = random.Random(5)
+    made = [prose(rng, 120)[:n] for n in (100, 101, 199, 200, 201, 400)] + ["é€😀▁ " * 60, "😀" * 101, " " * 150, "x" * 300]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sp.encode(df, SENTENCEPIECE_MODEL, giant=99, chunk=100).collect()}
+    assert set(got) == set(range(len(made)))
+    for i, t in enumerate(made):
+        ids = np.array(got[i]["ids"])
+        assert got[i]["round_trip"] and vocabulary.decode(ids) == t.encode()
+        assert vocabulary._score(ids) == pytest.approx(brute(vocabulary, sp.symbols_of(t)))
+
+
+def test_a_very_long_text(spark):
+    """Chunks are cut in one pass over the text."""
+    text = "some words of a text that goes on 0123 " * 60_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = sp.encode(df, SENTENCEPIECE_MODEL).selectExpr("n_tokens", "size(ids) n", "round_trip").collect()
+    assert row["round_trip"] and row["n_tokens"] == row["n"] > 500_000
+
+
 def test_edge_cases(odd, empty, spark):
     assert len(sp.encode(odd, SENTENCEPIECE_MODEL).collect()) == 5
     assert sp.encode(empty, SENTENCEPIECE_MODEL).collect() == []
