@@ -160,3 +160,18 @@ def test_parts_of_a_sample_find_the_same_edges(spark, monkeypatch):
     want = key(delaunay.delaunay(nodes))
     monkeypatch.setattr(delaunay, "PART", 20)
     assert key(delaunay.delaunay(nodes)) == want
+    monkeypatch.setattr(delaunay, "PARTS", 3)
+    assert key(delaunay.delaunay(nodes)) == want
+
+
+def test_only_the_cells_of_a_part_are_built(monkeypatch):
+    """Cells that nearest points close, and outer ones that all points must be asked for."""
+    sizes = []
+    points = far_apart()[:700]
+    x, y = points[:, 0], points[:, 1]
+    own = np.zeros(len(x), bool)
+    own[np.argsort(x)[:90]] = True
+    want = {tuple(e) for e in plane.delaunay(x, y).tolist() if own[e].any()}
+    monkeypatch.setattr(plane, "Cells", lambda n, kind=plane.Cells: (sizes.append(n), kind(n))[1])
+    assert {tuple(e) for e in plane.delaunay(x, y, own=own).tolist()} == want
+    assert sizes == [90]
